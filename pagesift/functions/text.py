@@ -30,7 +30,8 @@ TEXT_VISUAL_PRIORITY = ["h1", "h2", "h3", "h4", "h5", "h6", "strong", "em", "b",
 # Python's str.strip() whitespace, as a Java regex class (Unicode mode).
 _WS = r"[\s\x1c-\x1f]"
 STRIP_PATTERN = rf"(?U)^{_WS}+|{_WS}+$"
-TOKEN_PATTERN = r"\w+|[^\w\s]"
+# words and single marks; the whitespace class is spelled out so engines agree
+TOKEN_PATTERN = "[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]"
 
 
 @F.pandas_udf(T.StringType())
