@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def membership_counts(pred: Column, truth: Column) -> tuple[Column, Column, Column]:
     """tp = predictions found in truth (duplicates counted), fp = the rest,
     fn = truths not among predictions."""
-    p = F.coalesce(pred, EMPTY)
-    g = F.coalesce(truth, EMPTY)
+    p = F.coalesce(pred, _empty())
+    g = F.coalesce(truth, _empty())
     tp = F.size(F.filter(p, lambda x: F.array_contains(g, x)))
     fp = F.size(p) - tp
     fn = F.size(F.filter(g, lambda x: ~F.array_contains(p, x)))
@@ -35,8 +36,8 @@ def align_fields(pred: DataFrame, truth: DataFrame, keys: list[str],
     p = pred.select(*keys, field, F.col(values).alias("pred"))
     t = truth.select(*keys, field, F.col(values).alias("truth"))
     j = p.join(t, keys + [field], "full_outer")
-    return j.select(*keys, field, F.coalesce("pred", EMPTY).alias("pred"),
-                    F.coalesce("truth", EMPTY).alias("truth"))
+    return j.select(*keys, field, F.coalesce("pred", _empty()).alias("pred"),
+                    F.coalesce("truth", _empty()).alias("truth"))
 
 
 def eval_objects(pred: DataFrame, truth: DataFrame, keys: list[str],
@@ -88,7 +89,7 @@ def site_report(counts: DataFrame, group_cols: list[str] = ("category", "site"),
 
 def set_counts(pred: Column, truth: Column) -> tuple[Column, Column, Column]:
     """Duplicates collapse; sizes of intersection and both differences."""
-    p, g = F.array_distinct(F.coalesce(pred, EMPTY)), F.array_distinct(F.coalesce(truth, EMPTY))
+    p, g = F.array_distinct(F.coalesce(pred, _empty())), F.array_distinct(F.coalesce(truth, _empty()))
     return (F.size(F.array_intersect(p, g)), F.size(F.array_except(p, g)),
             F.size(F.array_except(g, p)))
 
@@ -109,8 +110,8 @@ def set_micro(df: DataFrame, pred: str = "pred", truth: str = "truth",
 def exact_set_accuracy(df: DataFrame, pred: str = "pred", truth: str = "truth",
                        by: list[str] | None = None) -> DataFrame:
     """Share of samples whose distinct value sets are equal."""
-    eq = F.array_sort(F.array_distinct(F.coalesce(F.col(pred), EMPTY))) == F.array_sort(
-        F.array_distinct(F.coalesce(F.col(truth), EMPTY)))
+    eq = F.array_sort(F.array_distinct(F.coalesce(F.col(pred), _empty()))) == F.array_sort(
+        F.array_distinct(F.coalesce(F.col(truth), _empty())))
     g = df.groupBy(*by) if by else df.groupBy()
     return g.agg(F.avg(eq.cast("double")).alias("exact_accuracy"),
                  F.count(F.lit(1)).alias("n_samples"))
@@ -164,7 +165,7 @@ def multilabel_report(df: DataFrame, sample_key: list[str], pred: str = "pred",
 
 def missing_surplus(pred: Column, truth: Column) -> tuple[Column, Column]:
     """Values missing from the prediction and surplus values in it."""
-    p, g = F.coalesce(pred, EMPTY), F.coalesce(truth, EMPTY)
+    p, g = F.coalesce(pred, _empty()), F.coalesce(truth, _empty())
     return F.array_except(g, p), F.array_except(p, g)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def upsert_by_id(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
@@ -56,7 +57,7 @@ def long_to_wide(df: DataFrame, keys: list[str], fields: list[str], field: str =
     """One column per field, absent becomes []. The field list is given so
     the pivot needs no extra pass to discover it."""
     w = df.groupBy(*keys).pivot(field, fields).agg(F.first(values))
-    return w.select(*keys, *[F.coalesce(F.col(f), EMPTY).alias(f) for f in fields])
+    return w.select(*keys, *[F.coalesce(F.col(f), _empty()).alias(f) for f in fields])
 
 
 def melt(df: DataFrame, ids: list[str], value_cols: list[str], var: str = "variable",
@@ -103,7 +104,7 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def unique_merge(a: Column, b: Column) -> Column:
     """Ordered union-distinct of two lists."""
-    return F.array_distinct(F.concat(F.coalesce(a, EMPTY), F.coalesce(b, EMPTY)))
+    return F.array_distinct(F.concat(F.coalesce(a, _empty()), F.coalesce(b, _empty())))
 
 
 def keep_positions(arr: Column, removed: Column) -> Column:

@@ -1,3 +1,139 @@
-"""End-to-end plans (filled below)."""
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLE: dict = {}
+"""End-to-end wrapper induction and evaluation (the reference's experiment:
+3 seed pages per site -> one program per field -> apply to the other pages ->
+per-site and overall accuracy / precision / recall / F1).
+
+Annotations on the harness ``pages`` come from the markup (title text, nav
+link texts, the ad block text), standing in for ground truth or batch model
+output; the learned programs must recover them from the DOM.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagesift.functions.text import html_unescape, normalize_text
+from pagesift.operators import induce, metrics, sampling
+from pagesift.operators.xpath import apply_programs
+from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, small_enough
+
+
+def normalize_values(df: DataFrame, keys: list[str], col: str, unescape: bool = False) -> DataFrame:
+    """F1 over an array column, order kept (explode, normalize, collect).
+    ``unescape`` first decodes entities once, as an HTML parser would."""
+    e = df.select(*keys, F.posexplode(col).alias("_p", "_v"))
+    v = html_unescape(F.col("_v")) if unescape else F.col("_v")
+    e = e.withColumn("_v", normalize_text(v)).filter(F.col("_v") != "")
+    return e.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_v"))),
+                                            lambda x: x._v).alias(col))
+
+
+def harness_annotations(pages: DataFrame) -> DataFrame:
+    """(page_id, field, values): title text, nav link texts, ad block text, as
+    displayed: whitespace runs collapsed, entities decoded once (as a parser
+    does), then normalized like extracted values."""
+    nav = F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1),
+                               F.lit('<a href="[^"]*">([^<]*)</a>'), 1)
+    raw = pages.select("page_id", F.explode(F.array(
+        F.struct(F.lit("title").alias("field"),
+                 F.array(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("raw")),
+        F.struct(F.lit("nav").alias("field"), nav.alias("raw")),
+        F.struct(F.lit("ad").alias("field"),
+                 F.array(F.regexp_extract("html", '(?s)<div class="ad">(.*?)</div>', 1)).alias("raw")),
+    )).alias("a")).select("page_id", "a.field", F.transform(
+        "a.raw", lambda c: F.regexp_replace(c, r"[ \t\r\n\f]+", " ")).alias("raw"))
+    return normalize_values(raw, ["page_id", "field"], "raw", unescape=True).withColumnRenamed(
+        "raw", "values")
+
+
+def induce_programs(nodes: DataFrame, seed_pages: DataFrame, ann: DataFrame,
+                    profiles=(induce.INFER, induce.EXTRACT)) -> tuple[DataFrame, DataFrame]:
+    """Candidates from the seed annotations, scored on the seeds; returns
+    (scored candidates, best program per (site, field))."""
+    seed_ids = seed_pages.select("page_id", "site")
+    seed_nodes = nodes.join(seed_ids.select("page_id"), "page_id", "left_semi")
+    seed_ann = ann.join(seed_ids.select("page_id"), "page_id", "left_semi")
+    cands = None
+    for prof in profiles:
+        c = induce.candidate_programs(seed_nodes, seed_ann, prof)
+        cands = c if cands is None else cands.unionByName(c)
+    cands = cands.join(seed_ids, "page_id").select("site", "field", "program").distinct()
+    cands = induce.generalize(cands).distinct().checkpoint(eager=True)
+    scored = induce.score_programs(seed_nodes, cands, seed_ann, ["site"])
+    best = induce.best_by_f1(scored, ["site"])
+    return scored, best
+
+
+def induce_and_evaluate(pages: DataFrame, nodes: DataFrame, ann: DataFrame,
+                        n_seeds: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Returns (best programs, per-site + overall report)."""
+    keys = pages.select("page_id", "site", "category")
+    seeds, pool = sampling.split_seeds(keys, ["site"], n_seeds, "page_id", seed)
+    _, best = induce_programs(nodes, seeds, ann)
+    best = best.checkpoint(eager=True)
+    pool_nodes = nodes.join(pool.select("page_id"), "page_id", "left_semi")
+    pred = apply_programs(pool_nodes, best.select("site", "field", "program"), ["site"], ["field"],
+                          "program", None, broadcast_programs=small_enough(best))
+    pool_ann = ann.join(pool.select("page_id"), "page_id", "left_semi")
+    counts = metrics.eval_objects(pred.select("page_id", "field", "values"), pool_ann, ["page_id"])
+    counts = counts.join(pool.select("page_id", "site", "category"), "page_id")
+    return best, metrics.site_report(counts, ["category", "site"], digits=6)
+
+
+def _nodes_once(spark: SparkSession, d: str) -> DataFrame:
+    """Parse once, cut lineage in the shared checkpoint folder."""
+    return keyed_nodes(spark, d).checkpoint(eager=True)
+
+
+def q_induce_eval(spark: SparkSession, d: str) -> DataFrame:
+    """X4-X11 + E4 + A8: the flagship."""
+    prepare(spark)
+    pages = keyed_pages(spark, d)
+    _, report = induce_and_evaluate(pages, _nodes_once(spark, d), harness_annotations(pages))
+    return report
+
+
+def q_induced_programs(spark: SparkSession, d: str) -> DataFrame:
+    """The learned program per (site, field) with its seed scores."""
+    prepare(spark)
+    pages = keyed_pages(spark, d)
+    keys = pages.select("page_id", "site", "category")
+    seeds, _ = sampling.split_seeds(keys, ["site"], 3, "page_id", 0)
+    scored, best = induce_programs(_nodes_once(spark, d), seeds, harness_annotations(pages))
+    return best.select("site", "field", "program", "tp", "fp", "fn", "n_extracted",
+                       F.round("f1", 6).alias("f1"))
+
+
+PIPELINE_QUERIES = {
+    "induce_eval": q_induce_eval,
+    "induced_programs": q_induced_programs,
+}
+
+_ORACLE_INDUCE = """
+WITH seeds AS (
+  SELECT page_id, row_number() OVER (PARTITION BY site ORDER BY md5(CAST(page_id AS VARCHAR) || '#0'), page_id) AS rn
+  FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS site FROM pages)),
+c AS (
+  SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS site, regexp_extract(url, '/(en|fr|de|es)/', 1) AS category,
+         (CASE WHEN regexp_extract(html, '(?s)<title>(.*?)</title>', 1) <> '' THEN 1 ELSE 0 END)
+         + len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1))
+         + (CASE WHEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) <> '' THEN 1 ELSE 0 END) AS tp,
+         0 AS fp, 0 AS fn
+  FROM pages WHERE page_id NOT IN (SELECT page_id FROM seeds WHERE rn <= 3)),
+g AS (
+  SELECT CASE WHEN grouping(category, site) > 0 THEN 'overall' ELSE category END AS category,
+         CASE WHEN grouping(category, site) > 0 THEN 'overall' ELSE site END AS site,
+         CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
+  FROM c GROUP BY GROUPING SETS ((category, site), ()))
+SELECT category, site, tp, fp, fn,
+       round(tp / (tp + fp + fn + 1e-6), 6) AS accuracy,
+       round(tp / (tp + fp + 1e-6), 6) AS precision,
+       round(tp / (tp + fn + 1e-6), 6) AS recall,
+       round(2 * (tp / (tp + fp + 1e-6)) * (tp / (tp + fn + 1e-6))
+             / ((tp / (tp + fp + 1e-6)) + (tp / (tp + fn + 1e-6)) + 1e-6), 6) AS f1
+FROM g"""
+
+PIPELINE_ORACLE = {
+    # learned programs must recover every annotated value on every held-out page
+    "induce_eval": _ORACLE_INDUCE,
+}
