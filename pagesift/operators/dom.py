@@ -55,14 +55,21 @@ _PA_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.stri
 
 
 def explode_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                keep: list[str] | None = None, pages_per_batch: int = 64) -> DataFrame:
+                keep: list[str] | None = None, pages_per_batch: int = 64,
+                min_partitions: int | None = None) -> DataFrame:
     """Pages -> nodes, one row per element or comment, via ``mapInArrow``.
 
     Partition-local (no shuffle); work scales with the number of pages.
     ``keep`` columns (small keys such as ``site``) are repeated on each node.
+    A scan with fewer splits than ``min_partitions`` (default: the cluster's
+    parallelism) is spread round-robin first so parsing uses every core; a
+    large scan already has enough splits and is left alone.
     """
     keep = list(keep or [])
     src = pages.select(id_col, html_col, *keep)
+    want = min_partitions or pages.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < want:
+        src = src.repartition(want)
     key_fields = [src.schema[c] for c in [id_col] + keep]
     out_schema = T.StructType(
         [T.StructField("page_id" if f.name == id_col else f.name, f.dataType) for f in key_fields]

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import normalize_text
-from pagesift.functions.xpath_compile import compile_program, is_absolute_positional
+from pagesift.functions.xpath_compile import branch_mode, compile_program, tag_path_regex
 from pagesift.operators.dom import render_lines
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
@@ -37,17 +37,19 @@ STEP_T = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("pos_first", T.BooleanType())])
 COMPILED_T = T.StructType([
     T.StructField("branches", T.ArrayType(T.ArrayType(STEP_T))),
-    T.StructField("fast", T.ArrayType(T.BooleanType())),
+    T.StructField("modes", T.ArrayType(T.StringType())),
+    T.StructField("patterns", T.ArrayType(T.StringType())),
     T.StructField("invalid", T.BooleanType())])
 
 
 @F.pandas_udf(COMPILED_T)
 def compile_udf(program: pd.Series, lang: pd.Series) -> pd.DataFrame:
-    out = {"branches": [], "fast": [], "invalid": []}
+    out = {"branches": [], "modes": [], "patterns": [], "invalid": []}
     for p, l in zip(program, lang):
         branches, invalid = compile_program(p, l or "xpath")
         out["branches"].append(branches)
-        out["fast"].append([is_absolute_positional(b) for b in branches])
+        out["modes"].append([branch_mode(b) for b in branches])
+        out["patterns"].append([tag_path_regex(b) for b in branches])
         out["invalid"].append(invalid)
     return pd.DataFrame(out)
 
@@ -56,7 +58,7 @@ def compile_programs(programs: DataFrame, program_col: str = "program",
                      lang_col: str | None = "lang") -> DataFrame:
     lang = F.col(lang_col) if lang_col and lang_col in programs.columns else F.lit("xpath")
     return programs.withColumn("_c", compile_udf(F.col(program_col), lang)).select(
-        "*", "_c.branches", "_c.fast", "_c.invalid").drop("_c")
+        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.invalid").drop("_c")
 
 
 def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -123,6 +125,8 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     pcols = list(dict.fromkeys(prog_cols + [program_col]))
     cp = compile_programs(programs.select(*dict.fromkeys(match_cols + pcols + (
         [lang_col] if lang_col and lang_col in programs.columns else []))), program_col, lang_col)
+    # compiled once (Python) and reused by every branch below
+    cp = cp.checkpoint(eager=True)
     prog = F.broadcast(cp) if broadcast_programs else cp
     roots = nodes.filter(F.col("node_id") == 0).select(
         "page_id", *match_cols, F.col("end_id").alias("root_end"))
@@ -130,25 +134,55 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     keys = ["page_id"] + pcols
 
     br = cp.select(*match_cols, *pcols, F.posexplode("branches").alias("br", "steps"),
-                   F.col("fast"))
-    br = br.withColumn("is_fast", F.element_at("fast", F.col("br") + 1)).drop("fast")
-    fast = br.filter("is_fast")
-    slow = br.filter(~F.col("is_fast"))
+                   "modes", "patterns")
+    br = br.withColumn("mode", F.element_at("modes", F.col("br") + 1)).withColumn(
+        "pattern", F.element_at("patterns", F.col("br") + 1)).drop("modes", "patterns")
+    fast = br.filter(F.col("mode") != "general")
+    slow = br.filter(F.col("mode") == "general")
 
-    # ---- fast path: one equi-join on tag_path -------------------------------
+    # ---- fast paths: no join loop ------------------------------------------
+    # abs:     absolute child path -> equi-join on (match, tag_path) + sib_path check
+    # pattern: only / and // name steps -> equi-join on (match, last tag) + regex on tag_path
     node_steps = lambda s: F.filter(s, lambda x: x.kind == "node")
+    ns = node_steps(F.col("steps"))
+    last = F.element_at(ns, -1)
+    is_abs = F.col("mode") == "abs"
+    plain = (F.size(last.preds) == 0) & F.when(
+        is_abs, F.coalesce(last.pos, F.lit(0)) >= 0).otherwise(last.pos.isNull())
     fast = fast.select(
-        *match_cols, *pcols, "br", "steps",
-        F.concat(F.lit("/"), F.array_join(F.transform(node_steps(F.col("steps")),
-                                                      lambda x: x.test), "/")).alias("tag_path"),
-        F.transform(node_steps(F.col("steps")), lambda x: F.coalesce(x.pos, F.lit(0))).alias("pp"))
+        *match_cols, *pcols, "br", "steps", "mode", "pattern", last.alias("last"),
+        plain.alias("plain"), last.test.alias("tag"),
+        F.concat(F.lit("/"), F.array_join(F.transform(ns, lambda x: x.test), "/")).alias("tag_path"),
+        # positions checked against sib_path; the last one only when no predicate
+        F.transform(ns, lambda x, i: F.when((i == F.size(ns) - 1) & ~plain, F.lit(0))
+                    .otherwise(F.coalesce(x.pos, F.lit(0)))).alias("pp"))
     fprog = F.broadcast(fast) if broadcast_programs else fast
-    fhit = nodes.select("page_id", *match_cols, "tag_path", "node_id", "sib_path").join(
-        fprog, match_cols + ["tag_path"])
-    fhit = fhit.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
-                                lambda z: (z.pp == 0) | (z.pp == z.sib_path)))
-    fdone = fhit.select(*keys, "br", "steps", "node_id",
-                        F.size(node_steps(F.col("steps"))).alias("i"))
+    ncols = nodes.select("page_id", *match_cols, "tag", "tag_path", "node_id", "parent_id",
+                         "sib_path", "attrs", "text_slots")
+    f_abs = ncols.drop("tag").join(fprog.filter(F.col("mode") == "abs").drop("tag"),
+                                   match_cols + ["tag_path"])
+    f_abs = f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
+                                  lambda z: (z.pp == 0) | (z.pp == z.sib_path)))
+    f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
+        "tag_path", "prog_path"), match_cols + ["tag"]).filter(
+        F.expr("regexp_like(tag_path, pattern)")).drop("prog_path")
+    fhit = f_abs.unionByName(f_pat.drop("tag"))
+    fplain = fhit.filter("plain")
+    # last step with predicates (or last()): position among matching siblings
+    fpred = fhit.filter(~F.col("plain")).withColumn(
+        "ok", _pred_ok(F.col("last.preds"), F.col("attrs"), F.col("text_slots"), F.lit("")))
+    wk = [*keys, "br", "parent_id"]
+    lpos = F.col("last.pos")
+    hit = lambda rn, cnt: F.when(lpos == -1, rn == cnt).otherwise(rn == lpos)
+    fpred = fpred.withColumn("keep", F.col("ok") & (
+        lpos.isNull()
+        | (F.col("last.pos_first") & hit(F.row_number().over(Window.partitionBy(*wk).orderBy("node_id")),
+                                         F.count(F.lit(1)).over(Window.partitionBy(*wk))))
+        | (~F.col("last.pos_first") & hit(
+            F.row_number().over(Window.partitionBy(*wk, "ok").orderBy("node_id")),
+            F.count(F.lit(1)).over(Window.partitionBy(*wk, "ok")))))).filter("keep")
+    fdone = fplain.unionByName(fpred.drop("ok", "keep")).select(
+        *keys, "br", "steps", "node_id", F.size(node_steps(F.col("steps"))).alias("i"))
 
     # ---- general path: frontier loop ---------------------------------------
     meta = slow.select(F.posexplode("steps").alias("i", "s")).select(
