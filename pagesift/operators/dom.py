@@ -211,3 +211,18 @@ def subtree_stats(nodes: DataFrame, token_fn=None) -> DataFrame:
 
 def is_block(tag: Column) -> Column:
     return ~tag.isin(*sorted(INLINE_TAGS)) | (tag == "br")
+
+
+def common_ancestor(nodes: DataFrame, members: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Lowest common ancestor of each group of member nodes
+    (default group: the page). The deepest depth at which every member's
+    ancestor list holds one and the same id; one explode + aggregate."""
+    g = ["page_id"] + [c for c in (group or []) if c != "page_id"]
+    m = members.select(*g, "node_id").distinct().join(
+        nodes.select("page_id", "node_id", "anc_ids"), ["page_id", "node_id"])
+    size = m.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    ex = m.select(*g, F.posexplode("anc_ids").alias("d", "anc"))
+    per = ex.groupBy(*g, "d").agg(F.count(F.lit(1)).alias("c"), F.min("anc").alias("lo"),
+                                  F.max("anc").alias("hi"))
+    per = per.join(size, g).filter((F.col("c") == F.col("n")) & (F.col("lo") == F.col("hi")))
+    return per.groupBy(*g).agg(F.max_by("lo", "d").alias("lca_id"))
