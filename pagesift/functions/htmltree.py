@@ -31,6 +31,8 @@ FORMATTING_TAGS = frozenset("a b big code em font i nobr s small strike strong t
 IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 SCOPE_STOP = frozenset("applet caption html table td th marquee object template".split())
 MARKER_TAGS = frozenset("applet object marquee template td th caption".split())
+TABLE_PARTS = frozenset("table caption colgroup tbody thead tfoot tr td th".split())
+TABLE_SCOPE = frozenset("html table template".split())
 SPECIAL_TAGS = frozenset(
     "address applet area article aside base basefont bgsound blockquote body br button "
     "caption center col colgroup dd details dir div dl dt embed fieldset figcaption figure "
@@ -99,11 +101,11 @@ class _TreeBuilder(HTMLParser):
             if self._pop().tag == tag:
                 return
 
-    def _in_scope(self, tags, extra_stop=frozenset()):
+    def _in_scope(self, tags, extra_stop=frozenset(), stop=SCOPE_STOP):
         for n in reversed(self.stack):
             if n.tag in tags:
                 return True
-            if n.tag in SCOPE_STOP or n.tag in extra_stop:
+            if n.tag in stop or n.tag in extra_stop:
                 return False
         return False
 
@@ -302,6 +304,11 @@ class _TreeBuilder(HTMLParser):
             return
         if tag in FORMATTING_TAGS and self._end_formatting(tag):
             return
+        if tag in TABLE_PARTS:
+            if self._in_scope({tag}, stop=TABLE_SCOPE):
+                self._implied_end(tag)
+                self._pop_until(tag)
+            return
         if tag in SPECIAL_TAGS:
             if self._in_scope({tag}, {"ul", "ol"} if tag == "li" else frozenset()):
                 self._implied_end(tag)

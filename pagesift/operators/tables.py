@@ -21,7 +21,7 @@ def _table_ancestry(nodes: DataFrame) -> DataFrame:
                          F.slice("anc_ids", 1, F.size("anc_ids") - 1).alias("a"))
     anc_tables = F.transform(F.filter(pairs, lambda p: p.t == "table"), lambda p: p.a)
     return nodes.filter(F.col("tag") == "table").withColumn("_at", anc_tables).select(
-        "*", F.coalesce(F.element_at(F.col("_at"), -1), F.lit(-1)).alias("parent_table_id"),
+        "*", F.coalesce(F.try_element_at(F.col("_at"), F.lit(-1)), F.lit(-1)).alias("parent_table_id"),
         (F.size("_at") + 1).alias("level")).drop("_at")
 
 

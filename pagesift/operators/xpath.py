@@ -68,7 +68,7 @@ def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
 
 
 def _pred_ok(preds: Column, attrs: Column, slots: Column, sv: Column) -> Column:
-    first_text = F.coalesce(F.element_at(F.transform(slots, lambda s: s.text), 1), F.lit(""))
+    first_text = F.coalesce(F.try_element_at(F.transform(slots, lambda s: s.text), F.lit(1)), F.lit(""))
     norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"[ \t\r\n]+", " "), r"^ | $", "")
 
     def one(p):
