@@ -97,12 +97,10 @@ def classify(nodes: DataFrame, mode: str = "deep") -> DataFrame:
 
 def hidden_below(nodes: DataFrame) -> DataFrame:
     """Nodes with a ``display:none`` proper ancestor (their content is cleared)."""
+    from pagesift.operators.dom import within
     h = nodes.filter(F.coalesce(F.col("attrs")["style"].rlike(r"display\s*:\s*none"), F.lit(False)))
-    h = h.select("page_id", F.col("node_id").alias("h_id"), F.col("end_id").alias("h_end"))
-    j = nodes.select("page_id", "node_id").join(
-        h, (nodes["page_id"] == h["page_id"]) & (F.col("node_id") > F.col("h_id"))
-        & (F.col("node_id") <= F.col("h_end")), "left_semi")
-    return j
+    return within(nodes.select("page_id", "node_id", "anc_ids"), h.select("page_id", "node_id"),
+                  keep_inside=True, strict=True).select("page_id", "node_id")
 
 
 def sanitize(nodes: DataFrame, mode: str = "deep") -> DataFrame:

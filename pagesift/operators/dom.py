@@ -131,37 +131,73 @@ def render_lines(chunks: Column) -> Column:
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
-def subtree_text(nodes: DataFrame, targets: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Rendered text of each target node's subtree (X1 element results, F6/F7).
+def target_sets(targets: DataFrame) -> DataFrame:
+    """Per page, the set of target node ids (bounded by the page's size)."""
+    return targets.select("page_id", "node_id").groupBy("page_id").agg(
+        F.collect_set("node_id").alias("_tids"))
+
 
-    ``targets`` has page_id, node_id, end_id and ``key_cols``. Interval join on
-    page_id with ``owner between node_id and end_id``; one aggregate per target.
+def under_targets(items: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
+    """Pair each item (a row with ``page_id`` and its ``anc_ids``) with every
+    target node that is an ancestor-or-self of it (a proper ancestor when
+    ``strict``), as ``target_id``.
+
+    Subtree membership is read off ``anc_ids``: one equi-join on page_id with
+    the page's target set and an ``array_intersect``, so the work is linear in
+    items x depth - never the (targets x nodes) pairs a range join enumerates.
     """
-    t = texts(nodes).select("page_id", F.col("node_id").alias("owner"),
-                            F.struct("idx", "text", "seq", "brk", "vis").alias("chunk"))
-    j = targets.alias("g").join(
-        t.alias("t"),
-        (F.col("g.page_id") == F.col("t.page_id"))
-        & F.col("t.owner").between(F.col("g.node_id"), F.col("g.end_id")), "left")
+    anc = F.slice("anc_ids", 1, F.size("anc_ids") - 1) if strict else F.col("anc_ids")
+    j = items.join(target_sets(targets), "page_id")
+    return j.withColumn("target_id", F.explode(F.array_intersect(anc, F.col("_tids")))).drop("_tids")
+
+
+def within(nodes: DataFrame, roots: DataFrame, keep_inside: bool, strict: bool = False) -> DataFrame:
+    """Nodes inside (``keep_inside``) or outside the subtrees of ``roots``
+    (page_id, node_id); ``strict`` excludes the roots themselves."""
+    anc = F.slice("anc_ids", 1, F.size("anc_ids") - 1) if strict else F.col("anc_ids")
+    j = nodes.join(target_sets(roots), "page_id", "left")
+    hit = F.coalesce(F.arrays_overlap(anc, F.col("_tids")), F.lit(False))
+    return j.filter(hit if keep_inside else ~hit).drop("_tids")
+
+
+def chunks(nodes: DataFrame) -> DataFrame:
+    """Text chunks with their owner's ancestors (input of subtree text)."""
+    return nodes.select("page_id", F.col("node_id").alias("owner"), "anc_ids",
+                        F.explode("text_slots").alias("chunk"))
+
+
+def _subtree_chunks(nodes: DataFrame, targets: DataFrame, key_cols: list[str]) -> DataFrame:
+    """(page_id, node_id, keys..., chunks ARRAY) for every target, [] when none."""
     cols = ["page_id", "node_id"] + [c for c in key_cols if c not in ("page_id", "node_id")]
-    return (j.groupBy(*[F.col(f"g.{c}").alias(c) for c in cols])
-            .agg(F.collect_list("t.chunk").alias("chunks"))
-            .withColumn("rendered", render_lines(F.col("chunks"))).drop("chunks"))
+    tg = targets.select(*cols)
+    pairs = under_targets(chunks(nodes.join(tg.select("page_id").distinct(), "page_id", "left_semi")),
+                          tg).select("page_id", F.col("target_id").alias("node_id"), "chunk")
+    agg = pairs.groupBy("page_id", "node_id").agg(F.collect_list("chunk").alias("chunks"))
+    return tg.join(agg, ["page_id", "node_id"], "left").withColumn(
+        "chunks", F.coalesce("chunks", F.array().cast(T.ArrayType(SLOT_TYPE))))
+
+
+def subtree_text(nodes: DataFrame, targets: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Rendered text of each target node's subtree (X1 element results, F6/F7)."""
+    return _subtree_chunks(nodes, targets, key_cols).withColumn(
+        "rendered", render_lines(F.col("chunks"))).drop("chunks")
+
+
+def string_value(nodes: DataFrame, targets: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """XPath string-value / bs4 get_text: all subtree text, no separators."""
+    c = _subtree_chunks(nodes, targets, key_cols or [])
+    return c.withColumn("sv", F.array_join(F.transform(F.sort_array(F.transform(
+        "chunks", lambda x: F.struct(x.seq.alias("seq"), x.text.alias("text")))), lambda x: x.text), "")
+    ).drop("chunks")
 
 
 def text_content(nodes: DataFrame, targets: DataFrame, key_cols: list[str]) -> DataFrame:
     """stripped non-empty chunks of the subtree joined by one space."""
-    t = texts(nodes).select("page_id", F.col("node_id").alias("owner"), "seq", "text")
-    j = targets.alias("g").join(
-        t.alias("t"),
-        (F.col("g.page_id") == F.col("t.page_id"))
-        & F.col("t.owner").between(F.col("g.node_id"), F.col("g.end_id")), "left")
-    cols = ["page_id", "node_id"] + [c for c in key_cols if c not in ("page_id", "node_id")]
-    agg = j.groupBy(*[F.col(f"g.{c}").alias(c) for c in cols]).agg(
-        F.sort_array(F.collect_list(F.struct("t.seq", "t.text"))).alias("cs"))
-    return agg.select(*cols, F.array_join(F.filter(
-        F.transform("cs", lambda x: F.regexp_replace(x.text, r"(?U)^\s+|\s+$", "")),
-        lambda s: s != ""), " ").alias("text_content"))
+    c = _subtree_chunks(nodes, targets, key_cols)
+    srt = F.sort_array(F.transform("chunks", lambda x: F.struct(x.seq.alias("seq"), x.text.alias("text"))))
+    return c.withColumn("text_content", F.array_join(F.filter(
+        F.transform(srt, lambda x: F.regexp_replace(x.text, r"(?U)^\s+|\s+$", "")),
+        lambda s: s != ""), " ")).drop("chunks")
 
 
 def ancestors(nodes: DataFrame, cols: list[str] | None = None) -> DataFrame:

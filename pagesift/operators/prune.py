@@ -1,7 +1,8 @@
 """Pruning and condensing pages around paths.
 
-All removals are interval anti-joins keyed by ``page_id`` (a node is inside a
-removed subtree iff its id lies in ``[root.node_id, root.end_id]``).
+A node is inside a removed subtree iff the root is among its ``anc_ids``, so
+every removal is an equi-join on ``page_id`` with the page's root set plus an
+``arrays_overlap`` - linear in nodes x depth, no range join.
 """
 
 from __future__ import annotations
@@ -9,16 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.operators.dom import within
 from pagesift.operators.relational import prefix_dedup
 from pagesift.operators.clean import _tag_tokens
 from pagesift.functions.text import token_count
 
 
 def _inside(nodes: DataFrame, roots: DataFrame, how: str, strict: bool = False) -> DataFrame:
-    r = roots.select(F.col("page_id").alias("r_page"), F.col("node_id").alias("r_id"),
-                     F.col("end_id").alias("r_end"))
-    lo = (nodes["node_id"] > r["r_id"]) if strict else (nodes["node_id"] >= r["r_id"])
-    return nodes.join(r, (nodes["page_id"] == r["r_page"]) & lo & (nodes["node_id"] <= r["r_end"]), how)
+    """Semi (inside) / anti (outside) selection of subtrees via ancestor sets."""
+    return within(nodes, roots.select("page_id", "node_id"), how == "left_semi", strict)
 
 
 def paths_to_nodes(nodes: DataFrame, paths: DataFrame, path_col: str = "xpath") -> DataFrame:
@@ -51,8 +51,8 @@ def classify_condense(nodes: DataFrame, includes: DataFrame) -> DataFrame:
     inc = nodes.join(includes.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi")
     spine = inc.select("page_id", F.explode("anc_ids").alias("node_id")).distinct().withColumn(
         "_spine", F.lit(True))
-    inside = _inside(nodes.select("page_id", "node_id"), inc, "left_semi", strict=True).withColumn(
-        "_inside", F.lit(True))
+    inside = _inside(nodes.select("page_id", "node_id", "anc_ids"), inc, "left_semi",
+                     strict=True).select("page_id", "node_id").withColumn("_inside", F.lit(True))
     sp_parent = spine.select("page_id", F.col("node_id").alias("parent_id"),
                              F.col("_spine").alias("_parent_spine"))
     n = (nodes.join(spine, ["page_id", "node_id"], "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import py_strip
 from pagesift.operators.clean import serialize
+from pagesift.operators.dom import string_value, under_targets
 
 
 def _table_ancestry(nodes: DataFrame) -> DataFrame:
@@ -27,12 +28,7 @@ def _table_ancestry(nodes: DataFrame) -> DataFrame:
 
 def _string_value(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """(page_id, node_id) -> concatenated subtree text (bs4 get_text)."""
-    t = nodes.select(F.col("page_id").alias("t_page"), F.col("node_id").alias("t_owner"),
-                     F.explode("text_slots").alias("s"))
-    j = targets.join(t, (targets["page_id"] == t["t_page"])
-                     & t["t_owner"].between(targets["node_id"], targets["end_id"]), "left")
-    return j.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.sort_array(
-        F.collect_list(F.struct(F.col("s.seq"), F.col("s.text")))), lambda x: x.text), "").alias("sv"))
+    return string_value(nodes, targets.select("page_id", "node_id"))
 
 
 def table_titles(nodes: DataFrame, tables: DataFrame) -> DataFrame:
@@ -71,9 +67,8 @@ def table_titles(nodes: DataFrame, tables: DataFrame) -> DataFrame:
 
 def table_content(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """Serialized HTML of each table's subtree (interval join + T8)."""
-    tb = tables.select("page_id", F.col("node_id").alias("tid"), F.col("end_id").alias("tend"))
-    sub = nodes.join(tb, (nodes["page_id"] == tb["page_id"])
-                     & nodes["node_id"].between(tb["tid"], tb["tend"])).drop(tb["page_id"])
+    sub = under_targets(nodes, tables.select("page_id", "node_id")).withColumnRenamed(
+        "target_id", "tid")
     # serialize per (page, table): the table key rides in page_id's place
     keyed = sub.withColumn("page_id", F.struct(F.col("page_id").alias("p"), F.col("tid").alias("t")))
     s = serialize(keyed.withColumn("tail", F.when(F.col("node_id") == F.col("tid"), F.lit(None))

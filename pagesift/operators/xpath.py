@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import normalize_text
 from pagesift.functions.xpath_compile import branch_mode, compile_program, tag_path_regex
-from pagesift.operators.dom import render_lines
+from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
                        T.StructField("val", T.StringType()), T.StructField("neg", T.BooleanType())])
@@ -35,6 +35,10 @@ STEP_T = T.StructType([
     T.StructField("axis", T.StringType()), T.StructField("test", T.StringType()),
     T.StructField("kind", T.StringType()), T.StructField("preds", T.ArrayType(PRED_T)),
     T.StructField("pos", T.IntegerType()), T.StructField("pos_first", T.BooleanType())])
+SLOT_T = T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("seq", T.IntegerType()), T.StructField("brk", T.BooleanType()),
+    T.StructField("vis", T.BooleanType())])
 COMPILED_T = T.StructType([
     T.StructField("branches", T.ArrayType(T.ArrayType(STEP_T))),
     T.StructField("modes", T.ArrayType(T.StringType())),
@@ -103,13 +107,8 @@ def _test_ok(test: Column, tag: Column) -> Column:
 
 def _string_values(nodes: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
     """XPath string-value (all descendant text, no separators) for candidates."""
-    t = nodes.select(F.col("page_id").alias("t_page"), F.col("node_id").alias("t_owner"),
-                     F.explode("text_slots").alias("s"))
-    c = cand.select(*keys, "n_node_id", "n_end_id").distinct()
-    j = c.join(t, (c["page_id"] == t["t_page"])
-               & t["t_owner"].between(c["n_node_id"], c["n_end_id"]), "left")
-    sv = j.groupBy(*keys, "n_node_id").agg(F.array_join(F.transform(F.sort_array(
-        F.collect_list(F.struct(F.col("s.seq"), F.col("s.text")))), lambda x: x.text), "").alias("sv"))
+    c = cand.select(*keys, F.col("n_node_id").alias("node_id")).distinct()
+    sv = string_value(nodes, c, keys).withColumnRenamed("node_id", "n_node_id")
     return cand.join(sv, keys + ["n_node_id"], "left").withColumn("sv", F.coalesce("sv", F.lit("")))
 
 
@@ -293,25 +292,24 @@ def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str]) -> DataF
         F.col("t.pos").isNull() | (F.col("s.idx") == F.col("t.pos"))).select(
         *keys, F.col("s.seq").alias("ord"), F.concat(F.lit("t"), F.col("s.seq")).alias("uid"),
         F.col("s.text").alias("raw"))
-    sub = r.filter((kind == "text") & (F.col("t.axis") == "desc_child")).select(
-        *keys, F.col("node_id").alias("g_node"), F.col("end_id").alias("g_end"))
-    tx = nodes.select(F.col("page_id").alias("x_page"), F.col("node_id").alias("x_owner"),
-                      F.explode("text_slots").alias("s"))
-    sub_txt = sub.join(tx, (F.col("page_id") == F.col("x_page"))
-                       & F.col("x_owner").between(F.col("g_node"), F.col("g_end"))).select(
-        *keys, F.col("s.seq").alias("ord"), F.concat(F.lit("t"), F.col("s.seq")).alias("uid"),
-        F.col("s.text").alias("raw"))
+    # text chunks under result elements: ancestor-set equi-join, no range join
+    pages = r.select("page_id").distinct()
+    ck = chunks(nodes.join(pages, "page_id", "left_semi"))
+    sub = r.filter((kind == "text") & (F.col("t.axis") == "desc_child")).select(*keys, "node_id")
+    sub_txt = under_targets(ck, sub.select("page_id", "node_id")).join(
+        sub.withColumnRenamed("node_id", "target_id"), ["page_id", "target_id"]).select(
+        *keys, F.col("chunk.seq").alias("ord"), F.concat(F.lit("t"), F.col("chunk.seq")).alias("uid"),
+        F.col("chunk.text").alias("raw"))
     att = r.filter(kind == "attr").select(
         *keys, F.col("start_seq").alias("ord"),
         F.concat(F.lit("a"), F.col("node_id"), F.lit("@"), F.col("t.test")).alias("uid"),
         F.col("attrs")[F.col("t.test")].alias("raw"))
-    el = r.filter(kind == "node").select(*keys, "node_id", "end_id", "start_seq")
-    el_txt = el.join(tx, (F.col("page_id") == F.col("x_page"))
-                     & F.col("x_owner").between(F.col("node_id"), F.col("end_id")), "left").groupBy(
-        *keys, "node_id", "start_seq").agg(F.collect_list("s").alias("chunks"))
-    el_txt = el_txt.select(*keys, F.col("start_seq").alias("ord"),
-                           F.concat(F.lit("e"), F.col("node_id")).alias("uid"),
-                           render_lines(F.col("chunks")).alias("raw"))
+    el = r.filter(kind == "node").select(*keys, "node_id", "start_seq")
+    el_pairs = under_targets(ck, el.select("page_id", "node_id")).groupBy(
+        "page_id", F.col("target_id").alias("node_id")).agg(F.collect_list("chunk").alias("chunks"))
+    el_txt = el.join(el_pairs, ["page_id", "node_id"], "left").select(
+        *keys, F.col("start_seq").alias("ord"), F.concat(F.lit("e"), F.col("node_id")).alias("uid"),
+        render_lines(F.coalesce("chunks", F.array().cast(T.ArrayType(SLOT_T)))).alias("raw"))
     allv = own_txt.unionByName(sub_txt).unionByName(att).unionByName(el_txt).dropDuplicates(
         keys + ["uid"])
     allv = allv.filter(F.col("raw").isNotNull()).withColumn("v", normalize_text(F.col("raw")))
