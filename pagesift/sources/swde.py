@@ -25,7 +25,7 @@ PAGE_PATH = r"/([a-z]+)/([a-z]+)-([^/(]+)\((\d+)\)/([^/]+)\.htm$"
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """(category, site, page_id, pages, path, html), one row per file."""
-    df = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/*/*.htm").select(
+    df = spark.read.text(f"{root.rstrip('/')}/*/*/*.htm", wholetext=True).select(
         F.col("value").alias("html"), F.col("_metadata.file_path").alias("path"))
     p = F.col("path")
     return df.select(
@@ -63,8 +63,8 @@ def read_ground_truth(spark: SparkSession, root: str, normalize: bool = False) -
     """S4 (+ S5 when ``normalize``): long truth ``(category, site, page_id,
     field, values)`` from the ragged TSV files; 2 header lines skipped, blank
     lines dropped, rows whose first value is ``<NULL>`` dropped."""
-    df = spark.read.option("wholetext", True).text(
-        f"{root.rstrip('/')}/groundtruth/*/*.txt").select(
+    df = spark.read.text(
+        f"{root.rstrip('/')}/groundtruth/*/*.txt", wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"))
     df = df.select(
         F.regexp_extract("path", r"/([a-z]+)-([^/]+)-([^/-]+)\.txt$", 1).alias("category"),
@@ -104,7 +104,7 @@ def truth_maps(long_truth: DataFrame, fields: DataFrame | None = None) -> DataFr
 def read_expanded_truth(spark: SparkSession, root: str) -> DataFrame:
     """``{page_id: {field: [values]}}`` files -> long truth; empty value
     lists and keys starting with '.' dropped, a trailing ':' stripped."""
-    df = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/*.json").select(
+    df = spark.read.text(f"{root.rstrip('/')}/*/*.json", wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"))
     pat = r"/([a-z]+)/([a-z]+)-([^/(]+)\((\d+)\)\.json$"
     m = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType()))))
@@ -130,7 +130,7 @@ def site_queries(long_truth: DataFrame) -> DataFrame:
 def read_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Question text per (category, site); field names from backticks,
     or from the keys of a fenced JSON object."""
-    df = spark.read.option("wholetext", True).text(f"{folder.rstrip('/')}/*.txt").select(
+    df = spark.read.text(f"{folder.rstrip('/')}/*.txt", wholetext=True).select(
         F.col("value").alias("query"), F.col("_metadata.file_path").alias("path"))
     fence = F.regexp_extract("query", r"(?s)```(?:json)?(.*?)```", 1)
     json_keys = F.map_keys(F.from_json(fence, T.MapType(T.StringType(), T.ArrayType(T.StringType()))))
