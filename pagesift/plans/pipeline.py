@@ -69,6 +69,9 @@ def induce_and_evaluate(pages: DataFrame, nodes: DataFrame, ann: DataFrame,
     """Returns (best programs, per-site + overall report)."""
     keys = pages.select("page_id", "site", "category")
     seeds, pool = sampling.split_seeds(keys, ["site"], n_seeds, "page_id", seed)
+    # small, reused by every branch below: materialize once in the shared folder
+    seeds, pool, ann = (seeds.checkpoint(eager=True), pool.checkpoint(eager=True),
+                        ann.checkpoint(eager=True))
     _, best = induce_programs(nodes, seeds, ann)
     best = best.checkpoint(eager=True)
     pool_nodes = nodes.join(pool.select("page_id"), "page_id", "left_semi")
