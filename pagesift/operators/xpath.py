@@ -68,7 +68,7 @@ def compile_programs(programs: DataFrame, program_col: str = "program",
 def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(prefix + c) for c in (
         "page_id", "node_id", "end_id", "parent_id", "child_ord", "tag", "attrs", "text_slots",
-        "anc_ids")])
+        "anc_ids", "start_seq")])
 
 
 def _pred_ok(preds: Column, attrs: Column, slots: Column, sv: Column) -> Column:
@@ -157,7 +157,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                     .otherwise(F.coalesce(x.pos, F.lit(0)))).alias("pp"))
     fprog = F.broadcast(fast) if broadcast_programs else fast
     ncols = nodes.select("page_id", *match_cols, "tag", "tag_path", "node_id", "parent_id",
-                         "sib_path", "attrs", "text_slots")
+                         "sib_path", "attrs", "text_slots", "start_seq")
     f_abs = ncols.drop("tag").join(fprog.filter(F.col("mode") == "abs").drop("tag"),
                                    match_cols + ["tag_path"])
     f_abs = f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
@@ -180,8 +180,9 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         | (~F.col("last.pos_first") & hit(
             F.row_number().over(Window.partitionBy(*wk, "ok").orderBy("node_id")),
             F.count(F.lit(1)).over(Window.partitionBy(*wk, "ok")))))).filter("keep")
+    payload = ["attrs", "text_slots", "start_seq"]
     fdone = fplain.unionByName(fpred.drop("ok", "keep")).select(
-        *keys, "br", "steps", "node_id", F.size(node_steps(F.col("steps"))).alias("i"))
+        *keys, "br", "steps", "node_id", *payload, F.size(node_steps(F.col("steps"))).alias("i"))
 
     # ---- general path: frontier loop ---------------------------------------
     meta = slow.select(F.posexplode("steps").alias("i", "s")).select(
@@ -193,13 +194,15 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                       match_cols + pcols).select(
         *keys, "br", "steps", F.lit(-1).alias("node_id"), F.col("root_end").alias("end_id"),
         F.lit(-2).alias("parent_id"), F.lit(0).alias("child_ord"),
-        F.array().cast(T.ArrayType(T.IntegerType())).alias("anc_ids"))
+        F.array().cast(T.ArrayType(T.IntegerType())).alias("anc_ids"),
+        F.lit(None).cast("map<string,string>").alias("attrs"),
+        F.lit(None).cast(T.ArrayType(SLOT_T)).alias("text_slots"), F.lit(None).cast("int").alias("start_seq"))
     done = [fdone]
     N = _node_cols(nodes, "n_")
     for i in range(n_steps):
         step = F.element_at("steps", i + 1)
         is_node = (F.size("steps") > i) & (step.kind == "node")
-        done.append(front.filter(~is_node).select(*keys, "br", "steps", "node_id",
+        done.append(front.filter(~is_node).select(*keys, "br", "steps", "node_id", *payload,
                                                   F.lit(i).alias("i")))
         act = front.filter(is_node).withColumn("st", step)
         here = [r for r in meta if r["i"] == i and r["kind"] == "node"]
@@ -267,8 +270,10 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
             *keys, "br", "steps", F.col("n_node_id").alias("node_id"),
             F.col("n_end_id").alias("end_id"), F.col("n_parent_id").alias("parent_id"),
             F.col("n_child_ord").alias("child_ord"), F.col("n_anc_ids").alias("anc_ids"),
+            F.col("n_attrs").alias("attrs"), F.col("n_text_slots").alias("text_slots"),
+            F.col("n_start_seq").alias("start_seq"),
         ).dropDuplicates(keys + ["br", "node_id"])
-    done.append(front.select(*keys, "br", "steps", "node_id", F.lit(n_steps).alias("i")))
+    done.append(front.select(*keys, "br", "steps", "node_id", *payload, F.lit(n_steps).alias("i")))
     res = reduce(lambda x, y: x.unionByName(y), done).filter(F.col("node_id") >= 0)
     values = _terminal_values(nodes, res, keys)
     out = base.select(*keys, *[c for c in match_cols if c not in keys], "invalid").join(
@@ -283,8 +288,7 @@ def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str]) -> DataF
     chunks, @attr -> attribute value. Then normalize, drop empties, order."""
     term = F.element_at("steps", F.col("i") + 1)
     r = res.withColumn("t", F.when(F.size("steps") > F.col("i"), term)).drop("steps")
-    nd = nodes.select("page_id", "node_id", "end_id", "attrs", "text_slots", "start_seq")
-    r = r.join(nd, ["page_id", "node_id"])
+    # result rows carry attrs / text_slots / start_seq: no re-join with the node table
     kind = F.coalesce(F.col("t.kind"), F.lit("node"))
     # each part: keys, ord (document position), uid (dedupe identity), raw
     own_txt = r.filter((kind == "text") & (F.col("t.axis") != "desc_child")).select(
@@ -293,8 +297,7 @@ def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str]) -> DataF
         *keys, F.col("s.seq").alias("ord"), F.concat(F.lit("t"), F.col("s.seq")).alias("uid"),
         F.col("s.text").alias("raw"))
     # text chunks under result elements: ancestor-set equi-join, no range join
-    pages = r.select("page_id").distinct()
-    ck = chunks(nodes.join(pages, "page_id", "left_semi"))
+    ck = chunks(nodes)
     sub = r.filter((kind == "text") & (F.col("t.axis") == "desc_child")).select(*keys, "node_id")
     sub_txt = under_targets(ck, sub.select("page_id", "node_id")).join(
         sub.withColumnRenamed("node_id", "target_id"), ["page_id", "target_id"]).select(

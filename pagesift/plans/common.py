@@ -28,15 +28,19 @@ def keyed_pages(spark: SparkSession, d: str) -> DataFrame:
         "category", category_of("url"))
 
 
-def keyed_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return explode_dom(keyed_pages(spark, d), keep=["site", "category"])
+def keyed_nodes(spark: SparkSession, d: str, materialize: bool = True) -> DataFrame:
+    """Node table of the harness pages. Parsed once: the Python parse runs a
+    single time and the table is checkpointed to the shared folder, because
+    every plan reads it several times (roots, matches, text chunks)."""
+    nodes = explode_dom(keyed_pages(spark, d), keep=["site", "category"])
+    return nodes.checkpoint(eager=True) if materialize else nodes
 
 
 def site_programs(pages: DataFrame, rows: list[tuple[str, str]], lang: str = "xpath") -> DataFrame:
     """Programs table: the given (field, program) rows for every site present."""
-    spark = pages.sparkSession
-    progs = spark.createDataFrame(rows, "field string, program string").withColumn("lang", F.lit(lang))
-    return pages.select("site").distinct().crossJoin(F.broadcast(progs))
+    lit = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("program")) for f, p in rows])
+    return pages.select("site").distinct().select("site", F.explode(lit).alias("p")).select(
+        "site", "p.field", "p.program", F.lit(lang).alias("lang"))
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:

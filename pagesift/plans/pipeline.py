@@ -85,7 +85,7 @@ def induce_and_evaluate(pages: DataFrame, nodes: DataFrame, ann: DataFrame,
 
 def _nodes_once(spark: SparkSession, d: str) -> DataFrame:
     """Parse once, cut lineage in the shared checkpoint folder."""
-    return keyed_nodes(spark, d).checkpoint(eager=True)
+    return keyed_nodes(spark, d)
 
 
 def q_induce_eval(spark: SparkSession, d: str) -> DataFrame:
