@@ -126,3 +126,10 @@ def parse_program_answer(c: Column | str) -> Column:
             .when(c.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), c, F.lit("}")), "$.x"))
             .when(c.startswith("["), F.get_json_object(c, "$[0]"))
             .otherwise(F.get_json_object(c, "$.xpath")))
+
+
+def normalize_unescape_first(c: Column | str) -> Column:
+    """generic unescape first, then the literal replacements; NBSP to
+    space and strip, without collapsing space runs."""
+    c = F.col(c) if isinstance(c, str) else c
+    return py_strip(F.replace(replace_entities(html_unescape(c)), F.lit("\xa0"), F.lit(" ")))

@@ -125,3 +125,8 @@ def compact_values(*cols: Column) -> Column:
 def clean_values(values: Column) -> Column:
     """Keep non-blank stripped values."""
     return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def zip_lists(*cols: Column) -> Column:
+    """Positional zip of parallel lists (shorter ones padded with null)."""
+    return F.arrays_zip(*cols)

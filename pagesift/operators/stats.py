@@ -35,7 +35,8 @@ def describe_by_bin(df: DataFrame, bin_col: str, value_col: str, digits: int = 6
 
 def explode_values(df: DataFrame, keys: list[str], array_col: str, out: str) -> DataFrame:
     """A6 input: explode an array column, empty arrays contribute one 0."""
-    return df.select(*keys, F.coalesce(F.explode_outer(array_col), F.lit(0)).alias(out))
+    e = df.select(*keys, F.explode_outer(array_col).alias(out))
+    return e.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
 def corr_by_group(df: DataFrame, group_cols: list[str], a: str, b: str, digits: int = 6) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import html_unescape, ordered_list, token_count
-from pagesift.operators import clean, fragments, induce, prune, sampling, stats, structure, tables
+from pagesift.operators import clean, fragments, induce, ops, prune, sampling, stats, structure, tables
 from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
 from pagesift.plans.pipeline import _nodes_once, harness_annotations
@@ -205,7 +205,75 @@ def q_stream_extract(spark, d):
     return spark.read.parquet(os.path.join(run, "out"))
 
 
+def q_structure_pruning_stats(spark, d):
+    """Z3: tokens after pruning each page to its site's template, and how
+    many annotated values survive (F19 after T12)."""
+    prepare(spark)
+    nodes = _nodes_once(spark, d)
+    pages = keyed_pages(spark, d).select("page_id", "site")
+    s = structure.page_structure(clean.sanitize(nodes, "soup"))
+    rep = sampling.top_n_per_group(pages, ["site"], F.col("page_id"), 1).select(
+        "site", F.col("page_id").alias("rep_id"))
+    st = s.select(F.col("page_id").alias("rep_id"), "node_id", "parent_id", "child_ord", "tag", "cls")
+    st = st.join(rep, "rep_id").drop("rep_id").checkpoint(eager=True)
+    kept = structure.prune_by_structure(nodes, pages.join(st, "site").drop("site"))
+    size = clean.serialized_tokens(kept).withColumnRenamed("cleaned_tokens", "structure_tokens")
+    kept_vals = ops.values_kept(clean.serialize(kept), harness_annotations(keyed_pages(spark, d)))
+    return size.join(kept_vals, "page_id", "left").join(pages, "page_id").withColumn(
+        "match_rate", stats.ratio(F.col("match_count"), F.col("total")))
+
+
+def q_removed_token_describe(spark, d):
+    """describe() of removed-token sizes per 1000-token bin (A6 over T17)."""
+    prepare(spark)
+    rm = fragments.remove_until(clean.sanitize(_nodes_once(spark, d), "light"), 64, 256)
+    ex = stats.explode_values(rm, ["page_id"], "removed_tokens", "removed")
+    ex = ex.withColumn("bin", stats.bin_floor(F.col("removed"), 1000))
+    return stats.describe_by_bin(ex, "bin", "removed")
+
+
+def q_representative_pages(spark, d):
+    """Per site the page with the largest cleaned size (O2), the deepest
+    text node holding each annotated title/ad value (W15), their lowest common
+    ancestor (T27) and that context, soup-sanitized (T6)."""
+    prepare(spark)
+    pages = keyed_pages(spark, d)
+    nodes = _nodes_once(spark, d)
+    size = clean.serialized_tokens(clean.sanitize(nodes, "deep")).join(pages.select("page_id", "site"), "page_id")
+    rep = ops.representative_pages(size, ["site"], "cleaned_tokens").select("site", "page_id")
+    ann = harness_annotations(pages).filter(F.col("field").isin("title", "ad")).join(rep, "page_id", "left_semi")
+    targets = ann.select("page_id", F.explode("values").alias("target"))
+    deep = ops.deepest_text_node(nodes, targets)
+    lca = common_ancestor(nodes, deep.select("page_id", "node_id"))
+    ctx = clean.serialize(prune.condense(clean.sanitize(nodes, "soup"), lca.select(
+        "page_id", F.col("lca_id").alias("node_id"))))
+    x = nodes.select("page_id", F.col("node_id").alias("lca_id"), F.col("xpath").alias("lca_xpath"))
+    return rep.join(lca, "page_id").join(x, ["page_id", "lca_id"]).join(
+        ctx.select("page_id", F.length("html").alias("context_chars")), "page_id")
+
+
+def q_fragment_predictions(spark, d):
+    """X20 + X21: fragments as extract operations, each annotated value widened
+    to its containing text (W14) and scored per site; plus whether the values
+    survive pruning the non-fragment rest (F19)."""
+    prepare(spark)
+    from pagesift.operators import metrics
+    pages = keyed_pages(spark, d)
+    nodes = _nodes_once(spark, d)
+    ann = harness_annotations(pages)
+    targets = ann.select("page_id", "field", F.explode("values").alias("target"))
+    full = ops.full_texts(nodes, targets.select("page_id", "target").distinct())
+    pred = targets.join(full, ["page_id", "target"]).groupBy("page_id", "field").agg(
+        F.collect_list("full_text").alias("values"))
+    counts = metrics.eval_objects(pred, ann, ["page_id"]).join(pages.select("page_id", "category", "site"), "page_id")
+    return metrics.site_report(counts, ["category", "site"], digits=6)
+
+
 ANALYSIS_QUERIES = {
+    "structure_pruning_stats": q_structure_pruning_stats,
+    "removed_token_describe": q_removed_token_describe,
+    "representative_pages": q_representative_pages,
+    "fragment_predictions": q_fragment_predictions,
     "table_forest": q_table_forest,
     "structure_fold": q_structure_fold,
     "prune_by_structure": q_prune_by_structure,
