@@ -138,6 +138,16 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         "pattern", F.element_at("patterns", F.col("br") + 1)).drop("modes", "patterns")
     fast = br.filter(F.col("mode") != "general")
     slow = br.filter(F.col("mode") == "general")
+    # plan only the branches the program table needs (one tiny aggregate)
+    ns0 = F.filter("steps", lambda x: x.kind == "node")
+    last0, term0 = F.element_at(ns0, -1), F.element_at("steps", -1)
+    shape = br.select(
+        "mode", ((F.size(last0.preds) == 0) & F.when(F.col("mode") == "abs", F.coalesce(
+            last0.pos, F.lit(0)) >= 0).otherwise(last0.pos.isNull())).alias("plain"),
+        term0.kind.alias("kind"), (term0.axis == "desc_child").alias("deep")).distinct().collect()
+    modes = {r["mode"] for r in shape}
+    need_pred = any(not r["plain"] for r in shape if r["mode"] != "general")
+    kinds = {("text_deep" if r["kind"] == "text" and r["deep"] else r["kind"]) for r in shape}
 
     # ---- fast paths: no join loop ------------------------------------------
     # abs:     absolute child path -> equi-join on (match, tag_path) + sib_path check
@@ -158,34 +168,42 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     fprog = F.broadcast(fast) if broadcast_programs else fast
     ncols = nodes.select("page_id", *match_cols, "tag", "tag_path", "node_id", "parent_id",
                          "sib_path", "attrs", "text_slots", "start_seq")
-    f_abs = ncols.drop("tag").join(fprog.filter(F.col("mode") == "abs").drop("tag"),
-                                   match_cols + ["tag_path"])
-    f_abs = f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
-                                  lambda z: (z.pp == 0) | (z.pp == z.sib_path)))
-    f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
-        "tag_path", "prog_path"), match_cols + ["tag"]).filter(
-        F.expr("regexp_like(tag_path, pattern)")).drop("prog_path")
-    fhit = f_abs.unionByName(f_pat.drop("tag"))
-    fplain = fhit.filter("plain")
+    hits = []
+    if "abs" in modes:
+        f_abs = ncols.drop("tag").join(fprog.filter(F.col("mode") == "abs").drop("tag"),
+                                       match_cols + ["tag_path"])
+        hits.append(f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
+                                          lambda z: (z.pp == 0) | (z.pp == z.sib_path))))
+    if "pattern" in modes:
+        f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
+            "tag_path", "prog_path"), match_cols + ["tag"]).filter(
+            F.expr("regexp_like(tag_path, pattern)")).drop("prog_path")
+        hits.append(f_pat.drop("tag"))
+    fhit = reduce(lambda x, y: x.unionByName(y), hits) if hits else None
+    fplain = fhit.filter("plain") if fhit is not None else None
     # last step with predicates (or last()): position among matching siblings
-    fpred = fhit.filter(~F.col("plain")).withColumn(
+    fpred = None if fhit is None or not need_pred else fhit.filter(~F.col("plain")).withColumn(
         "ok", _pred_ok(F.col("last.preds"), F.col("attrs"), F.col("text_slots"), F.lit("")))
     wk = [*keys, "br", "parent_id"]
     lpos = F.col("last.pos")
     hit = lambda rn, cnt: F.when(lpos == -1, rn == cnt).otherwise(rn == lpos)
-    fpred = fpred.withColumn("keep", F.col("ok") & (
-        lpos.isNull()
-        | (F.col("last.pos_first") & hit(F.row_number().over(Window.partitionBy(*wk).orderBy("node_id")),
-                                         F.count(F.lit(1)).over(Window.partitionBy(*wk))))
-        | (~F.col("last.pos_first") & hit(
-            F.row_number().over(Window.partitionBy(*wk, "ok").orderBy("node_id")),
-            F.count(F.lit(1)).over(Window.partitionBy(*wk, "ok")))))).filter("keep")
+    if fpred is not None:
+        fpred = fpred.withColumn("keep", F.col("ok") & (
+            lpos.isNull()
+            | (F.col("last.pos_first") & hit(F.row_number().over(Window.partitionBy(*wk).orderBy("node_id")),
+                                             F.count(F.lit(1)).over(Window.partitionBy(*wk))))
+            | (~F.col("last.pos_first") & hit(
+                F.row_number().over(Window.partitionBy(*wk, "ok").orderBy("node_id")),
+                F.count(F.lit(1)).over(Window.partitionBy(*wk, "ok")))))).filter("keep").drop("ok", "keep")
     payload = ["attrs", "text_slots", "start_seq"]
-    fdone = fplain.unionByName(fpred.drop("ok", "keep")).select(
-        *keys, "br", "steps", "node_id", *payload, F.size(node_steps(F.col("steps"))).alias("i"))
+    fparts = [x for x in (fplain, fpred) if x is not None]
+    fdone = None
+    if fparts:
+        fdone = reduce(lambda x, y: x.unionByName(y), fparts).select(
+            *keys, "br", "steps", "node_id", *payload, F.size(node_steps(F.col("steps"))).alias("i"))
 
     # ---- general path: frontier loop ---------------------------------------
-    meta = slow.select(F.posexplode("steps").alias("i", "s")).select(
+    meta = [] if "general" not in modes else slow.select(F.posexplode("steps").alias("i", "s")).select(
         "i", "s.axis", "s.kind",
         F.exists("s.preds", lambda p: p.fn.startswith("str") | p.fn.startswith("nstr")).alias("sv"),
         (F.col("s.test").isin("*", "node()", "comment()")).alias("wild")).distinct().collect()
@@ -197,7 +215,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         F.array().cast(T.ArrayType(T.IntegerType())).alias("anc_ids"),
         F.lit(None).cast("map<string,string>").alias("attrs"),
         F.lit(None).cast(T.ArrayType(SLOT_T)).alias("text_slots"), F.lit(None).cast("int").alias("start_seq"))
-    done = [fdone]
+    done = [fdone] if fdone is not None else []
     N = _node_cols(nodes, "n_")
     for i in range(n_steps):
         step = F.element_at("steps", i + 1)
@@ -273,9 +291,13 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
             F.col("n_attrs").alias("attrs"), F.col("n_text_slots").alias("text_slots"),
             F.col("n_start_seq").alias("start_seq"),
         ).dropDuplicates(keys + ["br", "node_id"])
-    done.append(front.select(*keys, "br", "steps", "node_id", *payload, F.lit(n_steps).alias("i")))
+    if "general" in modes:
+        done.append(front.select(*keys, "br", "steps", "node_id", *payload, F.lit(n_steps).alias("i")))
+    if not done:   # only invalid programs
+        return base.select(*keys, *[c for c in match_cols if c not in keys],
+                           F.array().cast("array<string>").alias("values"), F.col("invalid"))
     res = reduce(lambda x, y: x.unionByName(y), done).filter(F.col("node_id") >= 0)
-    values = _terminal_values(nodes, res, keys)
+    values = _terminal_values(nodes, res, keys, kinds)
     out = base.select(*keys, *[c for c in match_cols if c not in keys], "invalid").join(
         values, keys, "left")
     return out.select(*keys, *[c for c in match_cols if c not in keys],
@@ -283,38 +305,43 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                       F.col("invalid"))
 
 
-def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str]) -> DataFrame:
+def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str],
+                     kinds: set | None = None) -> DataFrame:
     """Turn result nodes into strings: element -> rendered text, text() -> raw
     chunks, @attr -> attribute value. Then normalize, drop empties, order."""
     term = F.element_at("steps", F.col("i") + 1)
     r = res.withColumn("t", F.when(F.size("steps") > F.col("i"), term)).drop("steps")
     # result rows carry attrs / text_slots / start_seq: no re-join with the node table
     kind = F.coalesce(F.col("t.kind"), F.lit("node"))
-    # each part: keys, ord (document position), uid (dedupe identity), raw
-    own_txt = r.filter((kind == "text") & (F.col("t.axis") != "desc_child")).select(
-        *keys, F.explode("text_slots").alias("s"), "t").filter(
-        F.col("t.pos").isNull() | (F.col("s.idx") == F.col("t.pos"))).select(
-        *keys, F.col("s.seq").alias("ord"), F.concat(F.lit("t"), F.col("s.seq")).alias("uid"),
-        F.col("s.text").alias("raw"))
+    kinds = kinds or {"node", "text", "text_deep", "attr"}
+    parts = []  # each: keys, ord (document position), uid (dedupe identity), raw
+    if "text" in kinds:
+        parts.append(r.filter((kind == "text") & (F.col("t.axis") != "desc_child")).select(
+            *keys, F.explode("text_slots").alias("s"), "t").filter(
+            F.col("t.pos").isNull() | (F.col("s.idx") == F.col("t.pos"))).select(
+            *keys, F.col("s.seq").alias("ord"), F.concat(F.lit("t"), F.col("s.seq")).alias("uid"),
+            F.col("s.text").alias("raw")))
     # text chunks under result elements: ancestor-set equi-join, no range join
-    ck = chunks(nodes)
-    sub = r.filter((kind == "text") & (F.col("t.axis") == "desc_child")).select(*keys, "node_id")
-    sub_txt = under_targets(ck, sub.select("page_id", "node_id")).join(
-        sub.withColumnRenamed("node_id", "target_id"), ["page_id", "target_id"]).select(
-        *keys, F.col("chunk.seq").alias("ord"), F.concat(F.lit("t"), F.col("chunk.seq")).alias("uid"),
-        F.col("chunk.text").alias("raw"))
-    att = r.filter(kind == "attr").select(
-        *keys, F.col("start_seq").alias("ord"),
-        F.concat(F.lit("a"), F.col("node_id"), F.lit("@"), F.col("t.test")).alias("uid"),
-        F.col("attrs")[F.col("t.test")].alias("raw"))
-    el = r.filter(kind == "node").select(*keys, "node_id", "start_seq")
-    el_pairs = under_targets(ck, el.select("page_id", "node_id")).groupBy(
-        "page_id", F.col("target_id").alias("node_id")).agg(F.collect_list("chunk").alias("chunks"))
-    el_txt = el.join(el_pairs, ["page_id", "node_id"], "left").select(
-        *keys, F.col("start_seq").alias("ord"), F.concat(F.lit("e"), F.col("node_id")).alias("uid"),
-        render_lines(F.coalesce("chunks", F.array().cast(T.ArrayType(SLOT_T)))).alias("raw"))
-    allv = own_txt.unionByName(sub_txt).unionByName(att).unionByName(el_txt).dropDuplicates(
-        keys + ["uid"])
+    ck = chunks(nodes) if kinds & {"text_deep", "node"} else None
+    if "text_deep" in kinds:
+        sub = r.filter((kind == "text") & (F.col("t.axis") == "desc_child")).select(*keys, "node_id")
+        parts.append(under_targets(ck, sub.select("page_id", "node_id")).join(
+            sub.withColumnRenamed("node_id", "target_id"), ["page_id", "target_id"]).select(
+            *keys, F.col("chunk.seq").alias("ord"), F.concat(F.lit("t"), F.col("chunk.seq")).alias("uid"),
+            F.col("chunk.text").alias("raw")))
+    if "attr" in kinds:
+        parts.append(r.filter(kind == "attr").select(
+            *keys, F.col("start_seq").alias("ord"),
+            F.concat(F.lit("a"), F.col("node_id"), F.lit("@"), F.col("t.test")).alias("uid"),
+            F.col("attrs")[F.col("t.test")].alias("raw")))
+    if "node" in kinds:
+        el = r.filter(kind == "node").select(*keys, "node_id", "start_seq")
+        el_pairs = under_targets(ck, el.select("page_id", "node_id")).groupBy(
+            "page_id", F.col("target_id").alias("node_id")).agg(F.collect_list("chunk").alias("chunks"))
+        parts.append(el.join(el_pairs, ["page_id", "node_id"], "left").select(
+            *keys, F.col("start_seq").alias("ord"), F.concat(F.lit("e"), F.col("node_id")).alias("uid"),
+            render_lines(F.coalesce("chunks", F.array().cast(T.ArrayType(SLOT_T)))).alias("raw")))
+    allv = reduce(lambda x, y: x.unionByName(y), parts).dropDuplicates(keys + ["uid"])
     allv = allv.filter(F.col("raw").isNotNull()).withColumn("v", normalize_text(F.col("raw")))
     allv = allv.filter(F.col("v") != "")
     return allv.groupBy(*keys).agg(F.transform(
