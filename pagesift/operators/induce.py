@@ -83,10 +83,10 @@ def targets_from_annotations(ann: DataFrame) -> DataFrame:
         F.col("target") != "").distinct()
 
 
-def candidate_programs(nodes: DataFrame, ann: DataFrame, profile: dict = INFER) -> DataFrame:
-    """X4 + X6: for each (page, field, target) the text chunks that contain the
-    target or are contained in it; keep all at the smallest length gap (W8);
-    program = node path (+ ``/text()[i]`` suffix in the infer profile)."""
+def matched_chunks(nodes: DataFrame, ann: DataFrame) -> DataFrame:
+    """X4 text search: for each (page, field, target) the text chunks that
+    contain the target or are contained in it, keeping all at the smallest
+    length gap (W8, F18). Columns: page_id, field, target, node_id, idx."""
     tg = targets_from_annotations(ann)
     pages = tg.select("page_id").distinct()
     tx = texts(nodes.join(pages, "page_id", "left_semi")).select(
@@ -94,17 +94,31 @@ def candidate_programs(nodes: DataFrame, ann: DataFrame, profile: dict = INFER)
     tx = tx.filter(F.col("ptext") != "")
     j = tx.join(tg, "page_id").filter(
         F.contains("ptext", "target") | F.contains("target", "ptext"))
-    j = j.withColumn("score", F.abs(F.length("text") - F.length("target")))  # F18
+    j = j.withColumn("score", F.abs(F.length("text") - F.length("target")))
     w = Window.partitionBy("page_id", "field", "target")
     j = j.withColumn("best", F.min("score").over(w)).filter(F.col("score") == F.col("best"))
-    xp = node_xpaths(nodes, j.select("page_id", "node_id"), profile["short"], profile["with_id"],
-                     profile["with_class"])
-    c = j.join(xp, ["page_id", "node_id"])
-    prog = F.col("xpath")
-    if profile["text_suffix"]:
-        prog = F.concat(prog, F.when(F.col("idx") > 1, F.concat(
-            F.lit("/text()["), F.col("idx"), F.lit("]"))).otherwise(F.lit("/text()")))
-    return c.select("page_id", "field", "target", prog.alias("program"))
+    return j.select("page_id", "field", "target", "node_id", "idx")
+
+
+def candidate_programs(nodes: DataFrame, ann: DataFrame, profile: dict | None = None,
+                       profiles: list[dict] | None = None, matched: DataFrame | None = None) -> DataFrame:
+    """X4 + X5 + X6: programs for the matched chunks under each generator
+    profile (node path, plus ``/text()[i]`` in the infer profile). The text
+    search runs once for all profiles."""
+    profiles = profiles or [profile or INFER]
+    j = matched if matched is not None else matched_chunks(nodes, ann)
+    out = None
+    for prof in profiles:
+        xp = node_xpaths(nodes, j.select("page_id", "node_id"), prof["short"], prof["with_id"],
+                         prof["with_class"])
+        c = j.join(xp, ["page_id", "node_id"])
+        prog = F.col("xpath")
+        if prof["text_suffix"]:
+            prog = F.concat(prog, F.when(F.col("idx") > 1, F.concat(
+                F.lit("/text()["), F.col("idx"), F.lit("]"))).otherwise(F.lit("/text()")))
+        c = c.select("page_id", "field", "target", prog.alias("program"))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 def generalize(programs: DataFrame) -> DataFrame:

@@ -170,8 +170,7 @@ def q_program_feedback(spark, d):
     seeds, _ = sampling.split_seeds(pages.select("page_id", "site"), ["site"], 3)
     seed_nodes = nodes.join(seeds.select("page_id"), "page_id", "left_semi")
     seed_ann = ann.join(seeds.select("page_id"), "page_id", "left_semi")
-    c = induce.candidate_programs(seed_nodes, seed_ann, induce.INFER).unionByName(
-        induce.candidate_programs(seed_nodes, seed_ann, induce.EXTRACT))
+    c = induce.candidate_programs(seed_nodes, seed_ann, profiles=[induce.INFER, induce.EXTRACT])
     tried = c.join(seeds.select("page_id", "site"), "page_id").groupBy("site", "field", "program").agg(
         F.min(F.length("program")).alias("try_seq"))
     tried = tried.checkpoint(eager=True)

@@ -53,10 +53,8 @@ def induce_programs(nodes: DataFrame, seed_pages: DataFrame, ann: DataFrame,
     seed_ids = seed_pages.select("page_id", "site")
     seed_nodes = nodes.join(seed_ids.select("page_id"), "page_id", "left_semi")
     seed_ann = ann.join(seed_ids.select("page_id"), "page_id", "left_semi")
-    cands = None
-    for prof in profiles:
-        c = induce.candidate_programs(seed_nodes, seed_ann, prof)
-        cands = c if cands is None else cands.unionByName(c)
+    matched = induce.matched_chunks(seed_nodes, seed_ann).checkpoint(eager=True)
+    cands = induce.candidate_programs(seed_nodes, seed_ann, profiles=list(profiles), matched=matched)
     cands = cands.join(seed_ids, "page_id").select("site", "field", "program").distinct()
     cands = induce.generalize(cands).distinct().checkpoint(eager=True)
     scored = induce.score_programs(seed_nodes, cands, seed_ann, ["site"])
