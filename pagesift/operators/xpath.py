@@ -206,7 +206,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     meta = [] if "general" not in modes else slow.select(F.posexplode("steps").alias("i", "s")).select(
         "i", "s.axis", "s.kind",
         F.exists("s.preds", lambda p: p.fn.startswith("str") | p.fn.startswith("nstr")).alias("sv"),
-        (F.col("s.test").isin("*", "node()", "comment()")).alias("wild")).distinct().collect()
+        (F.col("s.test").isin("*", "node()", "comment()")).alias("wild"), "s.test").distinct().collect()
     n_steps = max([r["i"] + 1 for r in meta if r["kind"] == "node"], default=0)
     front = slow.join(base.select("page_id", *match_cols, *pcols, "root_end"),
                       match_cols + pcols).select(
@@ -226,12 +226,15 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         here = [r for r in meta if r["i"] == i and r["kind"] == "node"]
         axes = sorted({r["axis"] for r in here})
         need_sv = any(r["sv"] for r in here)
+        # only elements some program can select at this step travel to the join
+        Ni = N if any(r["wild"] for r in here) else N.filter(
+            F.col("n_tag").isin(*sorted({r["test"] for r in here})))
         parts = []
         same_page = F.col("page_id") == F.col("n_page_id")
         for ax in axes:
             a = act.filter(F.col("st.axis") == ax)
             if ax == "child":
-                c = a.join(N, same_page & (F.col("n_parent_id") == F.col("node_id")))
+                c = a.join(Ni, same_page & (F.col("n_parent_id") == F.col("node_id")))
                 pk, desc = F.col("node_id"), False
             elif ax in ("desc_child", "descendant", "descendant_self"):
                 lo = (F.col("n_node_id") >= F.col("node_id")) if ax == "descendant_self" else (
@@ -239,25 +242,25 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                 rng = lo & (F.col("n_node_id") <= F.col("end_id"))
                 named = a.filter(~F.col("st.test").isin("*", "node()", "comment()"))
                 wild = a.filter(F.col("st.test").isin("*", "node()", "comment()"))
-                c = named.join(N, same_page & (F.col("n_tag") == F.col("st.test")) & rng).unionByName(
-                    wild.join(N, same_page & rng))
+                c = named.join(Ni, same_page & (F.col("n_tag") == F.col("st.test")) & rng).unionByName(
+                    wild.join(Ni, same_page & rng))
                 pk, desc = (F.col("n_parent_id") if ax == "desc_child" else F.col("node_id")), False
             elif ax == "self":
-                c = a.join(N, same_page & (F.col("n_node_id") == F.col("node_id")))
+                c = a.join(Ni, same_page & (F.col("n_node_id") == F.col("node_id")))
                 pk, desc = F.col("node_id"), False
             elif ax == "parent":
-                c = a.join(N, same_page & (F.col("n_node_id") == F.col("parent_id")))
+                c = a.join(Ni, same_page & (F.col("n_node_id") == F.col("parent_id")))
                 pk, desc = F.col("node_id"), False
             elif ax in ("following_sibling", "preceding_sibling"):
                 cmp = (F.col("n_child_ord") > F.col("child_ord")) if ax == "following_sibling" else (
                     F.col("n_child_ord") < F.col("child_ord"))
-                c = a.join(N, same_page & (F.col("n_parent_id") == F.col("parent_id")) & cmp)
+                c = a.join(Ni, same_page & (F.col("n_parent_id") == F.col("parent_id")) & cmp)
                 pk, desc = F.col("node_id"), ax == "preceding_sibling"
             elif ax in ("ancestor", "ancestor_self"):
                 e = a.withColumn("anc", F.explode(
                     F.col("anc_ids") if ax == "ancestor_self" else F.slice(
                         "anc_ids", 1, F.greatest(F.size("anc_ids") - 1, F.lit(0)))))
-                c = e.join(N, same_page & (F.col("n_node_id") == F.col("anc"))).drop("anc")
+                c = e.join(Ni, same_page & (F.col("n_node_id") == F.col("anc"))).drop("anc")
                 pk, desc = F.col("node_id"), True
             else:
                 continue
