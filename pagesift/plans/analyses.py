@@ -17,6 +17,10 @@ from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
 from pagesift.plans.pipeline import _nodes_once, harness_annotations
 from pagesift.session import shared_path
+from pagesift.plans.harness import _norm, _render
+
+_RENDER_H1 = _render("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
+_NORM_X = _norm("x")
 
 
 def q_table_forest(spark, d):
@@ -201,7 +205,8 @@ def q_stream_extract(spark, d):
     src = page_stream(spark, d, "page_id long, url string, html string", glob="pages*.parquet")
     q = run_extraction(spark, src, progs, os.path.join(run, "out"), os.path.join(run, "ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(run, "out"))
+    out = spark.read.parquet(os.path.join(run, "out"))
+    return out.select("page_id", "field", F.array_join("values", "\u241e").alias("value_list"))
 
 
 def q_structure_pruning_stats(spark, d):
@@ -292,6 +297,15 @@ ANALYSIS_QUERIES = {
 }
 
 ANALYSIS_ORACLE = {
+    # every page exactly once, h1 text and hrefs per page
+    "stream_extract": """
+SELECT page_id, 'title' AS field, value_list FROM (
+  SELECT page_id, """ + _RENDER_H1 + """ AS value_list FROM pages)
+UNION ALL
+SELECT page_id, 'links' AS field,
+       array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
+                                                  lambda x: """ + _NORM_X + """), lambda x: x <> ''), '\u241e')
+FROM pages""",
     # spine: html, body, article, h1; stubs: head + body's other children
     # (nav, comment, ad div, footer) + article's other children (the p's)
     "condense_h1": """
