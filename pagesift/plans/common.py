@@ -13,9 +13,16 @@ from pagesift.session import ensure_checkpoint_dir, ship_package
 BROADCAST_MAX_ROWS = 200_000
 
 
+# pages are large rows: bound the rows per Arrow batch sent to Python tasks
+MAX_ARROW_ROWS = 256
+
+
 def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    cur = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if cur > MAX_ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_ARROW_ROWS))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
