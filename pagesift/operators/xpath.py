@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import normalize_text
-from pagesift.functions.xpath_compile import branch_mode, compile_program, tag_path_regex
+from pagesift.functions.xpath_compile import branch_mode, compile_program, tag_path_regex, tail_positions
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
@@ -43,17 +43,19 @@ COMPILED_T = T.StructType([
     T.StructField("branches", T.ArrayType(T.ArrayType(STEP_T))),
     T.StructField("modes", T.ArrayType(T.StringType())),
     T.StructField("patterns", T.ArrayType(T.StringType())),
+    T.StructField("tails", T.ArrayType(T.ArrayType(T.IntegerType()))),
     T.StructField("invalid", T.BooleanType())])
 
 
 @F.pandas_udf(COMPILED_T)
 def compile_udf(program: pd.Series, lang: pd.Series) -> pd.DataFrame:
-    out = {"branches": [], "modes": [], "patterns": [], "invalid": []}
+    out = {"branches": [], "modes": [], "patterns": [], "tails": [], "invalid": []}
     for p, l in zip(program, lang):
         branches, invalid = compile_program(p, l or "xpath")
         out["branches"].append(branches)
         out["modes"].append([branch_mode(b) for b in branches])
         out["patterns"].append([tag_path_regex(b) for b in branches])
+        out["tails"].append([tail_positions(b) for b in branches])
         out["invalid"].append(invalid)
     return pd.DataFrame(out)
 
@@ -62,7 +64,7 @@ def compile_programs(programs: DataFrame, program_col: str = "program",
                      lang_col: str | None = "lang") -> DataFrame:
     lang = F.col(lang_col) if lang_col and lang_col in programs.columns else F.lit("xpath")
     return programs.withColumn("_c", compile_udf(F.col(program_col), lang)).select(
-        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.invalid").drop("_c")
+        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.tails", "_c.invalid").drop("_c")
 
 
 def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -133,17 +135,17 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     keys = ["page_id"] + pcols
 
     br = cp.select(*match_cols, *pcols, F.posexplode("branches").alias("br", "steps"),
-                   "modes", "patterns")
+                   "modes", "patterns", "tails")
     br = br.withColumn("mode", F.element_at("modes", F.col("br") + 1)).withColumn(
-        "pattern", F.element_at("patterns", F.col("br") + 1)).drop("modes", "patterns")
+        "pattern", F.element_at("patterns", F.col("br") + 1)).withColumn(
+        "tail", F.element_at("tails", F.col("br") + 1)).drop("modes", "patterns", "tails")
     fast = br.filter(F.col("mode") != "general")
     slow = br.filter(F.col("mode") == "general")
     # plan only the branches the program table needs (one tiny aggregate)
     ns0 = F.filter("steps", lambda x: x.kind == "node")
     last0, term0 = F.element_at(ns0, -1), F.element_at("steps", -1)
     shape = br.select(
-        "mode", ((F.size(last0.preds) == 0) & F.when(F.col("mode") == "abs", F.coalesce(
-            last0.pos, F.lit(0)) >= 0).otherwise(last0.pos.isNull())).alias("plain"),
+        "mode", ((F.size(last0.preds) == 0) & (F.coalesce(last0.pos, F.lit(0)) >= 0)).alias("plain"),
         term0.kind.alias("kind"), (term0.axis == "desc_child").alias("deep")).distinct().collect()
     modes = {r["mode"] for r in shape}
     need_pred = any(not r["plain"] for r in shape if r["mode"] != "general")
@@ -156,10 +158,9 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     ns = node_steps(F.col("steps"))
     last = F.element_at(ns, -1)
     is_abs = F.col("mode") == "abs"
-    plain = (F.size(last.preds) == 0) & F.when(
-        is_abs, F.coalesce(last.pos, F.lit(0)) >= 0).otherwise(last.pos.isNull())
+    plain = (F.size(last.preds) == 0) & (F.coalesce(last.pos, F.lit(0)) >= 0)
     fast = fast.select(
-        *match_cols, *pcols, "br", "steps", "mode", "pattern", last.alias("last"),
+        *match_cols, *pcols, "br", "steps", "mode", "pattern", "tail", last.alias("last"),
         plain.alias("plain"), last.test.alias("tag"),
         F.concat(F.lit("/"), F.array_join(F.transform(ns, lambda x: x.test), "/")).alias("tag_path"),
         # positions checked against sib_path; the last one only when no predicate
@@ -178,6 +179,10 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
             "tag_path", "prog_path"), match_cols + ["tag"]).filter(
             F.expr("regexp_like(tag_path, pattern)")).drop("prog_path")
+        # positions of the steps after the last // are read from the end of sib_path
+        f_pat = f_pat.filter(F.forall(
+            F.arrays_zip(F.reverse("tail").alias("tp"), F.reverse("sib_path").alias("sp")),
+            lambda z: z.tp.isNull() | (z.tp == 0) | (z.tp == z.sp)))
         hits.append(f_pat.drop("tag"))
     fhit = reduce(lambda x, y: x.unionByName(y), hits) if hits else None
     fplain = fhit.filter("plain") if fhit is not None else None

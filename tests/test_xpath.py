@@ -15,6 +15,8 @@ def test_compile_modes():
     assert branch_mode(compile_program("/html/body/div/ul/li[2]")[0][0]) == "abs"
     assert branch_mode(compile_program("//ul/li[@class='x']")[0][0]) == "pattern"
     assert branch_mode(compile_program("//li[2]/text()")[0][0]) == "pattern"
+    assert branch_mode(compile_program("//ul/li[2]/a")[0][0]) == "pattern"
+    assert branch_mode(compile_program("//div[2]//span[1]")[0][0]) == "general"
     assert branch_mode(compile_program(
         "//span[text()='Type:']/following-sibling::span[1]")[0][0]) == "general"
     assert compile_program("//a[")[1] is True
@@ -36,6 +38,9 @@ CASES = [
     ("parent", "//li[@class='x']/..", ["one\ntwo\nthree"]),
     ("ancestor", "//li[1]/ancestor::div/span[2]", ["Book"]),
     ("css", "ul > li.x", ["one", "three"]),
+    ("tail_pos", "//ul/li[2]/text()", ["two"]),
+    ("tail_cell", "//tr/td[2]", ["c2"]),
+    ("deep_after_pos", "/html/body/div[1]//li[3]", ["three"]),
     ("invalid", "//li[", []),
 ]
 
