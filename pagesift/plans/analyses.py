@@ -5,10 +5,8 @@ X9/X10, R1/R2, F15), each reading whole tables.
 from __future__ import annotations
 
 import os
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import html_unescape, ordered_list, token_count

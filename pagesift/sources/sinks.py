@@ -7,8 +7,6 @@ lost executor or a restarted job only redoes missing keys.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException

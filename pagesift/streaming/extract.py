@@ -10,7 +10,6 @@ writes nothing twice and no unbounded dedup state is kept in the stream.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagesift.functions.text import site_of
 from pagesift.operators.dom import explode_dom
