@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import normalize_text
-from pagesift.functions.xpath_compile import branch_mode, compile_program, tag_path_regex, tail_positions
+from pagesift.functions.xpath_compile import (anchor_parts, branch_mode, compile_program,
+                                              tag_path_regex, tail_positions)
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
@@ -44,18 +45,25 @@ COMPILED_T = T.StructType([
     T.StructField("modes", T.ArrayType(T.StringType())),
     T.StructField("patterns", T.ArrayType(T.StringType())),
     T.StructField("tails", T.ArrayType(T.ArrayType(T.IntegerType()))),
+    T.StructField("anchors", T.ArrayType(T.StructType([
+        T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()),
+        T.StructField("rest", T.StringType()),
+        T.StructField("pos", T.ArrayType(T.IntegerType()))]))),
     T.StructField("invalid", T.BooleanType())])
 
 
 @F.pandas_udf(COMPILED_T)
 def compile_udf(program: pd.Series, lang: pd.Series) -> pd.DataFrame:
-    out = {"branches": [], "modes": [], "patterns": [], "tails": [], "invalid": []}
+    out = {"branches": [], "modes": [], "patterns": [], "tails": [], "anchors": [], "invalid": []}
     for p, l in zip(program, lang):
         branches, invalid = compile_program(p, l or "xpath")
         out["branches"].append(branches)
         out["modes"].append([branch_mode(b) for b in branches])
         out["patterns"].append([tag_path_regex(b) for b in branches])
         out["tails"].append([tail_positions(b) for b in branches])
+        modes = out["modes"][-1]
+        out["anchors"].append([dict(zip(("tag", "id", "rest", "pos"), anchor_parts(b)))
+                               if m == "anchor" else None for b, m in zip(branches, modes)])
         out["invalid"].append(invalid)
     return pd.DataFrame(out)
 
@@ -64,7 +72,7 @@ def compile_programs(programs: DataFrame, program_col: str = "program",
                      lang_col: str | None = "lang") -> DataFrame:
     lang = F.col(lang_col) if lang_col and lang_col in programs.columns else F.lit("xpath")
     return programs.withColumn("_c", compile_udf(F.col(program_col), lang)).select(
-        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.tails", "_c.invalid").drop("_c")
+        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.tails", "_c.anchors", "_c.invalid").drop("_c")
 
 
 def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -135,10 +143,11 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     keys = ["page_id"] + pcols
 
     br = cp.select(*match_cols, *pcols, F.posexplode("branches").alias("br", "steps"),
-                   "modes", "patterns", "tails")
+                   "modes", "patterns", "tails", "anchors")
     br = br.withColumn("mode", F.element_at("modes", F.col("br") + 1)).withColumn(
         "pattern", F.element_at("patterns", F.col("br") + 1)).withColumn(
-        "tail", F.element_at("tails", F.col("br") + 1)).drop("modes", "patterns", "tails")
+        "tail", F.element_at("tails", F.col("br") + 1)).withColumn(
+        "anchor", F.element_at("anchors", F.col("br") + 1)).drop("modes", "patterns", "tails", "anchors")
     fast = br.filter(F.col("mode") != "general")
     slow = br.filter(F.col("mode") == "general")
     # plan only the branches the program table needs (one tiny aggregate)
@@ -160,7 +169,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     is_abs = F.col("mode") == "abs"
     plain = (F.size(last.preds) == 0) & (F.coalesce(last.pos, F.lit(0)) >= 0)
     fast = fast.select(
-        *match_cols, *pcols, "br", "steps", "mode", "pattern", "tail", last.alias("last"),
+        *match_cols, *pcols, "br", "steps", "mode", "pattern", "tail", "anchor", last.alias("last"),
         plain.alias("plain"), last.test.alias("tag"),
         F.concat(F.lit("/"), F.array_join(F.transform(ns, lambda x: x.test), "/")).alias("tag_path"),
         # positions checked against sib_path; the last one only when no predicate
@@ -184,6 +193,23 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
             F.arrays_zip(F.reverse("tail").alias("tp"), F.reverse("sib_path").alias("sp")),
             lambda z: z.tp.isNull() | (z.tp == 0) | (z.tp == z.sp)))
         hits.append(f_pat.drop("tag"))
+    if "anchor" in modes:
+        # anchors by id (equi on site + id), then the path below them (equi on page + tag_path)
+        ap = fprog.filter(F.col("mode") == "anchor").drop("tag", "tag_path")
+        anc = nodes.select("page_id", *match_cols, F.col("attrs")["id"].alias("aid"),
+                           F.col("tag").alias("atag"), F.col("tag_path").alias("a_path"),
+                           F.col("sib_path").alias("a_sib")).filter(F.col("aid").isNotNull())
+        anc = anc.join(ap, match_cols).filter(
+            (F.col("aid") == F.col("anchor.id"))
+            & ((F.col("anchor.tag") == "*") | (F.col("anchor.tag") == F.col("atag"))))
+        anc = anc.withColumn("tag_path", F.concat("a_path", "anchor.rest"))
+        f_anc = ncols.drop("tag").join(anc.drop(*match_cols), ["page_id", "tag_path"])
+        below = F.slice("sib_path", F.size("a_sib") + 1, F.size("anchor.pos"))
+        f_anc = f_anc.filter(
+            (F.slice("sib_path", 1, F.size("a_sib")) == F.col("a_sib"))
+            & F.forall(F.arrays_zip(F.col("anchor.pos").alias("ap"), below.alias("sp")),
+                       lambda z: (z.ap == 0) | (z.ap == z.sp)))
+        hits.append(f_anc.drop("aid", "atag", "a_path", "a_sib"))
     fhit = reduce(lambda x, y: x.unionByName(y), hits) if hits else None
     fplain = fhit.filter("plain") if fhit is not None else None
     # last step with predicates (or last()): position among matching siblings

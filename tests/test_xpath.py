@@ -17,6 +17,7 @@ def test_compile_modes():
     assert branch_mode(compile_program("//li[2]/text()")[0][0]) == "pattern"
     assert branch_mode(compile_program("//ul/li[2]/a")[0][0]) == "pattern"
     assert branch_mode(compile_program("//div[2]//span[1]")[0][0]) == "general"
+    assert branch_mode(compile_program("//*[@id='main']/ul/li[1]")[0][0]) == "anchor"
     assert branch_mode(compile_program(
         "//span[text()='Type:']/following-sibling::span[1]")[0][0]) == "general"
     assert compile_program("//a[")[1] is True
@@ -41,6 +42,8 @@ CASES = [
     ("tail_pos", "//ul/li[2]/text()", ["two"]),
     ("tail_cell", "//tr/td[2]", ["c2"]),
     ("deep_after_pos", "/html/body/div[1]//li[3]", ["three"]),
+    ("anchor_text", "//div[@id='main']/span[2]/text()", ["Book"]),
+    ("anchor_self", "//*[@id='main']/a/@href", ["/p%20q"]),
     ("invalid", "//li[", []),
 ]
 
