@@ -123,6 +123,13 @@ def subtree_tokens(nodes: DataFrame, tok=token_count) -> DataFrame:
     return own.drop("anc_ids").join(tot, ["page_id", "node_id"])
 
 
+def budget_keep(child_ord, cum_before, req):
+    """W9 rule: keep a child while the tokens of the children before it fit
+    the budget; the first child that overflows is kept too (so the first
+    child always stays)."""
+    return (child_ord == 1) | (cum_before <= req)
+
+
 def prune_by_budget(nodes: DataFrame, max_tokens: int, tok=token_count,
                     max_depth: int | None = None) -> DataFrame:
     """Keep the left part of the page within ``max_tokens``.
@@ -148,7 +155,7 @@ def prune_by_budget(nodes: DataFrame, max_tokens: int, tok=token_count,
         over = chain.filter(F.col("sub_tokens") > F.col("budget")).select(
             "page_id", F.col("node_id").alias("parent_id"), (F.col("budget") - F.col("own")).alias("req"))
         c = kids.join(over, ["page_id", "parent_id"])
-        c = c.withColumn("keep", (F.col("child_ord") == 1) | (F.col("cum_before") <= F.col("req")))
+        c = c.withColumn("keep", budget_keep(F.col("child_ord"), F.col("cum_before"), F.col("req")))
         removed.append(c.filter(~F.col("keep")).select("page_id", "node_id", "end_id"))
         wl = Window.partitionBy("page_id", "parent_id").orderBy(F.desc("child_ord"))
         nxt = c.filter("keep").withColumn("_r", F.row_number().over(wl)).filter("_r = 1")

@@ -91,3 +91,15 @@ def test_fragments_and_removal(explode):
     assert sum(1 for r in fr if not r.is_rest) >= 1
     rm = fragments.remove_until(nodes, 50, 100).first()
     assert rm.times >= 1 and rm.removed_tokens[-1] <= 100
+
+
+def test_budget_rule_golden(spark):
+    """FIXTURES budget_tree: children of 5, 5, 5 tokens under budgets 0, 7, 10, 15."""
+    from pyspark.sql import Window
+    rows = [(req, k, 5) for req in (0, 7, 10, 15) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "req int, child_ord int, tokens int")
+    w = Window.partitionBy("req").orderBy("child_ord").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("cum_before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    kept = df.filter(prune.budget_keep(F.col("child_ord"), F.col("cum_before"), F.col("req")))
+    got = {r.req: r["count"] for r in kept.groupBy("req").count().collect()}
+    assert got == {0: 1, 7: 2, 10: 3, 15: 3}
