@@ -103,3 +103,17 @@ def test_budget_rule_golden(spark):
     kept = df.filter(prune.budget_keep(F.col("child_ord"), F.col("cum_before"), F.col("req")))
     got = {r.req: r["count"] for r in kept.groupBy("req").count().collect()}
     assert got == {0: 1, 7: 2, 10: 3, 15: 3}
+
+
+def test_structure_golden_unclosed_rows(explode):
+    """A table with unclosed tr/td rows folds to its first row (implied
+    tbody and end tags come from the tree builder)."""
+    html = ("<html><body><form><div class='pad_t'><div class='bgcrumbpop'><table>"
+            "<tr><td><div>a</div><tr><td><div>b</div><tr><td><div>c</div></table>"
+            "</div></div></form></body></html>")
+    s = structure.page_structure(explode([html]))
+    got = sorted(r.xpath for r in s.collect())
+    base = "/html/body/form/div/div/table/tbody"
+    assert got == sorted(["/html", "/html/body", "/html/body/form", "/html/body/form/div",
+                          "/html/body/form/div/div", "/html/body/form/div/div/table", base,
+                          base + "/tr[1]", base + "/tr[1]/td", base + "/tr[1]/td/div"])
