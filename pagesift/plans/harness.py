@@ -497,7 +497,8 @@ w AS (SELECT conv_id,
         coalesce(max(vals) FILTER (WHERE field = 'system'), []) AS system,
         coalesce(max(vals) FILTER (WHERE field = 'user'), []) AS "user"
       FROM cl GROUP BY conv_id)
-SELECT conv_id, len(assistant) AS n_assistant, len(system) AS n_system, len("user") AS n_user,
+SELECT conv_id, CAST(len(assistant) AS INTEGER) AS n_assistant, CAST(len(system) AS INTEGER) AS n_system,
+       CAST(len("user") AS INTEGER) AS n_user,
        array_to_string(assistant, '\u241e') AS assistant, array_to_string(system, '\u241e') AS system,
        array_to_string("user", '\u241e') AS "user"
 FROM w""",
