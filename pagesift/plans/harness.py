@@ -24,9 +24,11 @@ _ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;
 
 
 def _u(x: str) -> str:
+    """One HTML unescape pass for the entities present in the harness pages,
+    including the legacy ``&amp`` without a semicolon."""
     for a, b in _ENT:
         x = f"replace({x}, '{a}', '{b}')"
-    return x
+    return f"regexp_replace({x}, '&amp([^;]|$)', '&\\1', 'g')"
 
 
 def _norm(x: str) -> str:
