@@ -48,23 +48,27 @@ def get_spark(app: str = "pagesift", cpus: int | str = "*", shuffle_partitions:
 def ship_package(spark: SparkSession) -> None:
     """Make ``pagesift`` importable in Python workers (pandas UDFs, mapInArrow).
 
-    The package is zipped once per driver into the shared checkpoint folder and
-    added with ``addPyFile`` so every executor receives it.
+    The package is zipped once per application on the driver and handed to
+    ``addPyFile``, which distributes it to every executor (what ``--py-files``
+    does). With a local checkpoint folder the zip is written there; with a
+    remote one it is written next to the driver's other temporary files only
+    as the source of that upload.
     """
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    target = os.path.join(ensure_checkpoint_dir(spark), f"pagesift-{os.getpid()}.zip")
-    if "://" not in target or target.startswith("file:"):
-        path = target.replace("file:", "")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _, files in os.walk(_PKG_DIR):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, _REPO_DIR))
-        sc.addPyFile(path)
+    ckpt = ensure_checkpoint_dir(spark)
+    local = ckpt.replace("file:", "") if ("://" not in ckpt or ckpt.startswith("file:")) else None
+    folder = local or tempfile.mkdtemp(prefix="pagesift-pkg-")
+    path = os.path.join(folder, f"pagesift-{os.getpid()}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(_PKG_DIR):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, _REPO_DIR))
+    sc.addPyFile(path)
     _SHIPPED.add(key)
 
 
