@@ -271,7 +271,32 @@ def q_fragment_predictions(spark, d):
     return metrics.site_report(counts, ["category", "site"], digits=6)
 
 
+def q_fragment_route(spark, d):
+    """The fragment route: split pages into fragments (T16, T18), turn each
+    fragment into an operation whose data are the annotated values its text
+    holds, classify (X15), build per-field operator lists (X13) and keep the
+    best-ranked extract per field when several compete (X14)."""
+    prepare(spark)
+    pages = keyed_pages(spark, d)
+    clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
+    fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
+    ft = fragments.fragment_texts(clean_nodes, fr).filter(~F.col("is_rest"))
+    ann = harness_annotations(pages).select("page_id", "field", F.explode("values").alias("v"))
+    hits = ft.join(ann, "page_id").filter(F.contains(F.coalesce("text", F.lit("")), F.col("v")))
+    data = hits.groupBy("page_id", "seq", "field").agg(F.collect_list("v").alias("value")).groupBy(
+        "page_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct(
+            "field", F.struct(F.col("value"), F.lit(None).cast("string").alias("cue_text"))))).alias("data"))
+    op_rows = ft.select("page_id", "seq", "xpath").join(data, ["page_id", "seq"], "left")
+    classified = ops.classify_fragments(op_rows)
+    fops = ops.field_operators(classified.select("page_id", "seq", "xpath", "data"))
+    ranked = ops.rank_extracts(clean_nodes, fops)
+    return ranked.groupBy("page_id", "field").agg(
+        F.max(F.when(F.col("operator_type") == "extract", F.col("xpath"))).alias("extract_xpath"),
+        F.count_if(F.col("operator_type") == "prune").alias("n_prune"))
+
+
 ANALYSIS_QUERIES = {
+    "fragment_route": q_fragment_route,
     "structure_pruning_stats": q_structure_pruning_stats,
     "removed_token_describe": q_removed_token_describe,
     "representative_pages": q_representative_pages,
