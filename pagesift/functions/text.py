@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---- fixed values: the reference's ordered literal replacements (F1) ----
+# ---- fixed values: ordered literal entity replacements (F1) -------------
 ENTITY_REPLACEMENTS = [
     ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&#150;", "–"), ("&nbsp;", " "), ("&#160;", " "), ("&#039;", "'"),

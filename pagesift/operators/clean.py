@@ -1,6 +1,6 @@
 """Sanitizing and serializing pages as node-table operations.
 
-The reference removes elements in a post-order walk: comments, interactive
+Sanitizing removes elements in a post-order walk: comments, interactive
 and invisible elements always; in deep mode also images and elements that
 have no text, no tail and no remaining children. That fixpoint has a closed
 relational form used here:
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import py_strip, token_count
 
-# ---- fixed values: the reference's removal tag sets ----------------------
+# ---- fixed values: removal tag sets ---------------------------------------
 INTERACTIVE_ELEMENTS = [
     "script", "style", "noscript", "svg", "iframe", "video", "audio", "source", "track", "link",
     "meta", "object", "param", "input", "label", "select", "textarea", "button", "fieldset",

@@ -22,9 +22,13 @@ from pagesift.functions.text import py_strip, token_count
 CONTAINER_ELEMENTS = ["table", "ul", "ol", "section", "article"]
 # --------------------------------------------------------------------------
 
-FRAGMENT_SCHEMA = ("page_id long, seq int, xpath string, text_tokens long, html_tokens long, "
+FRAGMENT_SCHEMA = ("page_id {key}, seq int, xpath string, text_tokens long, html_tokens long, "
                    "weight double, is_rest boolean")
-REMOVAL_SCHEMA = "page_id long, times int, removed_tokens array<long>"
+REMOVAL_SCHEMA = "page_id {key}, times int, removed_tokens array<long>"
+
+
+def _key_type(df: DataFrame) -> str:
+    return df.schema["page_id"].dataType.simpleString()
 
 
 def token_rows(nodes: DataFrame, tok=token_count) -> DataFrame:
@@ -71,7 +75,7 @@ class _Tree:
         t, h = self.text[n], self.html[n]
         while p is not None:
             self.text[p] -= t
-            self.html[p] -= h       # both sizes drop (the reference forgot html)
+            self.html[p] -= h       # both sizes drop
             p = self.parent.get(p)
 
     def depth_of(self, n):
@@ -149,14 +153,14 @@ def split_fragments(nodes: DataFrame, until_html_tokens: int = 16384,
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         frs = _fragments(pdf, until_html_tokens, max_text_tokens)
-        pid = int(pdf["page_id"].iloc[0])
+        pid = pdf["page_id"].iloc[0]
         return pd.DataFrame({
             "page_id": [pid] * len(frs), "seq": list(range(1, len(frs) + 1)),
             "xpath": [f[0] for f in frs], "text_tokens": [int(f[1]) for f in frs],
             "html_tokens": [int(f[2]) for f in frs], "weight": [f[3] for f in frs],
             "is_rest": [f[3] is None for f in frs]})
 
-    return rows.groupBy("page_id").applyInPandas(fn, FRAGMENT_SCHEMA)
+    return rows.groupBy("page_id").applyInPandas(fn, FRAGMENT_SCHEMA.format(key=_key_type(rows)))
 
 
 def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
@@ -189,10 +193,10 @@ def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
                 tr.remove(n)
                 times += 1
             sizes.append(int(tr.text[tr.root]))
-        return pd.DataFrame({"page_id": [int(pdf["page_id"].iloc[0])], "times": [times],
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "times": [times],
                              "removed_tokens": [sizes]})
 
-    return rows.groupBy("page_id").applyInPandas(fn, REMOVAL_SCHEMA)
+    return rows.groupBy("page_id").applyInPandas(fn, REMOVAL_SCHEMA.format(key=_key_type(rows)))
 
 
 def fragment_texts(nodes: DataFrame, frags: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def outermost_tables(forest: DataFrame) -> DataFrame:
 
 def table_measures(forest: DataFrame) -> DataFrame:
     """A9 per page: depth, width (leaf tables), max_width (always 1 for a
-    non-empty forest, kept as in the reference), count (= width), plus the
+    non-empty forest, kept for compatibility), count (= width), plus the
     real maximum number of child tables."""
     kids = forest.groupBy("page_id", F.col("parent_table_id").alias("node_id")).agg(
         F.count(F.lit(1)).alias("n_children"))

@@ -1,4 +1,4 @@
-"""End-to-end wrapper induction and evaluation (the reference's experiment:
+"""End-to-end wrapper induction and evaluation (the experiment:
 3 seed pages per site -> one program per field -> apply to the other pages ->
 per-site and overall accuracy / precision / recall / F1).
 

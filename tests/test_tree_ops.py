@@ -61,7 +61,7 @@ def test_table_forest(explode):
 
 
 def test_repeat_detection_goldens():
-    # the reference's docstring examples (start index 0 reachable here, Q9)
+    # FIXTURES repeat-detection examples (start index 0 reachable here, Q9)
     seq = [1, 2, 3, 4, 1, 2, 3, 4, 5]
     assert most_repeated_run([str(x) for x in seq], [True] * 9) == [(0, 4), (4, 8)]
     seq2 = [0, 1, 2, 3, 1, 2, 1, 2, 1, 2]
@@ -117,3 +117,15 @@ def test_structure_golden_unclosed_rows(explode):
     assert got == sorted(["/html", "/html/body", "/html/body/form", "/html/body/form/div",
                           "/html/body/form/div/div", "/html/body/form/div/div/table", base,
                           base + "/tr[1]", base + "/tr[1]/td", base + "/tr[1]/td/div"])
+
+
+def test_string_page_keys(spark):
+    """Grouped maps keep the page key type (SWDE ids are strings)."""
+    from pagesift.operators.dom import explode_dom
+    body = "".join(f"<section class='s'><p>{'word ' * 40}</p></section>" for _ in range(4))
+    pages = spark.createDataFrame([("0001", f"<html><body>{body}</body></html>")],
+                                  "page_id string, html string")
+    nodes = clean.sanitize(explode_dom(pages), "light")
+    fr = fragments.split_fragments(nodes, until_html_tokens=100, max_text_tokens=64).collect()
+    assert fr and all(r.page_id == "0001" for r in fr)
+    assert fragments.remove_until(nodes, 50, 100).first().page_id == "0001"
