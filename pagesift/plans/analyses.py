@@ -54,9 +54,9 @@ def q_prune_by_structure(spark, d):
 def q_fragments(spark, d):
     """Greedy fragments of the light-sanitized pages."""
     prepare(spark)
-    clean_nodes = clean.sanitize(_nodes_once(spark, d), "light")
+    clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
     fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
-    return fragments.fragment_texts(clean_nodes, fr)
+    return fragments.fragment_texts(clean_nodes, fr.checkpoint(eager=True))
 
 
 def q_fragment_sweep(spark, d):
@@ -65,7 +65,8 @@ def q_fragment_sweep(spark, d):
     prepare(spark)
     nodes = _nodes_once(spark, d)
     pick = sampling.sample_per_group(keyed_pages(spark, d).select("site", "page_id"), ["site"], 16)
-    base = clean.sanitize(nodes.join(pick.select("page_id"), "page_id", "left_semi"), "light")
+    base = clean.sanitize(nodes.join(pick.select("page_id"), "page_id", "left_semi"),
+                          "light").checkpoint(eager=True)   # read by all nine grid points
     out = None
     for until in (1024, 2048, 3072):
         for mx in (256, 512, 1024):
@@ -171,7 +172,7 @@ def q_program_feedback(spark, d):
     ann = harness_annotations(pages)
     seeds, _ = sampling.split_seeds(pages.select("page_id", "site"), ["site"], 3)
     seed_nodes = nodes.join(seeds.select("page_id"), "page_id", "left_semi")
-    seed_ann = ann.join(seeds.select("page_id"), "page_id", "left_semi")
+    seed_ann = ann.join(seeds.select("page_id"), "page_id", "left_semi").checkpoint(eager=True)
     c = induce.candidate_programs(seed_nodes, seed_ann, profiles=[induce.INFER, induce.EXTRACT])
     tried = c.join(seeds.select("page_id", "site"), "page_id").groupBy("site", "field", "program").agg(
         F.min(F.length("program")).alias("try_seq"))
@@ -280,7 +281,8 @@ def q_fragment_route(spark, d):
     pages = keyed_pages(spark, d)
     clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
     fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
-    ft = fragments.fragment_texts(clean_nodes, fr).filter(~F.col("is_rest"))
+    # reused below: materialize once (the split is a Python grouped map)
+    ft = fragments.fragment_texts(clean_nodes, fr).filter(~F.col("is_rest")).checkpoint(eager=True)
     ann = harness_annotations(pages).select("page_id", "field", F.explode("values").alias("v"))
     hits = ft.join(ann, "page_id").filter(F.contains(F.coalesce("text", F.lit("")), F.col("v")))
     data = hits.groupBy("page_id", "seq", "field").agg(F.collect_list("v").alias("value")).groupBy(
@@ -288,7 +290,7 @@ def q_fragment_route(spark, d):
             "field", F.struct(F.col("value"), F.lit(None).cast("string").alias("cue_text"))))).alias("data"))
     op_rows = ft.select("page_id", "seq", "xpath").join(data, ["page_id", "seq"], "left")
     classified = ops.classify_fragments(op_rows)
-    fops = ops.field_operators(classified.select("page_id", "seq", "xpath", "data"))
+    fops = ops.field_operators(classified.select("page_id", "seq", "xpath", "data")).checkpoint(eager=True)
     ranked = ops.rank_extracts(clean_nodes, fops)
     return ranked.groupBy("page_id", "field").agg(
         F.max(F.when(F.col("operator_type") == "extract", F.col("xpath"))).alias("extract_xpath"),
