@@ -49,12 +49,15 @@ def keyed_nodes(spark: SparkSession, d: str, materialize: bool = True) -> DataFr
     aggregate is keyed by page first, so with co-partitioning on the page key
     only the small side of those joins moves (one shuffle of the node table
     instead of one per join)."""
-    nodes = explode_dom(keyed_pages(spark, d), keep=["site", "category"])
+    pages = keyed_pages(spark, d)
+    nodes = explode_dom(pages, keep=["site", "category"])
     if not materialize:
         return nodes
     if not CO_PARTITION:
         return nodes.checkpoint(eager=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # as many partitions as the page scan has splits (partitions stay about
+    # input-split sized at any scale), and at least one per core
+    n = max(spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions())
     return nodes.repartition(n, "page_id").checkpoint(eager=True)
 
 
