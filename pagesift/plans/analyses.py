@@ -15,10 +15,11 @@ from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
 from pagesift.plans.pipeline import _nodes_once, harness_annotations
 from pagesift.session import shared_path
-from pagesift.plans.harness import _norm, _render
+from pagesift.plans.harness import _norm, _render, _tokens_sql
 
 _RENDER_H1 = _render("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
 _NORM_X = _norm("x")
+_TOKENS_HTML = _tokens_sql("html")
 
 
 def q_table_forest(spark, d):
@@ -297,7 +298,27 @@ def q_fragment_route(spark, d):
         F.count_if(F.col("operator_type") == "prune").alias("n_prune"))
 
 
+def _page_raw_tokens(spark, d):
+    return keyed_pages(spark, d).select(
+        "page_id", token_count("html").alias("raw_tokens")).withColumn(
+        "token_bin", stats.bin_floor(F.col("raw_tokens"), 1000))
+
+
+def q_page_token_bins(spark, d):
+    """Z1 (raw side) + P8 + A1: pages per 1000-token bin of their raw HTML."""
+    prepare(spark)
+    return stats.mean_by_bin(_page_raw_tokens(spark, d), ["raw_tokens"], "token_bin")
+
+
+def q_page_token_describe(spark, d):
+    """A6 on pages: describe() of raw HTML tokens per 1000-token bin."""
+    prepare(spark)
+    return stats.describe_by_bin(_page_raw_tokens(spark, d), "token_bin", "raw_tokens")
+
+
 ANALYSIS_QUERIES = {
+    "page_token_bins": q_page_token_bins,
+    "page_token_describe": q_page_token_describe,
     "fragment_route": q_fragment_route,
     "structure_pruning_stats": q_structure_pruning_stats,
     "removed_token_describe": q_removed_token_describe,
@@ -321,7 +342,19 @@ ANALYSIS_QUERIES = {
     "stream_extract": q_stream_extract,
 }
 
+_PAGE_TOKENS = ("WITH pt AS (SELECT page_id, " + _TOKENS_HTML + " AS raw_tokens, "
+                "CAST(floor(" + _TOKENS_HTML + " / 1000) * 1000 AS BIGINT) AS token_bin FROM pages)")
+
 ANALYSIS_ORACLE = {
+    "page_token_bins": _PAGE_TOKENS + """
+SELECT token_bin, count(*) AS n, CAST(floor(avg(raw_tokens)) AS BIGINT) AS mean_raw_tokens
+FROM pt GROUP BY token_bin""",
+    "page_token_describe": _PAGE_TOKENS + """
+SELECT token_bin, count(*) AS count, round(avg(raw_tokens), 6) AS mean, round(stddev_samp(raw_tokens), 6) AS std,
+       CAST(min(raw_tokens) AS DOUBLE) AS min, round(quantile_cont(raw_tokens, 0.05), 6) AS p05,
+       round(quantile_cont(raw_tokens, 0.5), 6) AS p50, round(quantile_cont(raw_tokens, 0.95), 6) AS p95,
+       CAST(max(raw_tokens) AS DOUBLE) AS max
+FROM pt GROUP BY token_bin""",
     # every page exactly once, h1 text and hrefs per page
     "stream_extract": """
 SELECT page_id, 'title' AS field, value_list FROM (
