@@ -15,10 +15,11 @@ from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
 from pagesift.plans.pipeline import _nodes_once, harness_annotations
 from pagesift.session import shared_path
-from pagesift.plans.harness import _norm, _render, _tokens_sql
+from pagesift.plans.harness import _norm, _render, _tokens_sql, _u
 
 _RENDER_H1 = _render("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
 _NORM_X = _norm("x")
+_U1_X = _u("x")
 _TOKENS_HTML = _tokens_sql("html")
 
 
@@ -316,7 +317,28 @@ def q_page_token_describe(spark, d):
     return stats.describe_by_bin(_page_raw_tokens(spark, d), "token_bin", "raw_tokens")
 
 
+def q_nav_text_content(spark, d):
+    """text content of each page's nav list (stripped chunks, one space)."""
+    prepare(spark)
+    from pagesift.operators.dom import text_content
+    nodes = keyed_nodes(spark, d)
+    ul = nodes.filter(F.col("tag_path") == "/html/body/nav/ul").select("page_id", "node_id")
+    return text_content(nodes, ul, []).select("page_id", "text_content")
+
+
+def q_title_candidates(spark, d):
+    """X4 + X5 + X6 + W8: candidate programs for the title annotation under
+    both generator profiles."""
+    prepare(spark)
+    pages = keyed_pages(spark, d)
+    ann = harness_annotations(pages).filter(F.col("field") == "title")
+    c = induce.candidate_programs(keyed_nodes(spark, d), ann, profiles=[induce.INFER, induce.EXTRACT])
+    return c.select("page_id", "program").distinct()
+
+
 ANALYSIS_QUERIES = {
+    "nav_text_content": q_nav_text_content,
+    "title_candidates": q_title_candidates,
     "page_token_bins": q_page_token_bins,
     "page_token_describe": q_page_token_describe,
     "fragment_route": q_fragment_route,
@@ -346,6 +368,11 @@ _PAGE_TOKENS = ("WITH pt AS (SELECT page_id, " + _TOKENS_HTML + " AS raw_tokens,
                 "CAST(floor(" + _TOKENS_HTML + " / 1000) * 1000 AS BIGINT) AS token_bin FROM pages)")
 
 ANALYSIS_ORACLE = {
+    "nav_text_content": """
+SELECT page_id, array_to_string(list_filter(list_transform(
+         regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1),
+         lambda x: trim(""" + _U1_X + """)), lambda x: x <> ''), ' ') AS text_content
+FROM pages""",
     "page_token_bins": _PAGE_TOKENS + """
 SELECT token_bin, count(*) AS n, CAST(floor(avg(raw_tokens)) AS BIGINT) AS mean_raw_tokens
 FROM pt GROUP BY token_bin""",
