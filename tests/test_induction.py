@@ -67,3 +67,14 @@ def test_learn_and_apply(spark):
     # every value on the held-out pages is recovered, duplicates included
     n_truth = sum(len(v) for r in ROWS[3:] for _, _, v in truth(r))
     assert (tot.tp, tot.fp, tot.fn) == (n_truth, 0, 0)
+
+
+def test_candidates_keep_all_at_min_gap(spark, explode):
+    html = ("<html><head><title>Deep Blue</title></head><body><h1>Deep Blue</h1>"
+            "<p>Deep Blue is a longer sentence</p><span>Blue</span></body></html>")
+    nodes = explode([html])
+    ann = spark.createDataFrame([(0, "title", ["Deep Blue"])],
+                                "page_id long, field string, values array<string>")
+    got = sorted(r.program for r in induce.candidate_programs(nodes, ann, induce.EXTRACT).collect())
+    # both exact chunks (gap 0) stay; the longer paragraph and the shorter span do not
+    assert got == ["/html/body/h1", "/html/head/title"]
