@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.htmltree import COMMENT
-from pagesift.functions.text import normalize_text
+from pagesift.functions.text import html_unescape, normalize_text, py_strip
 from pagesift.functions.xpath_compile import (anchor_parts, branch_mode, compile_program,
                                               tag_path_regex, tail_positions)
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
@@ -331,7 +331,11 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         return base.select(*keys, *[c for c in match_cols if c not in keys],
                            F.array().cast("array<string>").alias("values"), F.col("invalid"))
     res = reduce(lambda x, y: x.unionByName(y), done).filter(F.col("node_id") >= 0)
-    values = _terminal_values(nodes, res, keys, kinds)
+    css = None
+    if lang_col and lang_col in cp.columns:   # one flag per program, sized like the program table
+        css = cp.select(*pcols, (F.col(lang_col) == "css").alias("is_css")).distinct()
+        css = F.broadcast(css) if broadcast_programs else css
+    values = _terminal_values(nodes, res, keys, kinds, css, pcols)
     out = base.select(*keys, *[c for c in match_cols if c not in keys], "invalid").join(
         values, keys, "left")
     return out.select(*keys, *[c for c in match_cols if c not in keys],
@@ -339,8 +343,14 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                       F.col("invalid"))
 
 
+def css_normalize(c: Column) -> Column:
+    """CSS results: one unescape, strip, then collapse runs of spaces."""
+    return F.regexp_replace(py_strip(html_unescape(c)), "  +", " ")
+
+
 def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str],
-                     kinds: set | None = None) -> DataFrame:
+                     kinds: set | None = None, css: DataFrame | None = None,
+                     pcols: list[str] | None = None) -> DataFrame:
     """Turn result nodes into strings: element -> rendered text, text() -> raw
     chunks, @attr -> attribute value. Then normalize, drop empties, order."""
     term = F.element_at("steps", F.col("i") + 1)
@@ -376,7 +386,13 @@ def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str],
             *keys, F.col("start_seq").alias("ord"), F.concat(F.lit("e"), F.col("node_id")).alias("uid"),
             render_lines(F.coalesce("chunks", F.array().cast(T.ArrayType(SLOT_T)))).alias("raw")))
     allv = reduce(lambda x, y: x.unionByName(y), parts).dropDuplicates(keys + ["uid"])
-    allv = allv.filter(F.col("raw").isNotNull()).withColumn("v", normalize_text(F.col("raw")))
+    allv = allv.filter(F.col("raw").isNotNull())
+    if css is not None:
+        allv = allv.join(css, pcols, "left")
+        allv = allv.withColumn("v", F.when(F.coalesce("is_css", F.lit(False)), css_normalize(F.col("raw")))
+                               .otherwise(normalize_text(F.col("raw")))).drop("is_css")
+    else:
+        allv = allv.withColumn("v", normalize_text(F.col("raw")))
     allv = allv.filter(F.col("v") != "")
     return allv.groupBy(*keys).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("ord", "uid", "v"))), lambda x: x.v).alias("values"))

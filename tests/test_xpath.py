@@ -44,6 +44,7 @@ CASES = [
     ("deep_after_pos", "/html/body/div[1]//li[3]", ["three"]),
     ("anchor_text", "//div[@id='main']/span[2]/text()", ["Book"]),
     ("anchor_self", "//*[@id='main']/a/@href", ["/p%20q"]),
+    ("css_entity", "span.lbl", ["Type:"]),
     ("invalid", "//li[", []),
 ]
 
@@ -53,7 +54,7 @@ def results(spark, explode):
     from pagesift.operators.xpath import apply_programs
     nodes = explode([PAGE])
     progs = spark.createDataFrame(
-        [("s.example.com", n, p, "css" if n == "css" else "xpath") for n, p, _ in CASES],
+        [("s.example.com", n, p, "css" if n.startswith("css") else "xpath") for n, p, _ in CASES],
         "site string, field string, program string, lang string")
     res = apply_programs(nodes, progs, ["site"], ["field"])
     return {r["field"]: (list(r["values"]), r["invalid"]) for r in res.collect()}
