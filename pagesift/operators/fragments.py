@@ -115,6 +115,32 @@ def node_weight(depth, max_depth, text, total_text, width, max_width, tag, has_c
     return depth / max_depth + share + width / max_width + ew
 
 
+def _heaviest(tr: "_Tree", max_depth, max_width, total, max_text_tokens):
+    """The heaviest node; ties go to the earliest child's pick, then the
+    node itself (iterative post-order, no recursion limit on deep pages)."""
+    best = {}
+    stack = [(tr.root, False)]
+    while stack:
+        n, done = stack.pop()
+        kids = tr.kids.get(n, [])
+        if not done:
+            stack.append((n, True))
+            stack.extend((c, False) for c in reversed(kids))
+            continue
+        r = tr.rows[n]
+        w = node_weight(tr.depth_of(n), max_depth, tr.text[n], total, len(kids), max_width,
+                        r.tag, r.has_class, max_text_tokens // 8, max_text_tokens)
+        top = None
+        for c in kids:
+            cand = best.pop(c)
+            if top is None or cand[0] > top[0]:
+                top = cand
+        if top is None or w > top[0]:
+            top = (w, n)
+        best[n] = top
+    return best[tr.root]
+
+
 def _fragments(pdf: pd.DataFrame, until_html_tokens: int, max_text_tokens: int):
     tr = _Tree(pdf)
     out = []
@@ -124,19 +150,7 @@ def _fragments(pdf: pd.DataFrame, until_html_tokens: int, max_text_tokens: int):
         max_depth, max_width = tr.stats()
         total = tr.text[tr.root]
 
-        def best(n):   # W10: heaviest node, ties to the first child, then the node itself
-            cands = [best(c) for c in tr.kids.get(n, [])]
-            r = tr.rows[n]
-            w = node_weight(tr.depth_of(n), max_depth, tr.text[n], total, len(tr.kids.get(n, [])),
-                            max_width, r.tag, r.has_class, max_text_tokens // 8, max_text_tokens)
-            cands.append((w, n))
-            top = cands[0]
-            for c in cands[1:]:
-                if c[0] > top[0]:
-                    top = c
-            return top
-
-        w, n = best(tr.root)
+        w, n = _heaviest(tr, max_depth, max_width, total, max_text_tokens)
         if tr.depth_of(n) <= 1 or w == 0:
             break
         out.append((tr.rows[n].xpath, tr.text[n], tr.html[n], w))
