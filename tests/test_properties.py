@@ -77,3 +77,12 @@ def test_prefix_dedup_matches_brute_force(spark, paths):
     got = sorted(r.path for r in prefix_dedup(df, ["page_id"], "path").collect())
     want = sorted(p for p in paths if not any(q != p and p.startswith(q + "/") for q in paths))
     assert got == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.data())
+def test_repeat_detection_matches_direct_search(sigs, data):
+    from pagesift.operators.structure import most_repeated_run, most_repeated_run_naive
+    cls = data.draw(st.lists(st.booleans(), min_size=len(sigs), max_size=len(sigs)))
+    for inc in (True, False):
+        assert most_repeated_run(sigs, cls, inc) == most_repeated_run_naive(sigs, cls, inc)
