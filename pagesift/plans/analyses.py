@@ -258,9 +258,8 @@ def q_representative_pages(spark, d):
 
 
 def q_fragment_predictions(spark, d):
-    """X20 + X21: fragments as extract operations, each annotated value widened
-    to its containing text (W14) and scored per site; plus whether the values
-    survive pruning the non-fragment rest (F19)."""
+    """Each annotated value widened to its full containing text (W14),
+    then scored against the annotations per site and overall (E2, A8)."""
     prepare(spark)
     from pagesift.operators import metrics
     pages = keyed_pages(spark, d)
