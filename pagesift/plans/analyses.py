@@ -273,12 +273,9 @@ def q_fragment_predictions(spark, d):
     return metrics.site_report(counts, ["category", "site"], digits=6)
 
 
-def q_fragment_route(spark, d):
-    """The fragment route: split pages into fragments (T16, T18), turn each
-    fragment into an operation whose data are the annotated values its text
-    holds, classify (X15), build per-field operator lists (X13) and keep the
-    best-ranked extract per field when several compete (X14)."""
-    prepare(spark)
+def _fragment_ops(spark, d):
+    """Fragments -> operations with the annotated values each holds -> X15 ->
+    X13 -> X14. Returns (sanitized nodes, ranked per-field operations, pages)."""
     pages = keyed_pages(spark, d)
     clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
     fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
@@ -292,12 +289,35 @@ def q_fragment_route(spark, d):
     op_rows = ft.select("page_id", "seq", "xpath").join(data, ["page_id", "seq"], "left")
     classified = ops.classify_fragments(op_rows)
     fops = ops.field_operators(classified.select("page_id", "seq", "xpath", "data")).checkpoint(eager=True)
-    ranked = ops.rank_extracts(clean_nodes, fops)
+    return clean_nodes, ops.rank_extracts(clean_nodes, fops), pages
+
+
+def q_fragment_route(spark, d):
+    """The fragment route: split pages into fragments (T16, T18), turn each
+    fragment into an operation whose data are the annotated values its text
+    holds, classify (X15), build per-field operator lists (X13) and keep the
+    best-ranked extract per field when several compete (X14)."""
+    prepare(spark)
+    _, ranked, _ = _fragment_ops(spark, d)
     return ranked.groupBy("page_id", "field").agg(
         F.max(F.when(F.col("operator_type") == "extract", F.col("xpath"))).alias("extract_xpath"),
         F.count_if(F.col("operator_type") == "prune").alias("n_prune"))
 
 
+def q_fragment_loss(spark, d):
+    """X21 + T19 + F19 + Z5: apply every page's prune operations from the
+    fragment route, serialize, and check the annotated values still appear;
+    failure counts and rates per site, worst first."""
+    prepare(spark)
+    clean_nodes, ranked, pages = _fragment_ops(spark, d)
+    prunes = ranked.filter(F.col("operator_type") == "prune").select("page_id", "xpath").distinct()
+    kept = prune.prune_paths(clean_nodes, prunes)
+    ok = ops.values_kept(clean.serialize(kept), harness_annotations(pages).join(
+        ranked.select("page_id").distinct(), "page_id", "left_semi"))
+    ok = ok.join(pages.select("page_id", "site"), "page_id")
+    return stats.failure_rates(ok, ["site"], ~F.col("kept_all"))
+
+
 def _page_raw_tokens(spark, d):
     return keyed_pages(spark, d).select(
         "page_id", token_count("html").alias("raw_tokens")).withColumn(
@@ -336,6 +356,7 @@ def q_title_candidates(spark, d):
 
 
 ANALYSIS_QUERIES = {
+    "fragment_loss": q_fragment_loss,
     "nav_text_content": q_nav_text_content,
     "title_candidates": q_title_candidates,
     "page_token_bins": q_page_token_bins,
