@@ -31,7 +31,8 @@ from pagesift.functions.xpath_compile import (anchor_parts, branch_mode, compile
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
-                       T.StructField("val", T.StringType()), T.StructField("neg", T.BooleanType())])
+                       T.StructField("val", T.StringType()), T.StructField("neg", T.BooleanType()),
+                       T.StructField("grp", T.IntegerType())])
 STEP_T = T.StructType([
     T.StructField("axis", T.StringType()), T.StructField("test", T.StringType()),
     T.StructField("kind", T.StringType()), T.StructField("preds", T.ArrayType(PRED_T)),
@@ -105,7 +106,9 @@ def _pred_ok(preds: Column, attrs: Column, slots: Column, sv: Column) -> Column:
               .otherwise(F.lit(False)))
         return F.when(p.neg, ~ok).otherwise(ok)
 
-    return F.forall(F.coalesce(preds, F.array().cast(T.ArrayType(PRED_T))), one)
+    # AND over groups, OR inside a group
+    ps = F.coalesce(preds, F.array().cast(T.ArrayType(PRED_T)))
+    return F.forall(ps, lambda p: F.exists(F.filter(ps, lambda q: q.grp == p.grp), one))
 
 
 def _test_ok(test: Column, tag: Column) -> Column:

@@ -45,6 +45,8 @@ CASES = [
     ("anchor_text", "//div[@id='main']/span[2]/text()", ["Book"]),
     ("anchor_self", "//*[@id='main']/a/@href", ["/p%20q"]),
     ("css_entity", "span.lbl", ["Type:"]),
+    ("or_pred", "//ul/li[text()='one' or text()='three']", ["one", "three"]),
+    ("or_and_brackets", "//li[@class='x' or text()='two'][text()!='one']", ["two", "three"]),
     ("invalid", "//li[", []),
 ]
 
