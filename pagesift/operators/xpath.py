@@ -90,6 +90,11 @@ def _pred_ok(preds: Column, attrs: Column, slots: Column, sv: Column) -> Column:
         a = attrs[p.arg]
         ok = (F.when(p.fn == "attr_exists", a.isNotNull())
               .when(p.fn == "attr_eq", F.coalesce(a == p.val, F.lit(False)))
+              .when(p.fn == "attr_ne", F.coalesce(a != p.val, F.lit(False)))
+              .when(p.fn == "text_ne", F.exists(slots, lambda s: s.text != p.val))
+              .when(p.fn == "ntext_ne", norm(first_text) != p.val)
+              .when(p.fn == "str_ne", sv != p.val)
+              .when(p.fn == "nstr_ne", norm(sv) != p.val)
               .when(p.fn == "attr_contains", F.coalesce(F.contains(a, p.val), F.lit(False)))
               .when(p.fn == "attr_starts", F.coalesce(F.startswith(a, p.val), F.lit(False)))
               .when(p.fn == "class_has", F.coalesce(F.array_contains(

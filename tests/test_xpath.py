@@ -47,6 +47,8 @@ CASES = [
     ("css_entity", "span.lbl", ["Type:"]),
     ("or_pred", "//ul/li[text()='one' or text()='three']", ["one", "three"]),
     ("or_and_brackets", "//li[@class='x' or text()='two'][text()!='one']", ["two", "three"]),
+    ("ne_absent_attr", "//ul/li[@class != 'y']", ["one", "three"]),
+    ("not_eq", "//ul/li[not(@class = 'x')]", ["two"]),
     ("invalid", "//li[", []),
 ]
 
