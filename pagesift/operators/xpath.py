@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pagesift.functions.htmltree import COMMENT
 from pagesift.functions.text import html_unescape, normalize_text, py_strip
 from pagesift.functions.xpath_compile import (anchor_parts, branch_mode, compile_program,
-                                              tag_path_regex, tail_positions)
+                                              inner_attr_preds, tag_path_regex, tail_positions)
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
 
 PRED_T = T.StructType([T.StructField("fn", T.StringType()), T.StructField("arg", T.StringType()),
@@ -46,6 +46,8 @@ COMPILED_T = T.StructType([
     T.StructField("modes", T.ArrayType(T.StringType())),
     T.StructField("patterns", T.ArrayType(T.StringType())),
     T.StructField("tails", T.ArrayType(T.ArrayType(T.IntegerType()))),
+    T.StructField("inner", T.ArrayType(T.ArrayType(T.StructType([
+        T.StructField("k", T.IntegerType()), T.StructField("preds", T.ArrayType(PRED_T))])))),
     T.StructField("anchors", T.ArrayType(T.StructType([
         T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()),
         T.StructField("rest", T.StringType()),
@@ -55,13 +57,15 @@ COMPILED_T = T.StructType([
 
 @F.pandas_udf(COMPILED_T)
 def compile_udf(program: pd.Series, lang: pd.Series) -> pd.DataFrame:
-    out = {"branches": [], "modes": [], "patterns": [], "tails": [], "anchors": [], "invalid": []}
+    out = {"branches": [], "modes": [], "patterns": [], "tails": [], "inner": [], "anchors": [],
+           "invalid": []}
     for p, l in zip(program, lang):
         branches, invalid = compile_program(p, l or "xpath")
         out["branches"].append(branches)
         out["modes"].append([branch_mode(b) for b in branches])
         out["patterns"].append([tag_path_regex(b) for b in branches])
         out["tails"].append([tail_positions(b) for b in branches])
+        out["inner"].append([inner_attr_preds(b) for b in branches])
         modes = out["modes"][-1]
         out["anchors"].append([dict(zip(("tag", "id", "rest", "pos"), anchor_parts(b)))
                                if m == "anchor" else None for b, m in zip(branches, modes)])
@@ -73,7 +77,8 @@ def compile_programs(programs: DataFrame, program_col: str = "program",
                      lang_col: str | None = "lang") -> DataFrame:
     lang = F.col(lang_col) if lang_col and lang_col in programs.columns else F.lit("xpath")
     return programs.withColumn("_c", compile_udf(F.col(program_col), lang)).select(
-        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.tails", "_c.anchors", "_c.invalid").drop("_c")
+        "*", "_c.branches", "_c.modes", "_c.patterns", "_c.tails", "_c.inner", "_c.anchors",
+        "_c.invalid").drop("_c")
 
 
 def _node_cols(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -151,11 +156,12 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     keys = ["page_id"] + pcols
 
     br = cp.select(*match_cols, *pcols, F.posexplode("branches").alias("br", "steps"),
-                   "modes", "patterns", "tails", "anchors")
+                   "modes", "patterns", "tails", "inner", "anchors")
     br = br.withColumn("mode", F.element_at("modes", F.col("br") + 1)).withColumn(
         "pattern", F.element_at("patterns", F.col("br") + 1)).withColumn(
         "tail", F.element_at("tails", F.col("br") + 1)).withColumn(
-        "anchor", F.element_at("anchors", F.col("br") + 1)).drop("modes", "patterns", "tails", "anchors")
+        "anchor", F.element_at("anchors", F.col("br") + 1)).withColumn(
+        "inner", F.element_at("inner", F.col("br") + 1)).drop("modes", "patterns", "tails", "anchors")
     fast = br.filter(F.col("mode") != "general")
     slow = br.filter(F.col("mode") == "general")
     # plan only the branches the program table needs (one tiny aggregate)
@@ -177,7 +183,8 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     is_abs = F.col("mode") == "abs"
     plain = (F.size(last.preds) == 0) & (F.coalesce(last.pos, F.lit(0)) >= 0)
     fast = fast.select(
-        *match_cols, *pcols, "br", "steps", "mode", "pattern", "tail", "anchor", last.alias("last"),
+        *match_cols, *pcols, "br", "steps", "mode", "pattern", "tail", "anchor", "inner",
+        last.alias("last"),
         plain.alias("plain"), last.test.alias("tag"),
         F.concat(F.lit("/"), F.array_join(F.transform(ns, lambda x: x.test), "/")).alias("tag_path"),
         # positions checked against sib_path; the last one only when no predicate
@@ -185,13 +192,24 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                     .otherwise(F.coalesce(x.pos, F.lit(0)))).alias("pp"))
     fprog = F.broadcast(fast) if broadcast_programs else fast
     ncols = nodes.select("page_id", *match_cols, "tag", "tag_path", "node_id", "parent_id",
-                         "sib_path", "attrs", "text_slots", "start_seq")
+                         "sib_path", "attrs", "text_slots", "start_seq", "anc_ids")
     hits = []
     if "abs" in modes:
         f_abs = ncols.drop("tag").join(fprog.filter(F.col("mode") == "abs").drop("tag"),
                                        match_cols + ["tag_path"])
-        hits.append(f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
-                                          lambda z: (z.pp == 0) | (z.pp == z.sib_path))))
+        f_abs = f_abs.filter(F.forall(F.arrays_zip(F.col("pp"), F.col("sib_path")),
+                                      lambda z: (z.pp == 0) | (z.pp == z.sib_path)))
+        # attribute predicates of inner steps: checked on the ancestor at that
+        # depth (one explode + one join on page), failing matches anti-joined
+        chk = f_abs.filter(F.size("inner") > 0).select(
+            *keys, "br", "node_id", "anc_ids", F.explode("inner").alias("ip"))
+        chk = chk.withColumn("anc", F.element_at("anc_ids", F.col("ip.k") + 1)).join(
+            nodes.select("page_id", F.col("node_id").alias("anc"), F.col("attrs").alias("a_attrs")),
+            ["page_id", "anc"])
+        bad = chk.filter(~_pred_ok(F.col("ip.preds"), F.col("a_attrs"),
+                                   F.array().cast(T.ArrayType(SLOT_T)), F.lit(""))).select(
+            *keys, "br", "node_id").distinct()
+        hits.append(f_abs.join(bad, [*keys, "br", "node_id"], "left_anti"))
     if "pattern" in modes:
         f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
             "tag_path", "prog_path"), match_cols + ["tag"]).filter(
@@ -218,7 +236,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
             & F.forall(F.arrays_zip(F.col("anchor.pos").alias("ap"), below.alias("sp")),
                        lambda z: (z.ap == 0) | (z.ap == z.sp)))
         hits.append(f_anc.drop("aid", "atag", "a_path", "a_sib"))
-    fhit = reduce(lambda x, y: x.unionByName(y), hits) if hits else None
+    fhit = reduce(lambda x, y: x.unionByName(y), hits).drop("anc_ids", "inner") if hits else None
     fplain = fhit.filter("plain") if fhit is not None else None
     # last step with predicates (or last()): position among matching siblings
     fpred = None if fhit is None or not need_pred else fhit.filter(~F.col("plain")).withColumn(

@@ -18,6 +18,7 @@ def test_compile_modes():
     assert branch_mode(compile_program("//ul/li[2]/a")[0][0]) == "pattern"
     assert branch_mode(compile_program("//div[2]//span[1]")[0][0]) == "general"
     assert branch_mode(compile_program("//*[@id='main']/ul/li[1]")[0][0]) == "anchor"
+    assert branch_mode(compile_program("/html/body/div[@id='main']/ul/li[2]")[0][0]) == "abs"
     assert branch_mode(compile_program(
         "//span[text()='Type:']/following-sibling::span[1]")[0][0]) == "general"
     assert compile_program("//a[")[1] is True
@@ -49,6 +50,9 @@ CASES = [
     ("or_and_brackets", "//li[@class='x' or text()='two'][text()!='one']", ["two", "three"]),
     ("ne_absent_attr", "//ul/li[@class != 'y']", ["one", "three"]),
     ("not_eq", "//ul/li[not(@class = 'x')]", ["two"]),
+    ("abs_inner_pred", "/html/body/div[@id='main']/ul/li[2]/text()", ["two"]),
+    ("abs_inner_fail", "/html/body/div[@class='nope']/ul/li", []),
+    ("abs_inner_last", "/html/body/div[@id='main']/ul/li[@class='x'][2]", ["three"]),
     ("invalid", "//li[", []),
 ]
 
