@@ -169,8 +169,10 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     last0, term0 = F.element_at(ns0, -1), F.element_at("steps", -1)
     shape = br.select(
         "mode", ((F.size(last0.preds) == 0) & (F.coalesce(last0.pos, F.lit(0)) >= 0)).alias("plain"),
-        term0.kind.alias("kind"), (term0.axis == "desc_child").alias("deep")).distinct().collect()
+        term0.kind.alias("kind"), (term0.axis == "desc_child").alias("deep"),
+        (F.coalesce(F.size("inner"), F.lit(0)) > 0).alias("inner")).distinct().collect()
     modes = {r["mode"] for r in shape}
+    need_inner = any(r["inner"] for r in shape if r["mode"] == "abs")
     need_pred = any(not r["plain"] for r in shape if r["mode"] != "general")
     kinds = {("text_deep" if r["kind"] == "text" and r["deep"] else r["kind"]) for r in shape}
 
@@ -201,15 +203,17 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                                       lambda z: (z.pp == 0) | (z.pp == z.sib_path)))
         # attribute predicates of inner steps: checked on the ancestor at that
         # depth (one explode + one join on page), failing matches anti-joined
-        chk = f_abs.filter(F.size("inner") > 0).select(
+        chk = None if not need_inner else f_abs.filter(F.size("inner") > 0).select(
             *keys, "br", "node_id", "anc_ids", F.explode("inner").alias("ip"))
-        chk = chk.withColumn("anc", F.element_at("anc_ids", F.col("ip.k") + 1)).join(
-            nodes.select("page_id", F.col("node_id").alias("anc"), F.col("attrs").alias("a_attrs")),
-            ["page_id", "anc"])
-        bad = chk.filter(~_pred_ok(F.col("ip.preds"), F.col("a_attrs"),
-                                   F.array().cast(T.ArrayType(SLOT_T)), F.lit(""))).select(
-            *keys, "br", "node_id").distinct()
-        hits.append(f_abs.join(bad, [*keys, "br", "node_id"], "left_anti"))
+        if chk is not None:
+            chk = chk.withColumn("anc", F.element_at("anc_ids", F.col("ip.k") + 1)).join(
+                nodes.select("page_id", F.col("node_id").alias("anc"), F.col("attrs").alias("a_attrs")),
+                ["page_id", "anc"])
+            bad = chk.filter(~_pred_ok(F.col("ip.preds"), F.col("a_attrs"),
+                                       F.array().cast(T.ArrayType(SLOT_T)), F.lit(""))).select(
+                *keys, "br", "node_id").distinct()
+            f_abs = f_abs.join(bad, [*keys, "br", "node_id"], "left_anti")
+        hits.append(f_abs)
     if "pattern" in modes:
         f_pat = ncols.join(fprog.filter(F.col("mode") == "pattern").withColumnRenamed(
             "tag_path", "prog_path"), match_cols + ["tag"]).filter(
