@@ -7,7 +7,8 @@ from pagesift.functions.xpath_compile import branch_mode, compile_program
 
 PAGE = ("<html><head><title>Title A</title></head><body>"
         "<div id='main'><ul><li class='x'>one</li><li>two</li><li class='x'>three</li></ul>"
-        "<span class='lbl'>Type:</span><span>Book</span><a href='/p%20q'>link</a></div>"
+        "<span class='lbl'>Type:</span><span>Book</span><a href='/p%20q'>link</a>"
+        "<p class='n'>x&nbsp;y</p></div>"
         "<table><tr><td>c1</td><td>c2</td></tr></table></body></html>")
 
 
@@ -53,6 +54,8 @@ CASES = [
     ("abs_inner_pred", "/html/body/div[@id='main']/ul/li[2]/text()", ["two"]),
     ("abs_inner_fail", "/html/body/div[@class='nope']/ul/li", []),
     ("abs_inner_last", "/html/body/div[@id='main']/ul/li[@class='x'][2]", ["three"]),
+    ("css_nbsp", "p.n", ["x\xa0y"]),           # CSS: one unescape, NBSP kept
+    ("xpath_nbsp", "//p[@class='n']", ["x y"]),  # XPath values: NBSP becomes a space
     ("invalid", "//li[", []),
 ]
 
