@@ -73,3 +73,14 @@ def test_resume_only_runs_pending(spark, corpus, tmp_path):
     sinks.resume(spark, todo.filter(F.col("page_id") == "0000"), out, ["page_id"], run)
     done = sinks.resume(spark, todo, out, ["page_id"], run)
     assert calls == [1, 2] and done.count() == 3
+
+
+def test_results_json_sink_drops_html(spark, tmp_path):
+    rows = spark.createDataFrame([("book", "amazon", "0000", "<html/>", '{"title": ["A"]}')],
+                                 "category string, site string, page_id string, html string, data string")
+    out = str(tmp_path / "results")
+    sinks.write_results_json(rows, out)
+    back = spark.read.json(out)
+    assert "html" not in back.columns
+    assert back.select("category", "site", "page_id").first().asDict() == {
+        "category": "book", "site": "amazon", "page_id": "0000"}
