@@ -10,7 +10,8 @@
    verified on the full sets, and links are joined into components.
 3. A bucket whose members still lie in several components is searched in full:
    blocks of its members are compared in one task each, where only pairs across
-   components are verified and only links that join two components are emitted.
+   components are verified, each pair in its first shared bucket alone, and only
+   links that join two components are emitted.
    Hence no link between different texts is lost, and no bucket emits its pairs.
 """
 
@@ -169,7 +170,9 @@ def _block_links(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("cls", "ascending")])
         cls, comp = t.column("cls").to_pylist(), t.column("comp").to_pylist()
-        side = t.column("side").to_numpy()
+        side, bi = t.column("side").to_numpy(), t.column("bi")[0].as_py()
+        # bands before this one: a pair that shares one is verified there
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :bi]
         sig = np.stack([t.column(s).to_numpy() for s in SIGS], axis=1).view(np.uint64)
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
@@ -192,6 +195,7 @@ def _block_links(percent: int):
             differ = np.bitwise_count(y & np.uint64(_LOW)).sum(axis=1)
             est = ((1 - differ / _N) - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
             near = (est >= least) & (np.minimum(sizes[right], sizes[i]) * 100 >= percent * np.maximum(sizes[right], sizes[i]))
+            near[near] &= ~(bands[right[near]] == bands[i]).any(axis=1)
             for j in right[near].tolist():
                 a, b = root(comp[i]), root(comp[j])
                 if a != b and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)),
@@ -206,11 +210,11 @@ def _block_links(percent: int):
 
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) components over classes (cls, n_shingles, bands, s0..)."""
-    bands = written(classes.select(F.explode("bands").alias("band"), "cls"), "bands")
+    bands = written(classes.select(F.posexplode("bands").alias("bi", "band"), "cls"), "bands")
     buckets = written(bands.groupBy("band").agg(F.min("cls").alias("center"), F.count("*").alias("m"))
                       .filter("m > 1"), "buckets")
     members = written(bands.join(buckets, "band"), "members")
-    sigs = classes.select("cls", "n_shingles", *SIGS)
+    sigs = classes.select("cls", "n_shingles", "bands", *SIGS)
     pairs = members.filter("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     sized = (pairs.join(sigs.alias("x"), F.col("a") == F.col("x.cls"))
              .join(sigs.alias("y"), F.col("b") == F.col("y.cls"))
@@ -227,17 +231,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     first = components(links)
     # buckets that still hold several components, one of those with equal members
     inside = written(members.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-                     .withColumn("comp", F.coalesce("root", "cls")).select("band", "m", "cls", "comp"), "inside")
-    mixed = (inside.groupBy("band", "m").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                     .withColumn("comp", F.coalesce("root", "cls")).select("bi", "band", "m", "cls", "comp"), "inside")
+    mixed = (inside.groupBy("bi", "band", "m").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
                                              F.expr("bit_xor(xxhash64(cls))").alias("f1"),
                                              F.expr("bit_xor(xxhash64(cls, 7))").alias("f2"))
-             .filter("x <> y").groupBy("m", "f1", "f2").agg(F.min("band").alias("band")).select("band"))
+             .filter("x <> y").groupBy("m", "f1", "f2").agg(F.min_by("band", "bi").alias("band")).select("band"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
     # a member's block meets every block; side 0: same block, 1 and 2: the two blocks of a pair
     left = (inside.join(written(mixed, "mixed"), "band").withColumn("nb", blocks).withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("band", "cls", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            .select("bi", "band", "cls", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                     F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")))
     rest = (left.join(sigs.drop("n_shingles"), "cls").join(sets, "cls").groupBy("band", "i", "j")
             .applyInArrow(_block_links(percent), "a binary, b binary"))
