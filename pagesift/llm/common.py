@@ -65,18 +65,27 @@ def words(text: Column | str) -> Column:
         F.split(trimmed, SPACE, -1))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row. A lambda that indexes
+    into an expression would otherwise compute it anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingle_hashes(w: Column, n: int, whole_if_short: bool = True) -> Column:
     """64-bit hashes of the ``n``-word shingles of a word array, in order.
 
     A shorter, non-empty array gives one shingle of all its words unless
     ``whole_if_short`` is false; an empty one gives none."""
-    size = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), size - n + 1),
-                       lambda i: F.xxhash64(*[F.get(w, i + k - 1) for k in range(n)]))
     none = F.array().cast("array<bigint>")
-    short = F.when(size == 0, none).otherwise(
-        F.array(F.xxhash64(F.array_join(w, " ")))) if whole_if_short else none
-    return F.when(size >= n, runs).otherwise(short)
+
+    def of(a):
+        runs = F.transform(F.sequence(F.lit(0), F.size(a) - n),
+                           lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(n)]))
+        short = F.when(F.size(a) == 0, none).otherwise(
+            F.array(F.xxhash64(F.array_join(a, " ")))) if whole_if_short else none
+        return F.when(F.size(a) >= n, runs).otherwise(short)
+
+    return let(w, of)
 
 
 def bounded(df: DataFrame, max_rows: int) -> bool:

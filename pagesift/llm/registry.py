@@ -1,11 +1,25 @@
 """Queries of the training-data operators and their DuckDB SQL, where there is one."""
 
+from pagesift.llm.decontaminate import OP2_SQL, op2_decontamination
+from pagesift.llm.line_dedup import OP8_SQL, op8_line_dedup
+from pagesift.llm.minhash import op10_near_duplicates
 from pagesift.llm.packing import op1_packing
+from pagesift.llm.quality import op9_quality
 from pagesift.llm.token_files import op4_token_files
+from pagesift.llm.url_filter import OP3_SQL, op3_url_filter
 
 LLM_QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
+    "op8_line_dedup": OP8_SQL,
+}
