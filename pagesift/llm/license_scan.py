@@ -85,9 +85,11 @@ def bigrams(w: Column) -> Column:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line, text, w): every line with a word of every text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
-                       F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
-    return rows.withColumn("w", license_words("text")).filter(F.size("w") > 0)
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(
+        x.alias("text"), license_words(x).alias("w")))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
+                        F.posexplode(lines).alias("line", "l"))
+            .select("doc_id", "th", "line", "l.text", "l.w").filter(F.size("w") > 0))
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -153,16 +155,22 @@ def scan(docs: DataFrame, fitted=None) -> DataFrame:
     are ignored. ``cover`` is the best share of a template of the family."""
     spark = docs.sparkSession
     model, temperature = fitted or train(docs)
-    rows = with_features(paragraphs(docs)).select("doc_id", "th", "line", "text", "w", "grams", "features")
-    logits = model.transform(rows).select("doc_id", "th", "line", "text", "w", "grams",
-                                          vector_to_array("rawPrediction").alias("raw"))
-    scaled = F.transform("raw", lambda x: F.exp(F.greatest(F.lit(-60.0), (x - F.array_max("raw")) / temperature)))
-    probs = logits.withColumn("p", F.transform(scaled, lambda x: x)).withColumn(
-        "total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
-    best = F.array_position("p", F.array_max("p")).cast("int") - 1
-    probs = (probs.withColumn("family", F.get(F.array(*[F.lit(f) for f in FAMILIES]), best))
-             .withColumn("probability", F.array_max("p") / F.col("total"))
-             .filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)))
+    rows = with_features(paragraphs(docs)).select("doc_id", "th", "line", "text", "w", "features")
+
+    def softmax(raw):
+        return let(F.array_max(raw), lambda top: F.transform(
+            raw, lambda x: F.exp(F.greatest(F.lit(-60.0), (x - top) / temperature))))
+
+    def decide(p):
+        best = F.array_position(p, F.array_max(p)).cast("int") - 1
+        return F.struct(F.get(F.array(*[F.lit(f) for f in FAMILIES]), best).alias("family"),
+                        (F.array_max(p) / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)).alias("probability"))
+
+    verdict = let(let(vector_to_array("rawPrediction"), softmax), decide)
+    # exploding the verdict filters rows without computing the verdict twice
+    found = F.filter(F.array(verdict), lambda v: (v["family"] != UNKNOWN) & (v["probability"] >= MIN_PROBABILITY))
+    probs = (model.transform(rows).select("doc_id", "th", "line", "text", "w", F.explode(found).alias("v"))
+             .select("doc_id", "th", "line", "text", F.concat("w", bigrams(F.col("w"))).alias("grams"), "v.*"))
     t = template_table(spark).select("family", F.concat("w", bigrams(F.col("w"))).alias("tg"))
     t = t.groupBy("family").agg(F.collect_list("tg").alias("templates"))  # the fixed notices above
     cover = F.array_max(F.transform("templates", lambda g: F.size(F.array_intersect(g, F.col("grams")))
