@@ -20,6 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def raw_bytes(a: np.ndarray) -> memoryview:
+    """The array's memory as bytes (a memoryview of an empty one can't be cast)."""
+    return memoryview(np.ascontiguousarray(a).reshape(-1)).cast("B") if a.size else memoryview(b"")
+
+
 def batch_words(texts: pa.Array, lower: bool):
     """Words of a batch of texts (null: no words).
 

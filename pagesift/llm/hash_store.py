@@ -18,6 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import fresh_path
 
 MANIFEST = "part int, first long, n long, file string"
@@ -34,7 +35,7 @@ def save_array(path: str, a: np.ndarray) -> None:
     fs, p = _filesystem(path)
     fs.create_dir(os.path.dirname(p), recursive=True)
     with fs.open_output_stream(p) as out:
-        out.write(memoryview(np.ascontiguousarray(a)).cast("B"))
+        out.write(raw_bytes(a))
 
 
 def map_array(path: str, dtype) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pagesift.llm.arrays import _GOLD, batch_words, distinct_per_row, mix, shingles, word_hashes
+from pagesift.llm.arrays import _GOLD, batch_words, distinct_per_row, mix, raw_bytes, shingles, word_hashes
 from pagesift.llm.common import prepare, table, written
 from pagesift.llm.components import components
 from pagesift.llm.hash_store import SortedArrays, write_sorted
@@ -55,7 +55,7 @@ def shingle_sets(texts: pa.Array, n: int):
 def set_keys(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A 128-bit key of each non-empty set."""
     full = np.flatnonzero(np.diff(offsets))
-    view = memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b""
+    view = raw_bytes(values)
     return [xxhash.xxh3_128_digest(view[8 * offsets[i]:8 * offsets[i + 1]]) for i in full.tolist()]
 
 

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import prepare, table, written
 from pagesift.llm.token_ids import ChunkTokenizer, with_end_id
 
@@ -46,7 +47,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window:
             start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces))
             length = np.minimum(window, n_tokens[doc] - start)
             begin = off[:-1][doc] + start
-            view = memoryview(ids.astype("<u4")).cast("B")
+            view = raw_bytes(ids.astype("<u4"))
             crc = [zlib.crc32(view[4 * b:4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
             out = {"doc_id": batch.column(0).take(pa.array(doc)), "start": pa.array(start, pa.int64()),
                    "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),

@@ -1,7 +1,10 @@
 """Queries of the training-data operators and their DuckDB SQL, where there is one."""
 
 from pagesift.llm.decontaminate import OP2_SQL, op2_decontamination
+from pagesift.llm.html_text import op7_main_text
+from pagesift.llm.license_scan import op6_license_scan
 from pagesift.llm.line_dedup import OP8_SQL, op8_line_dedup
+from pagesift.llm.lm_score import op5_lm_score
 from pagesift.llm.minhash import op10_near_duplicates
 from pagesift.llm.packing import op1_packing
 from pagesift.llm.quality import op9_quality
@@ -13,6 +16,9 @@ LLM_QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
+    "op5_lm_score": op5_lm_score,
+    "op6_license_scan": op6_license_scan,
+    "op7_main_text": op7_main_text,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,

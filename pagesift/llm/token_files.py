@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import fresh_path, prepare, table
 from pagesift.llm.token_ids import ChunkTokenizer, with_end_id
 
@@ -86,7 +87,7 @@ def ids_digest(rows: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(2)
             off = ids.offsets.to_numpy(zero_copy_only=False)
-            view = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B")
+            view = raw_bytes(ids.values.to_numpy(zero_copy_only=False).astype("<u4"))
             crc = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "start": batch.column(1),
