@@ -36,7 +36,7 @@ _N = BANDS * ROWS
 _WORDS = _N * BITS // 64
 # distance below the threshold at which an estimate still counts: over 5 deviations
 MARGIN = 0.22
-BLOCK = 256  # members of a bucket compared by one task
+BLOCK = 2048  # members of a bucket compared by one task
 SIGS = [f"s{i}" for i in range(_WORDS)]
 _LOW = sum(1 << (BITS * i) for i in range(64 // BITS))
 
