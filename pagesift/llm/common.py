@@ -14,7 +14,7 @@ from pagesift.session import ensure_checkpoint_dir, ship_package
 SPACE = r"[\x20\x09-\x0D]+"
 # rows and bytes of one Arrow batch sent to a Python task (texts can be long)
 BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import prepare, table, written
-from pagesift.llm.token_ids import ChunkTokenizer, with_end_id
+from pagesift.llm.token_ids import tokenizer_for, with_end_id
 
 WINDOW = 2048
 # pieces packed together by one task; bounds its memory at any input size
@@ -38,7 +38,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window:
     the ids themselves as ``ids array<int>``. Other columns are ignored."""
 
     def run(batches):
-        tok = ChunkTokenizer(tokenizer_path, "spaces")
+        tok = tokenizer_for(tokenizer_path, "spaces")
         for batch in batches:
             ids, off = with_end_id(*tok.encode(batch.column(1)), end_id)
             n_tokens = np.diff(off)

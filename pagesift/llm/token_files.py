@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import fresh_path, prepare, table
-from pagesift.llm.token_ids import ChunkTokenizer, with_end_id
+from pagesift.llm.token_ids import tokenizer_for, with_end_id
 
 # Parquet layout: bytes of a row group, of a page, and rows of a page at most
 ROW_GROUP_BYTES = 8 << 20
@@ -36,7 +36,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches):
         from pyspark import TaskContext
-        tok, part = ChunkTokenizer(tokenizer_path, "space_prefix"), TaskContext.get().partitionId()
+        tok, part = tokenizer_for(tokenizer_path, "space_prefix"), TaskContext.get().partitionId()
         seq = before = 0
         for batch in batches:
             ids, off = with_end_id(*tok.encode(batch.column(1)), end_id)

@@ -13,6 +13,7 @@ cuts, so the ids equal those of encoding the whole text at once:
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -22,8 +23,9 @@ import pyarrow.compute as pc
 from pagesift.llm.arrays import gather_runs
 
 # distinct chunks kept in a task before its memory is given back
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 500_000
 _SEPARATOR = "<|endoftext|>"
+_UNSAFE = r"^$|^[\s\pZ\x0B\x1C-\x1F\x85]|[\s\pZ\x0B\x1C-\x1F\x85]$|<\|"
 
 
 class ChunkTokenizer:
@@ -36,6 +38,10 @@ class ChunkTokenizer:
             raise ValueError(cut)
         self.tok, self.cut = Tokenizer.from_file(path), cut
         self.sep_id = self.tok.token_to_id(_SEPARATOR)
+        if cut == "space_prefix":  # tokens that begin with the mapped space byte open a chunk
+            vocab = self.tok.get_vocab()
+            self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self._clear()
 
     def _clear(self):
@@ -54,6 +60,17 @@ class ChunkTokenizer:
         apart by the end-of-text token, which the library never merges."""
         plain = [i for i, c in enumerate(chunks) if "<|" not in c]
         out: list = [None] * len(chunks)
+        if self.cut == "space_prefix":  # a chunk's only space is its first character
+            plain = [i for i in plain if chunks[i][:1] == " "]
+            for lo in range(0, len(plain), 1000):
+                part = plain[lo:lo + 1000]
+                ids = self._whole(["".join([chunks[i] for i in part])])[0]
+                starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+                if len(starts) != len(part) + 1:
+                    raise ValueError("a chunk was cut at another place")
+                for k, i in enumerate(part):
+                    out[i] = ids[starts[k]:starts[k + 1]]
+            plain = []
         for lo in range(0, len(plain), 1000):
             part = plain[lo:lo + 1000]
             ids = self._whole([_SEPARATOR.join([chunks[i] for i in part])])[0]
@@ -110,16 +127,29 @@ class ChunkTokenizer:
             return np.empty(0, np.int32), np.zeros(1, np.int64)
         if self.cut == "spaces":
             return self._join(pc.ascii_split_whitespace(texts))
-        # white space beside a space, at either end, or a special token's text
-        odd = pc.match_substring_regex(texts, r"(^[\s\pZ\x0B\x1C-\x1F\x85])|([\s\pZ\x0B\x1C-\x1F\x85]$)|( [\s\pZ\x0B\x1C-\x1F\x85])|([\s\pZ\x0B\x1C-\x1F\x85] )|<\|")
-        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
-        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        flat = parts.flatten()
-        first = np.zeros(len(flat), dtype=bool)
-        offs = parts.offsets.to_numpy(zero_copy_only=False)
-        first[offs[:-1][np.diff(offs) > 0] - offs[0]] = True
-        spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(" ", flat, ""))
-        ids, offsets = self._join(pa.ListArray.from_arrays(pa.array(offs - offs[0], pa.int32()), spaced))
+        parts = pc.split_pattern(texts, " ")
+        off = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        enc = parts.flatten().dictionary_encode()
+        codes = enc.indices.to_numpy(zero_copy_only=False)
+        # words that are empty or have white space at an end, or a special token's text
+        bad = pc.match_substring_regex(enc.dictionary, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        bad_before = np.concatenate([[0], np.cumsum(bad[codes])])
+        odd = bad_before[off[1:]] > bad_before[off[:-1]]
+        words = enc.dictionary.to_pylist()
+        slots = np.zeros(len(words), dtype=np.int64)
+        good = np.flatnonzero(~bad)
+        first_codes = codes[off[:-1][~odd]]
+        firsts, inv = np.unique(first_codes, return_inverse=True)
+        # one call for both: a later call could empty the cache under the first one
+        found = self._slots([" " + words[i] for i in good] + [words[i] for i in firsts])
+        slots[good] = found[:len(good)]
+        keep = np.repeat(~odd, np.diff(off))
+        chunk = slots[codes[keep]]
+        offs = np.concatenate([[0], np.cumsum(np.diff(off)[~odd])])
+        chunk[offs[:-1]] = found[len(good):][inv]
+        lengths = self.length[chunk]
+        ids = self.pool[gather_runs(self.start[chunk], lengths)]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[offs]
         if not odd.any():
             return ids, offsets
         whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
@@ -133,6 +163,12 @@ class ChunkTokenizer:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_for(path: str, cut: str) -> ChunkTokenizer:
+    """The worker's tokenizer, with what it has cached in earlier tasks."""
+    return ChunkTokenizer(path, cut)
+
+
 def with_end_id(ids: np.ndarray, offsets: np.ndarray, end_id: int):
     """Append ``end_id`` to each row."""
     n = len(offsets) - 1
