@@ -12,7 +12,7 @@ from pagesift.llm.common import fresh_path
 from pagesift.llm.token_ids import ChunkTokenizer
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-BITS = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "　", "\xa0", "a", "Σ", "ß", "é", "́",
+BITS = [" ", "é", "don't", "D'S", "x'll", "Ünï", "a1b2", "×", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "　", "\xa0", "a", "Σ", "ß", "é", "́",
         "it's", "12", "!!", "日本", "<|endoftext|>", "<|", "İ", " ", "word", "😀", "\x00", "​", "\r\n"]
 
 
