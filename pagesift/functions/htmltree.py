@@ -339,6 +339,15 @@ class _TreeBuilder(HTMLParser):
             self._reconstruct()
         self._text(data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...]`` in HTML is a comment up to the next ``>``."""
+        end = self.rawdata.find(">", i + 3)
+        if end < 0:
+            return -1
+        if report:
+            self.handle_comment(self.rawdata[i + 2:end])
+        return end + 1
+
     def handle_comment(self, data):
         c = self._new(COMMENT, {}, self.stack[-1])
         c.text = data
@@ -382,8 +391,8 @@ def build_rows(html: str):
     try:
         b.feed(strip_illegal_xml(html or ""))
         b.close()
-    except Exception:  # tokenizer failures keep what was built so far
-        pass
+    except Exception as e:  # never silent: the page's table shows where it broke off
+        b.handle_comment(f"parse error: {type(e).__name__}")
     nodes = b.nodes
     ids = {id(n): i for i, n in enumerate(nodes)}
     rows = []

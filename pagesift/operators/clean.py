@@ -46,7 +46,7 @@ def _removed_tags(mode: str) -> list[str]:
 
 
 def _tags_of_path(tag_path: Column) -> Column:
-    return F.split(F.substring(tag_path, 2, 1 << 20), "/")
+    return F.split(F.substring(tag_path, F.lit(2), F.length(tag_path)), "/")
 
 
 def classify(nodes: DataFrame, mode: str = "deep") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.htmltree import INLINE_TAGS
@@ -41,7 +41,8 @@ def token_rows(nodes: DataFrame, tok=token_count) -> DataFrame:
         "page_id", "node_id", "parent_id", "child_ord", "depth", "tag", "xpath",
         F.coalesce(F.length(F.col("attrs")["class"]) > 0, F.lit(False)).alias("has_class"),
         tok(py_strip(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("own_text"),
-        tok(el).cast("long").alias("el_tokens"))
+        tok(el).cast("long").alias("el_tokens")).withColumn(
+        "tag_weight", tag_weight(F.col("tag"), F.col("has_class")))
 
 
 class _Tree:
@@ -70,13 +71,23 @@ class _Tree:
             self.html[n] = r.own_text + r.el_tokens + sum(self.html[c] for c in cs)
 
     def remove(self, n):
-        p = self.parent.pop(n)
-        self.kids[p].remove(n)
-        t, h = self.text[n], self.html[n]
-        while p is not None:
-            self.text[p] -= t
-            self.html[p] -= h       # both sizes drop
-            p = self.parent.get(p)
+        """Cut a subtree; every ancestor shrinks by its text and its html."""
+        above = [self.parent.pop(n)]
+        self.kids[above[0]].remove(n)
+        while above[-1] in self.parent:
+            above.append(self.parent[above[-1]])
+        for size in (self.text, self.html):
+            size.update({a: size[a] - size[n] for a in above})
+
+    def heavy_descent(self, small_enough):
+        """Nodes on the way down along the child of most text (the earliest of
+        equals), to the first with at most ``small_enough`` tokens."""
+        n = self.root
+        while kids := [c for c in self.kids.get(n, ()) if self.text[c] > 0]:
+            n = max(kids, key=self.text.__getitem__)
+            yield n
+            if self.text[n] <= small_enough:
+                return
 
     def depth_of(self, n):
         return self.rows[n].depth + 1   # the token tree counts the root as depth 1
@@ -92,27 +103,13 @@ class _Tree:
         return max_depth, max_width
 
 
-def node_weight(depth, max_depth, text, total_text, width, max_width, tag, has_class,
-                min_tokens, max_tokens):
-    """T15 (unswapped): depth + tanh(text share) + width share + tag weight;
-    0 when the text size is outside [min_tokens, max_tokens]."""
-    if text < min_tokens or text > max_tokens:
-        return 0.0
-    inline, container = tag in INLINE_TAGS, tag in CONTAINER_ELEMENTS
-    if inline and not has_class:
-        ew = 0.4
-    elif inline:
-        ew = 0.7
-    elif container and not has_class:
-        ew = 0.9
-    elif container:
-        ew = 1.0
-    elif tag == "div" and has_class:
-        ew = 0.8
-    else:
-        ew = 0.6
-    share = math.tanh(text / total_text) if total_text else 0.0
-    return depth / max_depth + share + width / max_width + ew
+def tag_weight(tag: Column, has_class: Column) -> Column:
+    """The element's own part of its weight (fixed values)."""
+    plain, classed = F.lit(0.6), F.when(tag == "div", 0.8).otherwise(0.6)
+    for tags, without, with_ in ((CONTAINER_ELEMENTS, 0.9, 1.0), (sorted(INLINE_TAGS), 0.4, 0.7)):
+        plain = F.when(tag.isin(*tags), without).otherwise(plain)
+        classed = F.when(tag.isin(*tags), with_).otherwise(classed)
+    return F.when(has_class, classed).otherwise(plain)
 
 
 def _heaviest(tr: "_Tree", max_depth, max_width, total, max_text_tokens):
@@ -128,8 +125,10 @@ def _heaviest(tr: "_Tree", max_depth, max_width, total, max_text_tokens):
             stack.extend((c, False) for c in reversed(kids))
             continue
         r = tr.rows[n]
-        w = node_weight(tr.depth_of(n), max_depth, tr.text[n], total, len(kids), max_width,
-                        r.tag, r.has_class, max_text_tokens // 8, max_text_tokens)
+        w = 0.0  # outside the text bounds
+        if max_text_tokens // 8 <= tr.text[n] <= max_text_tokens:
+            w = (tr.depth_of(n) / max_depth + (math.tanh(tr.text[n] / total) if total else 0.0)
+                 + len(kids) / max_width + r.tag_weight)
         top = None
         for c in kids:
             cand = best.pop(c)
@@ -187,28 +186,14 @@ def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         tr = _Tree(pdf)
-        sizes, times = [], 0
+        sizes, rest = [], []
         if tr.root is not None:
-            while tr.text[tr.root] > until:
-                n = tr.root
-                while tr.kids.get(n):
-                    top, top_t = None, 0
-                    for c in tr.kids[n]:
-                        if tr.text[c] > top_t:
-                            top, top_t = c, tr.text[c]
-                    if top is None:
-                        break
-                    n = top
-                    if top_t <= token_below:
-                        break
-                if n == tr.root:
-                    break
-                sizes.append(int(tr.text[n]))
-                tr.remove(n)
-                times += 1
-            sizes.append(int(tr.text[tr.root]))
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "times": [times],
-                             "removed_tokens": [sizes]})
+            while tr.text[tr.root] > until and (way := list(tr.heavy_descent(token_below))):
+                sizes.append(int(tr.text[way[-1]]))
+                tr.remove(way[-1])
+            rest = [int(tr.text[tr.root])]
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "times": [len(sizes)],
+                             "removed_tokens": [sizes + rest]})
 
     return rows.groupBy("page_id").applyInPandas(fn, REMOVAL_SCHEMA.format(key=_key_type(rows)))
 

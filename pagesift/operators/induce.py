@@ -194,6 +194,6 @@ def select_best(tried: DataFrame, fb: DataFrame, keys: list[str]) -> DataFrame:
         F.col("bad"),
         F.when(F.col("n_valid") <= 1, F.lit(0)).otherwise(F.col("empty")),
         F.when((F.col("n_valid") <= 1) | (F.col("n_full") == 0), F.lit(0)).otherwise(F.col("n_fb")),
-        F.col("try_seq"))
+        F.col("try_seq"), F.col("program"))
     return t.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop(
         "rank", "n_valid", "n_full")

@@ -137,7 +137,7 @@ def deepest_text_node(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 def values_kept(html_pages: DataFrame, ann: DataFrame) -> DataFrame:
     """Per page: all annotated values (or their unescaped form) still in the
     HTML, plus matched / total counts."""
-    v = ann.select("page_id", F.explode("values").alias("v")).withColumn("uv", html_unescape(F.col("v")))
+    v = ann.select("page_id", F.explode(F.array_distinct(F.transform("values", py_strip))).alias("v")).withColumn("uv", html_unescape(F.col("v")))
     j = v.join(html_pages, "page_id").withColumn(
         "hit", F.contains("html", "v") | F.contains("html", "uv"))
     return j.groupBy("page_id").agg(F.bool_and("hit").alias("kept_all"),

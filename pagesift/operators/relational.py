@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.functions.text import py_strip
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -69,7 +71,7 @@ def melt(df: DataFrame, ids: list[str], value_cols: list[str], var: str = "varia
 def proper_ancestor_paths(path: Column) -> Column:
     """'/a/b/c' -> ['/a', '/a/b'] (step-boundary aware, no trailing slash)."""
     p = F.regexp_replace(path, "/+$", "")
-    parts = F.split(F.substring(p, 2, 1 << 20), "/")
+    parts = F.split(F.substring(p, F.lit(2), F.length(p)), "/")
     n = F.size(parts)
     return F.transform(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
@@ -124,7 +126,7 @@ def compact_values(*cols: Column) -> Column:
 
 def clean_values(values: Column) -> Column:
     """Keep non-blank stripped values."""
-    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(values, py_strip), lambda x: x != "")
 
 
 def zip_lists(*cols: Column) -> Column:

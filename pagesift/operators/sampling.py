@@ -48,7 +48,10 @@ def split_seeds(df: DataFrame, group_cols: list[str], n: int, key: str = "page_i
                 seed: int | str = 0) -> tuple[DataFrame, DataFrame]:
     """W1 + J6: seeds per group and the evaluation pool without them (anti-join)."""
     seeds = sample_per_group(df, group_cols, n, key, seed)
-    pool = df.join(seeds.select(*group_cols, key), group_cols + [key], "left_anti")
+    # dealt by the whole key: a plan that kept the seeds by group would move every
+    # row of a large group to one task
+    chosen = seeds.select(*group_cols, key).repartition(*group_cols, key)
+    pool = df.join(chosen, group_cols + [key], "left_anti")
     return seeds, pool
 
 

@@ -40,17 +40,11 @@ def explode_values(df: DataFrame, keys: list[str], array_col: str, out: str) ->
 
 
 def corr_by_group(df: DataFrame, group_cols: list[str], a: str, b: str, digits: int = 6) -> DataFrame:
-    """Pearson correlation from sums; zero variance gives 0 (not an error)."""
+    """Pearson correlation from centred moments; zero variance gives 0 (not an error)."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    g = df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    n, sx, sy = F.col("n").cast("double"), F.col("sx"), F.col("sy")
-    cov = F.col("sxy") - sx * sy / n
-    vx = F.col("sxx") - sx * sx / n
-    vy = F.col("syy") - sy * sy / n
-    r = F.try_divide(cov, F.sqrt(vx * vy))
-    r = F.when((vx <= 0) | (vy <= 0), F.lit(0.0)).otherwise(r)
+    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("cov"),
+                                    F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    r = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.try_divide("cov", F.sqrt(F.col("vx") * F.col("vy"))))
     return g.select(*group_cols, "n", F.round(F.coalesce(r, F.lit(0.0)), digits).alias(f"corr_{a}_{b}"))
 
 

@@ -17,7 +17,7 @@ from pagesift.operators.dom import string_value, under_targets
 
 def _table_ancestry(nodes: DataFrame) -> DataFrame:
     """tables with parent_table_id (-1 for outermost) and level (1 = outermost)."""
-    tags = F.split(F.substring(F.col("tag_path"), 2, 1 << 20), "/")
+    tags = F.split(F.substring(F.col("tag_path"), F.lit(2), F.length("tag_path")), "/")
     pairs = F.arrays_zip(F.slice(tags, 1, F.size(tags) - 1).alias("t"),
                          F.slice("anc_ids", 1, F.size("anc_ids") - 1).alias("a"))
     anc_tables = F.transform(F.filter(pairs, lambda p: p.t == "table"), lambda p: p.a)

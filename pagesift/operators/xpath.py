@@ -162,11 +162,13 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         "tail", F.element_at("tails", F.col("br") + 1)).withColumn(
         "anchor", F.element_at("anchors", F.col("br") + 1)).withColumn(
         "inner", F.element_at("inner", F.col("br") + 1)).drop("modes", "patterns", "tails", "anchors")
+    # a program without an element step (//text(), /@x) has no node to join on
+    br = br.withColumn("mode", F.when(F.exists("steps", lambda x: x.kind == "node"), F.col("mode")).otherwise("general"))
     fast = br.filter(F.col("mode") != "general")
     slow = br.filter(F.col("mode") == "general")
     # plan only the branches the program table needs (one tiny aggregate)
     ns0 = F.filter("steps", lambda x: x.kind == "node")
-    last0, term0 = F.element_at(ns0, -1), F.element_at("steps", -1)
+    last0, term0 = F.try_element_at(ns0, F.lit(-1)), F.try_element_at("steps", F.lit(-1))
     shape = br.select(
         "mode", ((F.size(last0.preds) == 0) & (F.coalesce(last0.pos, F.lit(0)) >= 0)).alias("plain"),
         term0.kind.alias("kind"), (term0.axis == "desc_child").alias("deep"),
@@ -181,7 +183,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     # pattern: only / and // name steps -> equi-join on (match, last tag) + regex on tag_path
     node_steps = lambda s: F.filter(s, lambda x: x.kind == "node")
     ns = node_steps(F.col("steps"))
-    last = F.element_at(ns, -1)
+    last = F.try_element_at(ns, F.lit(-1))
     is_abs = F.col("mode") == "abs"
     plain = (F.size(last.preds) == 0) & (F.coalesce(last.pos, F.lit(0)) >= 0)
     fast = fast.select(

@@ -112,7 +112,7 @@ def q_nav_positional(spark, d):
         "page_id", F.col("node_id").alias("li_id"), F.col("w_sib_idx").alias("li_pos"))
     a = nodes.filter(F.col("tag_path") == "/html/body/nav/ul/li/a").select(
         "page_id", "xpath", F.col("parent_id").alias("li_id"),
-        normalize_text(F.element_at("text_slots", 1).text).alias("text"))
+        normalize_text(F.coalesce(F.get("text_slots", F.lit(0)).text, F.lit(""))).alias("text"))
     return a.join(li, ["page_id", "li_id"]).select("page_id", "xpath", "li_pos", "text")
 
 
@@ -214,9 +214,9 @@ def q_eval_exact(spark, d):
     prepare(spark)
     pages, pred = _h1_nav_predictions(spark, d)
     p = pred.filter(F.col("field") == "title").select(
-        "page_id", F.split(F.element_at("values", 1), " ").alias("pred"))
+        "page_id", F.split(F.get("values", F.lit(0)), " ").alias("pred"))
     t = _truth(pages).filter(F.col("field") == "title").select(
-        "page_id", F.split(F.element_at("values", 1), " ").alias("truth"))
+        "page_id", F.split(F.get("values", F.lit(0)), " ").alias("truth"))
     r = metrics.exact_set_accuracy(p.join(t, "page_id"))
     return r.select(F.round("exact_accuracy", 6).alias("exact_accuracy"), "n_samples")
 

@@ -36,7 +36,9 @@ def write_results_json(df: DataFrame, path: str, partition_by=("category", "site
 def read_done(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     try:
         return spark.read.format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

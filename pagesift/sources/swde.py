@@ -74,8 +74,8 @@ def read_ground_truth(spark: SparkSession, root: str, normalize: bool = False) -
     df = df.filter((F.col("ln") >= 2) & (F.trim("line") != ""))
     parts = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), "\t")
     df = df.select("category", "site", "field", F.element_at(parts, 1).alias("page_id"),
-                   F.slice(parts, 3, 1 << 20).alias("values"))
-    df = df.filter(F.coalesce(F.element_at("values", 1), F.lit("")) != "<NULL>")
+                   F.slice(parts, 3, F.size(parts)).alias("values"))
+    df = df.filter(F.coalesce(F.get("values", F.lit(0)), F.lit("")) != "<NULL>")
     if normalize:
         df = normalize_values(df, ["category", "site", "page_id", "field"], "values")
     return df

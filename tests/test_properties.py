@@ -82,7 +82,19 @@ def test_prefix_dedup_matches_brute_force(spark, paths):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.data())
 def test_repeat_detection_matches_direct_search(sigs, data):
-    from pagesift.operators.structure import most_repeated_run, most_repeated_run_naive
+    from pagesift.operators.structure import most_repeated_run
     cls = data.draw(st.lists(st.booleans(), min_size=len(sigs), max_size=len(sigs)))
     for inc in (True, False):
-        assert most_repeated_run(sigs, cls, inc) == most_repeated_run_naive(sigs, cls, inc)
+        # from the definition: copies of a classed block that end where it begins
+        least = 0 if inc else 1
+
+        def copies(block):
+            a, b = block
+            return next(m for m in range(len(sigs) + 1) if a - (m + 1) * (b - a) < least
+                        or sigs[a - (m + 1) * (b - a):a - m * (b - a)] != sigs[a:b])
+
+        blocks = [(a, b) for a in range(len(sigs)) for b in range(a + 1, len(sigs) + 1) if any(cls[a:b])]
+        top = max(blocks, key=copies, default=None)
+        m = copies(top) if top else 0
+        want = [(top[0] - k * (top[1] - top[0]), top[1] - k * (top[1] - top[0])) for k in range(m, -1, -1)] if m else None
+        assert most_repeated_run(sigs, cls, inc) == want

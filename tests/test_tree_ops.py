@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagesift.operators import clean, fragments, prune, structure, tables
-from pagesift.operators.structure import fold_children, most_repeated_run
+from pagesift.operators.structure import kept_children, most_repeated_run
 
 TABLES_NESTED = ("<html><body><h2>Prices</h2><table><caption>Main</caption><tr><td>a"
                  "<table><tr><td>inner</td></tr></table></td></tr></table>"
@@ -69,10 +69,16 @@ def test_repeat_detection_goldens():
     assert most_repeated_run([str(x) for x in seq], [True] * 9, include_start=False) is None
 
 
-def test_fold_rules():
-    assert fold_children("ul", ["li"] * 4, ["a", "b", "c", "d"], [False] * 4) == [0]
-    assert fold_children("tr", ["td", "td"], ["a", "b"], [False, False]) == [0, 1]
-    assert fold_children("div", ["div"] * 3, ["x", "x", "x"], [True] * 3) == [0]
+def test_fold_rules(spark):
+    from pyspark.sql import functions as F
+    cases = [("ul", [("li", s, False) for s in "abcd"], [0]), ("tr", [("td", s, False) for s in "ab"], [0, 1]),
+             ("div", [("div", "x", True)] * 3, [0]), ("div", [], []), ("li", [("p", "x", True)] * 3, [0, 1, 2]),
+             ("div", [("p", "y", False), ("p", "x", False), ("p", "x", True), ("p", "x", False)], [0, 1, 2]),
+             ("div", [("p", s, True) for s in "abababc"], [0, 1, 6]), ("div", [("p", s, False) for s in "aaa"], [0, 1, 2])]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)],
+                               "i int, tag string, ch array<struct<tag:string,sig:string,has_class:boolean>>")
+    got = {r.i: list(r.k) for r in df.select("i", kept_children(F.col("tag"), F.col("ch")).alias("k")).collect()}
+    assert got == {i: k for i, (_, _, k) in enumerate(cases)}
 
 
 def test_structure_fold_collapses_lists(explode):
