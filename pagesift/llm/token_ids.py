@@ -94,20 +94,23 @@ class ChunkTokenizer:
         slots = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            new = self._encode([chunks[i] for i in missing])
-            need = self.used + sum(map(len, new))
-            if need > len(self.pool):
-                self.pool = np.concatenate([self.pool[:self.used], np.empty(2 * need - self.used, np.int32)])
+            fresh = [chunks[i] for i in missing]
+            new = self._encode(fresh)
+            lengths = np.fromiter(map(len, new), np.int64, len(new))
+            ends = self.used + np.cumsum(lengths)
+            if ends[-1] > len(self.pool):
+                self.pool = np.concatenate([self.pool[:self.used], np.empty(2 * ends[-1] - self.used, np.int32)])
             n = len(self.known)
             if n + len(new) > len(self.start):
-                more = 2 * (n + len(new)) - len(self.start)
-                self.start = np.concatenate([self.start, np.empty(more, np.int64)])
-                self.length = np.concatenate([self.length, np.empty(more, np.int64)])
-            for k, (i, ids) in enumerate(zip(missing, new)):
-                self.known[chunks[i]] = slots[i] = n + k
-                self.start[n + k], self.length[n + k] = self.used, len(ids)
-                self.pool[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
+                more = np.empty(2 * (n + len(new)) - len(self.start), np.int64)
+                self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+            self.pool[self.used:ends[-1]] = np.concatenate(new)
+            self.start[n:n + len(new)], self.length[n:n + len(new)] = ends - lengths, lengths
+            self.used = int(ends[-1])
+            slots[missing] = np.arange(n, n + len(new))
+            self.known.update(zip(fresh, range(n, n + len(new))))
+            if len(self.known) != n + len(new):
+                raise ValueError("chunks must be distinct")
         return slots
 
     def _join(self, parts: pa.ListArray):
