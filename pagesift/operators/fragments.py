@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.htmltree import INLINE_TAGS
 from pagesift.functions.text import py_strip, token_count
+from pagesift.operators.dom import chunks, render_lines
 
 # ---- fixed values: container tags for the element weight (T15) ----------
 CONTAINER_ELEMENTS = ["table", "ul", "ol", "section", "article"]
@@ -199,11 +200,18 @@ def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
 
 
 def fragment_texts(nodes: DataFrame, frags: DataFrame) -> DataFrame:
-    """The text of each fragment (interval join on the fragment root),
-    the rest row without the fragments' subtrees."""
-    from pagesift.operators.dom import text_content
-    roots = nodes.join(frags.filter(~F.col("is_rest")).select("page_id", "xpath", "seq"),
-                       ["page_id", "xpath"])
-    tc = text_content(nodes, roots.select("page_id", "node_id", "end_id", "seq"), ["seq"])
-    return frags.join(tc.select("page_id", "seq", F.col("text_content").alias("text")),
-                      ["page_id", "seq"], "left")
+    """Each fragment's text as rendered lines.
+
+    Fragments are taken out in order of ``seq``, so a text chunk belongs to the
+    first fragment around it and otherwise to the rest row: no text repeats and
+    none is lost. A fragment whose text was all taken before it has an empty
+    text. One page's fragments form one small map."""
+    roots = nodes.select("page_id", "node_id", "xpath").join(
+        frags.filter(~F.col("is_rest")).select("page_id", "xpath", "seq"), ["page_id", "xpath"])
+    taken = roots.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "seq"))).alias("_taken"))
+    rest = frags.filter("is_rest").select("page_id", F.col("seq").alias("_rest"))
+    own = chunks(nodes).join(rest, "page_id").join(taken, "page_id", "left")
+    first = F.array_min(F.transform("anc_ids", lambda a: F.try_element_at("_taken", a)))
+    text = own.groupBy("page_id", F.coalesce(first, F.col("_rest")).alias("seq")).agg(
+        render_lines(F.collect_list("chunk")).alias("text"))
+    return frags.join(text, ["page_id", "seq"], "left").withColumn("text", F.coalesce("text", F.lit("")))

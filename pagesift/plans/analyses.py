@@ -54,9 +54,9 @@ def q_prune_by_structure(spark, d):
 
 
 def q_fragments(spark, d):
-    """Greedy fragments of the light-sanitized pages."""
+    """Greedy fragments of the deep-sanitized pages, with the rest."""
     prepare(spark)
-    clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
+    clean_nodes = clean.sanitize(_nodes_once(spark, d), "deep").checkpoint(eager=True)
     fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
     return fragments.fragment_texts(clean_nodes, fr.checkpoint(eager=True))
 
@@ -74,8 +74,8 @@ def q_fragment_sweep(spark, d):
         for mx in (256, 512, 1024):
             fr = fragments.split_fragments(base, until, mx).groupBy("page_id").agg(
                 F.count_if(~F.col("is_rest")).alias("fragment_count"),
-                F.sort_array(F.collect_list(F.when(~F.col("is_rest"), F.col("html_tokens")))).alias(
-                    "fragment_tokens"),
+                F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_rest"), F.struct("seq", "html_tokens")))),
+                            lambda x: x.html_tokens).alias("fragment_tokens"),  # in order of removal
                 F.max(F.when(F.col("is_rest"), F.col("html_tokens"))).alias("final_tokens")).withColumn(
                 "until_html_tokens", F.lit(until)).withColumn("max_text_tokens", F.lit(mx))
             out = fr if out is None else out.unionByName(fr)
@@ -239,14 +239,14 @@ def q_removed_token_describe(spark, d):
 
 def q_representative_pages(spark, d):
     """Per site the page with the largest cleaned size (O2), the deepest
-    text node holding each annotated title/ad value (W15), their lowest common
+    text node holding each annotated value (W15), their lowest common
     ancestor (T27) and that context, soup-sanitized (T6)."""
     prepare(spark)
     pages = keyed_pages(spark, d)
     nodes = _nodes_once(spark, d)
     size = clean.serialized_tokens(clean.sanitize(nodes, "deep")).join(pages.select("page_id", "site"), "page_id")
     rep = ops.representative_pages(size, ["site"], "cleaned_tokens").select("site", "page_id")
-    ann = harness_annotations(pages).filter(F.col("field").isin("title", "ad")).join(rep, "page_id", "left_semi")
+    ann = harness_annotations(pages).join(rep, "page_id", "left_semi")
     targets = ann.select("page_id", F.explode("values").alias("target"))
     deep = ops.deepest_text_node(nodes, targets)
     lca = common_ancestor(nodes, deep.select("page_id", "node_id"))
@@ -277,10 +277,10 @@ def _fragment_ops(spark, d):
     """Fragments -> operations with the annotated values each holds -> X15 ->
     X13 -> X14. Returns (sanitized nodes, ranked per-field operations, pages)."""
     pages = keyed_pages(spark, d)
-    clean_nodes = clean.sanitize(_nodes_once(spark, d), "light").checkpoint(eager=True)
-    fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256)
+    clean_nodes = clean.sanitize(_nodes_once(spark, d), "deep").checkpoint(eager=True)
+    fr = fragments.split_fragments(clean_nodes, until_html_tokens=1024, max_text_tokens=256).checkpoint(eager=True)
     # reused below: materialize once (the split is a Python grouped map)
-    ft = fragments.fragment_texts(clean_nodes, fr).filter(~F.col("is_rest")).checkpoint(eager=True)
+    ft = fragments.fragment_texts(clean_nodes, fr).checkpoint(eager=True)
     ann = harness_annotations(pages).select("page_id", "field", F.explode("values").alias("v"))
     hits = ft.join(ann, "page_id").filter(F.contains(F.coalesce("text", F.lit("")), F.col("v")))
     data = hits.groupBy("page_id", "seq", "field").agg(F.collect_list("v").alias("value")).groupBy(

@@ -135,3 +135,15 @@ def test_string_page_keys(spark):
     fr = fragments.split_fragments(nodes, until_html_tokens=100, max_text_tokens=64).collect()
     assert fr and all(r.page_id == "0001" for r in fr)
     assert fragments.remove_until(nodes, 50, 100).first().page_id == "0001"
+
+
+def test_fragment_texts_lose_and_repeat_nothing(explode):
+    inner = "".join(f"<p>in{i} a b c d e f g</p>" for i in range(6))
+    nodes = explode([f"<html><body>top<div>left {inner}</div><div><ul><li>one two three four</li></ul>mid</div>end</body></html>"])
+    nodes = clean.sanitize(nodes, "deep")
+    fr = fragments.split_fragments(nodes, until_html_tokens=20, max_text_tokens=48)
+    rows = sorted(fragments.fragment_texts(nodes, fr).collect(), key=lambda r: r.seq)
+    assert len(rows) > 1 and rows[-1].is_rest and rows[-1].xpath == "/html"
+    words = sorted(" ".join(r.text for r in rows).split())
+    want = ["top", "left", "mid", "end", "one", "two", "three", "four"] + [f"in{i}" for i in range(6)] + list("abcdefg") * 6
+    assert words == sorted(want)
