@@ -135,20 +135,28 @@ def _string_values(nodes: DataFrame, cand: DataFrame, keys: list[str]) -> DataFr
     return cand.join(sv, keys + ["n_node_id"], "left").withColumn("sv", F.coalesce("sv", F.lit("")))
 
 
+# program text up to which the compiled programs are broadcast
+BROADCAST_PROGRAM_CHARS = 2_000_000
+
+
 def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                    prog_cols: list[str], program_col: str = "program",
-                   lang_col: str | None = "lang", broadcast_programs: bool = True) -> DataFrame:
+                   lang_col: str | None = "lang", broadcast_programs: bool | None = None) -> DataFrame:
     """Every program applied to every page sharing ``match_cols``.
 
     ``nodes`` must carry ``match_cols`` (e.g. ``site`` via ``explode_dom(keep=)``).
-    ``broadcast_programs`` should only be set by a caller that checked the
-    program table's size (see :func:`pagesift.plans.common.small_enough`).
+    Programs are broadcast if all their texts have at most
+    ``BROADCAST_PROGRAM_CHARS`` characters together (the compiled steps grow with
+    the text), unless ``broadcast_programs`` says otherwise.
     """
     pcols = list(dict.fromkeys(prog_cols + [program_col]))
     cp = compile_programs(programs.select(*dict.fromkeys(match_cols + pcols + (
         [lang_col] if lang_col and lang_col in programs.columns else []))), program_col, lang_col)
     # compiled once (Python) and reused by every branch below
     cp = cp.checkpoint(eager=True)
+    if broadcast_programs is None:
+        chars = cp.agg(F.sum(F.length(program_col))).first()[0] or 0
+        broadcast_programs = chars <= BROADCAST_PROGRAM_CHARS
     prog = F.broadcast(cp) if broadcast_programs else cp
     roots = nodes.filter(F.col("node_id") == 0).select(
         "page_id", *match_cols, F.col("end_id").alias("root_end"))

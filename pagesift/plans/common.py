@@ -9,10 +9,6 @@ from pagesift.functions.text import category_of, site_of
 from pagesift.operators.dom import explode_dom
 from pagesift.session import ensure_checkpoint_dir, ship_package
 
-# broadcast only program/parameter tables proven below this many rows
-BROADCAST_MAX_ROWS = 200_000
-
-
 # node table hash-partitioned by page and reused by page-keyed joins
 CO_PARTITION = True
 # pages are large rows: bound the rows per Arrow batch sent to Python tasks
@@ -66,8 +62,3 @@ def site_programs(pages: DataFrame, rows: list[tuple[str, str]], lang: str = "xp
     lit = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("program")) for f, p in rows])
     return pages.select("site").distinct().select("site", F.explode(lit).alias("p")).select(
         "site", "p.field", "p.program", F.lit(lang).alias("lang"))
-
-
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Size check before a broadcast: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows

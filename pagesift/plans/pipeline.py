@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import html_unescape, normalize_text
 from pagesift.operators import induce, metrics, sampling
 from pagesift.operators.xpath import apply_programs
-from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, small_enough
+from pagesift.plans.common import keyed_nodes, keyed_pages, prepare
 
 
 def normalize_values(df: DataFrame, keys: list[str], col: str, unescape: bool = False) -> DataFrame:
@@ -74,7 +74,7 @@ def induce_and_evaluate(pages: DataFrame, nodes: DataFrame, ann: DataFrame,
     best = best.checkpoint(eager=True)
     pool_nodes = nodes.join(pool.select("page_id"), "page_id", "left_semi")
     pred = apply_programs(pool_nodes, best.select("site", "field", "program"), ["site"], ["field"],
-                          "program", None, broadcast_programs=small_enough(best))
+                          "program", None)
     pool_ann = ann.join(pool.select("page_id"), "page_id", "left_semi")
     counts = metrics.eval_objects(pred.select("page_id", "field", "values"), pool_ann, ["page_id"])
     counts = counts.join(pool.select("page_id", "site", "category"), "page_id")

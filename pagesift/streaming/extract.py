@@ -25,14 +25,15 @@ def page_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.pa
 
 
 def extract_batch(batch: DataFrame, programs: DataFrame, out_path: str, key: str = "page_id",
-                  broadcast_programs: bool = True) -> None:
+                  broadcast_programs: bool | None = None) -> None:
     spark = batch.sparkSession
     b = batch.dropDuplicates([key])
     done = read_done(spark, out_path)
     if done is not None:
         b = b.join(done.select(key).distinct(), key, "left_anti")
     pages = b.withColumn("site", site_of("url"))
-    nodes = explode_dom(pages, keep=["site"])
+    # read by several branches of the program plan: parsed once per batch
+    nodes = explode_dom(pages, keep=["site"]).checkpoint(eager=True)
     res = apply_programs(nodes, programs, ["site"], ["field"], "program", None, broadcast_programs)
     res.select(key, "site", "field", "program", "values", "invalid").write.mode("append").parquet(out_path)
 
