@@ -71,7 +71,9 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order: Column,
     wp = Window.partitionBy(*group_cols).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wp), F.lit(0))).withColumn(
         "m", F.sum("_c").over(Window.partitionBy(*group_cols)))
-    return d.join(counts, group_cols + ["_s"]).withColumn(
+    # dealt by (group, salt), as the ranked rows are: counts kept by group would draw
+    # every row of a large group to one task
+    return d.join(counts.repartition(*group_cols, "_s"), group_cols + ["_s"]).withColumn(
         "rank", (F.col("_r") + F.col("_off")).cast("long")).drop("_o", "_s", "_r", "_c", "_off")
 
 
@@ -85,4 +87,4 @@ def sample_with_replacement(df: DataFrame, group_cols: list[str], n: int, key: s
     draws = groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "rank", (F.pmod(F.conv(F.substring(F.md5(F.concat(gkey, F.lit("#"), F.col("draw").cast(
             "string"), F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("long"), F.col("m")) + 1).cast("long"))
-    return draws.join(ranked.drop("m"), group_cols + ["rank"])
+    return draws.repartition(*group_cols, "rank").join(ranked.drop("m"), group_cols + ["rank"])

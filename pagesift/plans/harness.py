@@ -214,9 +214,9 @@ def q_eval_exact(spark, d):
     prepare(spark)
     pages, pred = _h1_nav_predictions(spark, d)
     p = pred.filter(F.col("field") == "title").select(
-        "page_id", F.split(F.get("values", F.lit(0)), " ").alias("pred"))
+        "page_id", F.flatten(F.transform("values", lambda v: F.split(v, " "))).alias("pred"))
     t = _truth(pages).filter(F.col("field") == "title").select(
-        "page_id", F.split(F.get("values", F.lit(0)), " ").alias("truth"))
+        "page_id", F.flatten(F.transform("values", lambda v: F.split(v, " "))).alias("truth"))
     r = metrics.exact_set_accuracy(p.join(t, "page_id"))
     return r.select(F.round("exact_accuracy", 6).alias("exact_accuracy"), "n_samples")
 
@@ -261,12 +261,13 @@ def q_prefix_dedup(spark, d):
 
 
 def q_upsert_by_id(spark, d):
-    """Assistant turn 1 replaces the opening turn of the same conversation."""
+    """Each even turn is replaced by the assistant turn that follows it."""
     prepare(spark)
-    c = table(spark, d, "conversations")
-    left = c.filter(F.col("turn") == 0).select("conv_id", "role", "text")
-    right = c.filter((F.col("turn") == 1) & (F.col("role") == "assistant")).select("conv_id", "role", "text")
-    return relational.upsert_by_id(left, right, "conv_id")
+    c = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 2).cast("string")).alias("pair_id"),
+                                                "turn", "role", "text")
+    left = c.filter(F.col("turn") % 2 == 0).select("pair_id", "role", "text")
+    right = c.filter((F.col("turn") % 2 == 1) & (F.col("role") == "assistant")).select("pair_id", "role", "text")
+    return relational.upsert_by_id(left, right, "pair_id")
 
 
 def _conv_lists(c: DataFrame) -> DataFrame:
@@ -483,10 +484,11 @@ SELECT site, path FROM p a
 WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.site = a.site AND b.path <> a.path
                   AND starts_with(regexp_replace(a.path, '/+$', ''), b.path || '/'))""",
     "upsert_by_id": """
-SELECT conv_id, role, text, 0 AS side FROM conversations l
-WHERE turn = 0 AND NOT EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = l.conv_id AND r.turn = 1 AND r.role = 'assistant')
+WITH c AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 2 AS VARCHAR) AS pair_id FROM conversations)
+SELECT pair_id, role, text, 0 AS side FROM c l
+WHERE turn % 2 = 0 AND NOT EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = l.conv_id AND r.turn = l.turn + 1 AND r.role = 'assistant')
 UNION ALL
-SELECT conv_id, role, text, 1 AS side FROM conversations WHERE turn = 1 AND role = 'assistant'""",
+SELECT pair_id, role, text, 1 AS side FROM c WHERE turn % 2 = 1 AND role = 'assistant'""",
     "gt_overlay": f"""WITH {_CONV},
 gt AS (SELECT conv_id, role AS field, list(text ORDER BY turn) AS vals FROM conversations
        WHERE role = 'user' AND turn >= 2 GROUP BY conv_id, role)
