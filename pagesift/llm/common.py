@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,25 @@ def remove_work_tables(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def worker_object(key, make):
+    """The large object (a tokenizer with its cache, a mapped model) that this Python
+    worker holds under ``key``. A worker outlives its tasks and serves several
+    operators, so it holds one such object: the last one asked for."""
+    if key not in _HELD:
+        release_worker_object()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release_worker_object() -> None:
+    """Give back what an earlier operator's tasks left in this worker."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(c: Column | str) -> Column:
     """Lower-case A-Z only (locale-free)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import _GOLD, batch_words, mix
-from pagesift.llm.common import written
+from pagesift.llm.common import release_worker_object, written
 from pagesift.llm.hash_store import SortedArrays, write_sorted
 
 ORDER = 4
@@ -76,6 +76,7 @@ def char_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over the words of all ``docs`` (lang, text)."""
 
     def run(batches):
+        release_worker_object()
         total: dict[str, tuple] = {}
         for b in batches:
             groups, distinct = per_language_words(b.column(1), b.column(0))

@@ -9,6 +9,8 @@ documents, so ordinary documents stay inside.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import _GOLD, batch_words, mix
-from pagesift.llm.common import broadcast_if_small, prepare, table, written
+from pagesift.llm.common import broadcast_if_small, prepare, table, worker_object, written
 from pagesift.llm.kneser_ney import CharModel, char_model, per_language_words
 
 MIN_WORDS = 50
@@ -83,13 +85,11 @@ def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel) -> pa.Stru
 def measures(model) -> Column:
     """Struct of all measures of a row's (lang, text)."""
     manifest, unknown = model
-    made: dict = {}
+    key = ("char-model", uuid.uuid4().hex)
 
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in MEASURES.split(', '))}>")
     def run(lang: pa.Array, text: pa.Array) -> pa.Array:
-        if "m" not in made:  # one model object per worker
-            made["m"] = CharModel(manifest, unknown)
-        return measure_batch(lang, text, made["m"])
+        return measure_batch(lang, text, worker_object(key, lambda: CharModel(manifest, unknown)))
 
     return run(F.col("lang").cast("string"), F.col("text").cast("string"))
 

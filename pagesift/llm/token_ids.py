@@ -13,7 +13,6 @@ cuts, so the ids equal those of encoding the whole text at once:
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
@@ -21,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from pagesift.llm.arrays import gather_runs
+from pagesift.llm.common import worker_object
 
 # distinct chunks kept in a task before its memory is given back
 CACHE_CHUNKS = 500_000
@@ -166,10 +166,9 @@ class ChunkTokenizer:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
-@functools.lru_cache(maxsize=2)
 def tokenizer_for(path: str, cut: str) -> ChunkTokenizer:
     """The worker's tokenizer, with what it has cached in earlier tasks."""
-    return ChunkTokenizer(path, cut)
+    return worker_object((path, cut), lambda: ChunkTokenizer(path, cut))
 
 
 def with_end_id(ids: np.ndarray, offsets: np.ndarray, end_id: int):
