@@ -135,13 +135,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns. Judged row by
-    row: no join on ids, so repeated and null ids are safe."""
-    model = _model(docs)
-    scored = written(docs.select("lang", measures(model).alias("m")).select("lang", "m.*"), "quality")
-    bands = written(perplexity_bands(scored), "bands")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang"), measures(model).alias("m"))
-    return _verdict(rows.select("row", "lang", "m.*"), bands).filter("kept").select("row.*")
+    """The documents that ``judge`` keeps, with all their columns. Measured once and
+    judged row by row: no join on ids, so repeated and null ids are safe."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang"), measures(_model(docs)).alias("m"))
+    scored = written(rows.select("row", "lang", "m.*"), "quality")
+    return _verdict(scored, written(perplexity_bands(scored), "bands")).filter("kept").select("row.*")
 
 
 def op9_quality(spark, sf_dir):
