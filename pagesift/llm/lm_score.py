@@ -11,6 +11,10 @@ shared folder that tasks map into memory:
 3. continuation counts: in how many distinct bigrams each word comes second.
 
 Scoring maps all files and looks bigrams up by binary search within their row.
+
+With ``Languages`` the model is one per language: a word's hash starts with its
+language's number, so the ids of a language are one range, and discounts,
+totals and opening contexts are the language's own.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +41,44 @@ END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\x20end"))  # no word holds a sp
 WORD_COLS = {"n": "<i8"}
 
 
-def token_stream(texts: pa.Array, hashes_to=None):
+class Languages:
+    """Numbers of languages; one more stands for all that are not named."""
+
+    def __init__(self, names):
+        self.number = {n: i for i, n in enumerate(sorted(names))}
+        self.bits = (len(self.number)).bit_length() + 1  # the top bit stays 0: hashes sort as signed numbers
+
+    def __len__(self):
+        return len(self.number) + 1
+
+    def of(self, langs: pa.Array) -> np.ndarray:
+        enc = pc.fill_null(langs, "").dictionary_encode()
+        known = np.array([self.number.get(x, len(self.number)) for x in enc.dictionary.to_pylist()] or [0], dtype=np.int64)
+        return known[enc.indices.to_numpy(zero_copy_only=False)]
+
+    def tagged(self, hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (number.astype(np.uint64) << np.uint64(64 - self.bits)) | (hashes >> np.uint64(self.bits))
+
+
+def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None):
     """(token, row) of a batch: word hashes in order, each row closed by the end.
 
     ``hashes_to`` maps the batch's distinct hashes to other numbers."""
     codes, row, distinct = batch_words(texts, lower=True)
     h = np.append(word_hashes(distinct), END_HASH)
-    values = h if hashes_to is None else hashes_to(h)
     rows = len(texts)
     n = np.bincount(row, minlength=rows)
     ends = np.cumsum(n + 1) - 1
-    out = np.full(len(codes) + rows, values[-1], dtype=values.dtype)
-    inner = np.ones(len(out), dtype=bool)
+    at = np.full(len(codes) + rows, len(h) - 1, dtype=np.int64)
+    inner = np.ones(len(at), dtype=bool)
     inner[ends] = False
-    out[inner] = values[codes]
-    return out, np.repeat(np.arange(rows), n + 1)
+    at[inner] = codes
+    row = np.repeat(np.arange(rows), n + 1)
+    if languages is not None:
+        used, at = np.unique(languages.of(langs)[row] * len(h) + at, return_inverse=True)
+        h = languages.tagged(h[used % len(h)], used // len(h))
+    values = h if hashes_to is None else hashes_to(h)
+    return values[at], row
 
 
 def _summed(keys: list, counts: list):
@@ -64,13 +92,21 @@ def _summed(keys: list, counts: list):
     return k[starts], np.add.reduceat(n, starts)
 
 
-def word_counts(docs: DataFrame, parts: int):
+def _columns(docs: DataFrame, languages) -> DataFrame:
+    return docs.select("text", "lang") if languages is not None else docs.select("text")
+
+
+def _tokens_of(b: pa.RecordBatch, languages, hashes_to=None):
+    return token_stream(b.column(0), hashes_to, b.column(1) if languages is not None else None, languages)
+
+
+def word_counts(docs: DataFrame, parts: int, languages=None):
     """Manifest of (word hash, count), sorted; the end counts as a word."""
 
     def run(batches):
         keys, counts, size = [], [], 0
         for b in batches:
-            tokens, _ = token_stream(b.column(0))
+            tokens, _ = _tokens_of(b, languages)
             k, n = np.unique(tokens.view(np.int64), return_counts=True)
             keys.append(k)
             counts.append(n)
@@ -84,7 +120,7 @@ def word_counts(docs: DataFrame, parts: int):
         k, n = _summed(keys, counts)
         yield pa.RecordBatch.from_pydict({"w": pa.array(k), "n": pa.array(n)})
 
-    counts = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = _columns(docs, languages).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     return write_sorted(counts, "w", WORD_COLS, parts, "word-array"), tokens, counts
@@ -101,15 +137,15 @@ class Words:
         return self.store.find(hashes.view(np.int64))
 
 
-def bigram_stream(texts: pa.Array, words: Words):
-    """(first, second, row, token ids): unknown words have id -1; the id after the
-    last word's opens each text."""
-    tokens, row = token_stream(texts, words.ids)
+def bigram_stream(texts: pa.Array, words: Words, langs=None, languages=None):
+    """(first, second, row): unknown words have id -1. The id after the last word's
+    opens each text; with languages, the end of the text's language does."""
+    tokens, row = token_stream(texts, words.ids, langs, languages)
     first = np.empty_like(tokens)
     first[1:] = tokens[:-1]
     opens = np.ones(len(tokens), dtype=bool)
     opens[1:] = row[1:] != row[:-1]
-    first[opens] = words.size
+    first[opens] = words.size if languages is None else tokens[np.append(opens[1:], True)] if len(tokens) else 0
     return first, tokens, row
 
 
@@ -146,7 +182,7 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def bigram_blocks(docs: DataFrame, manifest, shards: Shards) -> DataFrame:
+def bigram_blocks(docs: DataFrame, manifest, shards: Shards, languages=None) -> DataFrame:
     """(shard, first, second, n): sorted blocks of summed bigrams as binary arrays."""
 
     def flush(keys, counts):
@@ -167,7 +203,7 @@ def bigram_blocks(docs: DataFrame, manifest, shards: Shards) -> DataFrame:
     def run(batches):
         words, keys, counts, size = Words(manifest), [], [], 0
         for b in batches:
-            first, second, _ = bigram_stream(b.column(0), words)
+            first, second, _ = bigram_stream(b.column(0), words, b.column(1) if languages is not None else None, languages)
             k, n = np.unique((first << 32) | second, return_counts=True)
             keys.append(k)
             counts.append(n)
@@ -177,7 +213,7 @@ def bigram_blocks(docs: DataFrame, manifest, shards: Shards) -> DataFrame:
                 keys, counts, size = [], [], 0
         yield from flush(keys, counts)
 
-    return docs.select("text").mapInArrow(run, "shard int, first binary, second binary, n binary")
+    return _columns(docs, languages).mapInArrow(run, "shard int, first binary, second binary, n binary")
 
 
 _SHARD_OUT = "kind int, shard int, file string, ids binary, counts binary, coc array<long>, stats array<long>"
@@ -191,13 +227,20 @@ _ROW_TYPE = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("file", pa.
                        ("counts", pa.binary()), ("coc", pa.list_(pa.int64())), ("stats", pa.list_(pa.int64()))])
 
 
-def _coc(n: np.ndarray) -> list[int]:
-    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+def _per_language(starts: np.ndarray, ids: np.ndarray, chosen) -> list[int]:
+    """How many of ``ids`` are chosen by each mask, by the language of the id."""
+    lang = np.searchsorted(starts, ids, "right") - 1
+    return [int(x) for sel in chosen for x in np.bincount(lang[sel], minlength=len(starts))]
+
 
+def _coc(starts: np.ndarray, ids: np.ndarray, n: np.ndarray) -> list[int]:
+    return _per_language(starts, ids, [n == i for i in (1, 2, 3, 4)])
 
-def bigram_shards(blocks: DataFrame, shards: Shards, size: int) -> DataFrame:
+
+def bigram_shards(blocks: DataFrame, shards: Shards, starts: np.ndarray) -> DataFrame:
     """Sort and store each shard. Rows of kind 0 name a shard's files and carry its
-    counts of counts; rows of kind 1 are its share of the continuation counts."""
+    counts of counts per language, whose first ids are ``starts``; rows of kind 1
+    are its share of the continuation counts."""
     folder = fresh_path(blocks.sparkSession, "bigrams")
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -223,7 +266,7 @@ def bigram_shards(blocks: DataFrame, shards: Shards, size: int) -> DataFrame:
         hot = shard >= shards.n
         if not hot:
             save_array(file + ".row", np.stack(per).astype("<i8"))
-        out = [_row(0, shard, file, coc=_coc(n), stats=[lo, *[int(x[0]) for x in per]] if hot else [])]
+        out = [_row(0, shard, file, coc=_coc(starts, first + lo, n), stats=[lo, *[int(x[0]) for x in per]] if hot else [])]
         ids, c = np.unique(second, return_counts=True)
         span = ids // shards.per
         for s in np.unique(span):
@@ -235,7 +278,7 @@ def bigram_shards(blocks: DataFrame, shards: Shards, size: int) -> DataFrame:
     return blocks.groupBy("shard").applyInArrow(run, _SHARD_OUT)
 
 
-def continuation_shards(rows: DataFrame, shards: Shards) -> DataFrame:
+def continuation_shards(rows: DataFrame, shards: Shards, starts: np.ndarray) -> DataFrame:
     """Sum the continuation counts of each range of words and store them densely."""
     folder = fresh_path(rows.sparkSession, "continuations")
 
@@ -248,44 +291,58 @@ def continuation_shards(rows: DataFrame, shards: Shards) -> DataFrame:
             total[ids] += np.frombuffer(r["counts"], "<u4")
         file = os.path.join(folder, uuid.uuid4().hex)
         save_array(file, total)
-        stats = [int((total == 1).sum()), int((total == 2).sum()), int((total > 2).sum()), int(total.sum(dtype=np.int64))]
-        return pa.Table.from_pylist([_row(2, shard, file, coc=_coc(total), stats=stats)], _ROW_TYPE)
+        ids = lo + np.arange(len(total))
+        stats = _per_language(starts, ids, [total == 1, total == 2, total > 2])
+        lang = np.searchsorted(starts, ids, "right") - 1
+        stats += [int(x) for x in np.bincount(lang, total, len(starts))]
+        return pa.Table.from_pylist([_row(2, shard, file, coc=_coc(starts, ids, total), stats=stats)], _ROW_TYPE)
 
     return rows.filter("kind = 1").groupBy("shard").applyInArrow(run, _SHARD_OUT)
 
 
-def train(docs: DataFrame, parts: int) -> dict:
-    """Count the model over ``docs`` (text); returns what a scorer needs: file names
-    and a few numbers, whose count grows only with the number of shards."""
-    manifest, tokens, counts = word_counts(docs, parts)
+def train(docs: DataFrame, parts: int, languages: Languages | None = None) -> dict:
+    """Count the model over ``docs`` (text, and lang with ``languages``); returns what
+    a scorer needs: file names and a few numbers, whose count grows only with the
+    number of shards and languages."""
+    manifest, tokens, counts = word_counts(docs, parts, languages)
     size = sum(m[2] for m in manifest)
     n_shards = max(1, tokens // SHARD_TOKENS)
     share = max(1, tokens // n_shards)
     # at most n_shards words can hold more than a shard's share
     heavy = [(r.w, r.n) for r in counts.filter(F.col("n") > share).collect()]
-    n_docs = (counts.filter(F.col("w") == int(END_HASH.view(np.int64))).agg(F.sum("n")).first()[0] or 0)
     words = Words(manifest)
     ids = words.ids(np.array([w for w, _ in heavy], dtype=np.int64).view(np.uint64))
     hot = {int(i): -(-n // share) for i, (_, n) in zip(ids, heavy)}
-    if n_docs > share:
-        hot[size] = -(-n_docs // share)
+    sizes, lang_tokens = np.array([size]), np.array([tokens])
+    if languages is None:
+        n_docs = (counts.filter(F.col("w") == int(END_HASH.view(np.int64))).agg(F.sum("n")).first()[0] or 0)
+        if n_docs > share:
+            hot[size] = -(-n_docs // share)
+    else:
+        sizes, lang_tokens = np.zeros((2, len(languages)), dtype=np.int64)
+        number = F.shiftrightunsigned("w", 64 - languages.bits)
+        for r in counts.groupBy(number.alias("l")).agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect():  # languages
+            sizes[r.l], lang_tokens[r.l] = r.c, r.n
+    starts = np.cumsum(sizes) - sizes
     shards = Shards(size, n_shards, hot)
-    rows = written(bigram_shards(bigram_blocks(docs, manifest, shards), shards, size), "shards")
+    rows = written(bigram_shards(bigram_blocks(docs, manifest, shards, languages), shards, starts), "shards")
     files = rows.filter("kind = 0").select("shard", "file", "coc", "stats").collect()
-    cont = written(continuation_shards(rows, shards), "continuations").select("shard", "file", "coc", "stats").collect()
+    cont = written(continuation_shards(rows, shards, starts), "continuations").select("shard", "file", "coc", "stats").collect()
     hot_rows: dict[int, np.ndarray] = {}
     for r in files:
         if r.stats:
             hot_rows[r.stats[0]] = hot_rows.get(r.stats[0], 0) + np.array(r.stats[1:], dtype=np.int64)
 
     def total(rs, k):
-        return [sum(r.coc[i] for r in rs) for i in range(4)] if k == "coc" else [sum(r.stats[i] for r in rs) for i in range(4)]
+        """Four sums for each language."""
+        return sum((np.array(r[k], dtype=np.int64).reshape(4, -1) for r in rs), np.zeros((4, len(sizes)), np.int64)).T
 
-    d1, c = discounts(*total(cont, "coc")), total(cont, "stats")
-    base = sum(d * n for d, n in zip(d1, c[:3])) / c[3] if c[3] else 1.0
+    d2 = np.array([discounts(*x) for x in total(files, "coc").tolist()])
+    d1 = np.array([discounts(*x) for x in total(cont, "coc").tolist()])
+    c = total(cont, "stats")
     return {"words": manifest, "tokens": tokens, "size": size, "shards": shards, "files": {r.shard: r.file for r in files},
-            "cont": {r.shard: r.file for r in cont}, "d2": discounts(*total(files, "coc")), "d1": d1,
-            "cont_total": c[3], "uniform": base / (size + 1), "hot_rows": hot_rows}
+            "cont": {r.shard: r.file for r in cont}, "d2": d2, "d1": d1, "cont_counts": c,
+            "sizes": sizes, "lang_tokens": lang_tokens, "hot_rows": hot_rows, "languages": languages}
 
 
 class Scorer:
@@ -300,24 +357,25 @@ class Scorer:
         return self.maps[file]
 
     def _discounted(self, n, d):
-        return np.maximum(0.0, n - np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])) * (n > 0))
+        return np.maximum(0.0, n - np.where(n == 1, d[..., 0], np.where(n == 2, d[..., 1], d[..., 2])) * (n > 0))
 
-    def unigram(self, ids: np.ndarray) -> np.ndarray:
-        """Lower-order probability of each word id; -1 is an unknown word."""
+    def continuations(self, ids: np.ndarray) -> np.ndarray:
+        """Continuation count of each word id; -1 is an unknown word."""
         m = self.m
-        out = np.full(len(ids), m["uniform"])
+        out = np.zeros(len(ids))
         known = np.flatnonzero(ids >= 0)
         span = ids[known] // m["shards"].per
         for s in np.unique(span):
             if int(s) in m["cont"]:
                 at = known[span == s]
-                n = self._map(m["cont"][int(s)], "<u4")[ids[at] - int(s) * m["shards"].per].astype(np.float64)
-                out[at] += self._discounted(n, m["d1"]) / m["cont_total"]
+                out[at] = self._map(m["cont"][int(s)], "<u4")[ids[at] - int(s) * m["shards"].per]
         return out
 
-    def bigram(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def counts(self, first: np.ndarray, second: np.ndarray):
+        """Count of each bigram; of its first word: how many bigrams come once, twice
+        and more often, and the sum of their counts."""
         m, shards = self.m, self.m["shards"]
-        p = self.unigram(second)
+        count, rows = np.zeros(len(first)), np.zeros((4, len(first)))
         known = np.flatnonzero(first >= 0)
         # unknown second words have no bigram, but their context's back-off weight counts
         shard = shards.of(first[known], np.maximum(second[known], 0))
@@ -347,17 +405,67 @@ class Scorer:
                     table_ = self._map(file + ".big", "<i8").reshape(2, -1)
                     n[big] = table_[1][np.searchsorted(table_[0], a[found][big])]
                 hits[found] = n
+            count[at] = hits
             if s >= shards.n:
-                row = np.repeat(m["hot_rows"].get(lo, np.zeros(4))[:, None], len(at), axis=1).astype(np.float64)
+                rows[:, at] = np.asarray(m["hot_rows"].get(lo, np.zeros(4)), dtype=np.float64)[:, None]
             elif s in m["files"]:
-                row = self._map(m["files"][s] + ".row", "<i8").reshape(4, -1)[:, f].astype(np.float64)
-            else:
-                continue
-            d, total = m["d2"], row[3]
-            seen = total > 0
-            gamma = (d[0] * row[0] + d[1] * row[1] + d[2] * row[2])[seen] / total[seen]
-            p[at[seen]] = self._discounted(hits, d)[seen] / total[seen] + gamma * p[at[seen]]
-        return p
+                rows[:, at] = self._map(m["files"][s] + ".row", "<i8").reshape(4, -1)[:, f]
+        return count, rows
+
+    def _mixed(self, count, rows, d2, low):
+        """Interpolated probability from counts, row sums and the lower order's."""
+        seen = rows[3] > 0
+        total = np.where(seen, rows[3], 1)
+        gamma = (d2[..., 0] * rows[0] + d2[..., 1] * rows[1] + d2[..., 2] * rows[2]) / total
+        return np.where(seen, self._discounted(count, d2) / total + gamma * low, low)
+
+    def bigram(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        m = self.m
+        d1, c = m["d1"][0], m["cont_counts"][0]
+        base = d1 @ c[:3] / c[3] if c[3] else 1.0
+        low = self._discounted(self.continuations(second), d1) / max(1, c[3]) + base / (m["size"] + 1)
+        return self._mixed(*self.counts(first, second), m["d2"][0], low)
+
+    def score_without_own(self, texts: pa.Array, langs: pa.Array):
+        """(tokens, frequency score, model score) of each text under its language's
+        model, with the text's own counts taken out of all counts."""
+        m, rows = self.m, len(texts)
+        lang = m["languages"].of(langs)
+        first, second, row = bigram_stream(texts, self.words, langs, m["languages"])
+        if not len(row):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        pairs, pair = np.unique(((first + 1) << 32) | (second + 1), return_inverse=True)
+        f, s = (pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1
+        count, sums = self.counts(f, s)
+        cell, own = np.unique(row * len(pairs) + pair, return_counts=True)  # one cell per text and bigram
+        r, pair = cell // len(pairs), cell % len(pairs)
+        count, sums = count[pair], sums[:, pair]
+        left = np.maximum(0, count - own)
+
+        def moved(kinds, at, before, after):
+            """How the numbers of once, twice and more often change, summed at ``at``."""
+            kind = lambda n: np.minimum(n, 3).astype(np.int64)
+            return [np.bincount(at, (kind(after) == k) * 1.0 - (kind(before) == k), kinds) for k in (1, 2, 3)]
+
+        ctx, at = np.unique(r * (len(self.words.store) + 2) + f[pair] + 1, return_inverse=True)
+        change = np.stack([*moved(len(ctx), at, count, left), -np.bincount(at, np.minimum(own, count), len(ctx))])
+        sums = np.maximum(0, sums + change[:, at])
+        word, at = np.unique(r * (len(self.words.store) + 2) + s[pair] + 1, return_inverse=True)
+        of, ids = word // (len(self.words.store) + 2), word % (len(self.words.store) + 2) - 1
+        cont = self.continuations(ids)
+        gone = (count > 0) & (left == 0)
+        rest = np.maximum(0, cont - np.bincount(at, gone, len(word)))
+        c = m["cont_counts"][lang].T + np.stack([*moved(rows, of, cont, rest), -np.bincount(r, gone, rows)])
+        d1, size = m["d1"][lang], m["sizes"][lang]
+        base = np.where(c[3] > 0, (d1.T * c[:3]).sum(0) / np.maximum(1, c[3]), 1.0)
+        low = self._discounted(rest, d1[of]) / np.maximum(1, c[3])[of] + (base / (size + 1))[of]
+        logs = np.log10(self._mixed(left, sums, m["d2"][lang[r]], low[at]))
+        n = np.bincount(row, minlength=rows)
+        freq = np.zeros(len(ids))
+        freq[ids >= 0] = self.words.store.take("n", ids[ids >= 0])
+        own_words = np.bincount(at, own, len(word))
+        plain = np.log10((np.maximum(0, freq - own_words) + 1) / (np.maximum(0, m["lang_tokens"][lang] - n) + size + 1)[of])
+        return n, np.bincount(of, own_words * plain, rows), np.bincount(r, own * logs, rows)
 
     def score(self, texts: pa.Array):
         """(tokens, known tokens, base score, model score) of each text."""

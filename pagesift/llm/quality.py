@@ -1,10 +1,15 @@
 """Quality rules: word and line measures, and n-gram perplexity bands.
 
-Perplexity is that of a character n-gram model of the document's language
-(modified Kneser-Ney, counted over all documents). Each language has a lower and
-an upper band; a document outside its language's bands is rejected. The bands
-are as wide as a multiple of the spread of the bulk of that language's
-documents, so ordinary documents stay inside.
+Spelling is judged by the perplexity of a character n-gram model of the words of
+the document's language, order by a word bigram model of that language (both
+modified Kneser-Ney, counted over all documents; the word model leaves out the
+document it scores). Of the latter come the perplexity per word and the gain: by
+how much the words before make a word likelier than its frequency does, which
+shuffled words and keyword lists lose. Each language has bands, as wide as a
+multiple of the spread of the bulk of its documents, so ordinary documents stay
+inside: a lower and an upper one for characters, an upper one for words, a lower
+one for the gain. Very predictable texts are not rejected by the word model:
+copies are such, and one of them is to stay.
 """
 
 from __future__ import annotations
@@ -20,16 +25,20 @@ from pyspark.sql import functions as F
 from pagesift.llm.arrays import _GOLD, batch_words, mix
 from pagesift.llm.common import broadcast_if_small, prepare, table, worker_object, written
 from pagesift.llm.kneser_ney import CharModel, char_model, per_language_words
+from pagesift.llm.lm_score import Languages, Scorer, train
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50  # percent of words in repeated three-word windows
 # half width of a band: this many interquartile ranges beside the quartiles
 UPPER_WIDTH, LOWER_WIDTH = 4.0, 8.0
+GAIN_WIDTH = 4.0
+# least spread of word measures, as a share of the median perplexity
+WORD_SPREAD = 0.02
 SYMBOLS = "[#*$%&|<>]"
 _MAX_BANDS = 100_000
 
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-            "log10_ppl double")
+            "log10_ppl double, log10_word_ppl double, word_gain double")
 
 
 def repeated_words(codes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -62,7 +71,7 @@ def duplicate_lines(texts: pa.Array) -> np.ndarray:
     return np.bincount(row, minlength=len(texts)) - np.bincount(row[first], minlength=len(texts))
 
 
-def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel) -> pa.StructArray:
+def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel, word_model: Scorer) -> pa.StructArray:
     texts = pc.fill_null(texts, "")
     rows = len(texts)
     codes, row, distinct = batch_words(texts, lower=False)
@@ -76,20 +85,26 @@ def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel) -> pa.Stru
         logs += np.bincount(r, w_log[inv], rows)
         units += np.bincount(r, w_units[inv], rows)
     ppl = pa.array(np.where(units > 0, -logs / np.maximum(units, 1), 0), mask=units == 0)
+    tokens, plain, scores = word_model.score_without_own(texts, langs)
+    empty, tokens = n_words == 0, np.maximum(tokens, 1)
+    doubles = [ppl, pa.array(-scores / tokens, mask=empty), pa.array((scores - plain) / tokens, mask=empty)]
     ints = (n_words, chars, pc.count_substring_regex(texts, SYMBOLS).to_numpy(zero_copy_only=False),
             duplicate_lines(texts), repeated_words(codes, row, rows))
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return pa.StructArray.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in ints] + [ppl], names)
+    return pa.StructArray.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in ints] + doubles, names)
 
 
 def measures(model) -> Column:
     """Struct of all measures of a row's (lang, text)."""
-    manifest, unknown = model
-    key = ("char-model", uuid.uuid4().hex)
+    manifest, unknown, word_model = model
+    key = ("quality-models", uuid.uuid4().hex)
+
+    def make():
+        return CharModel(manifest, unknown), Scorer(word_model)
 
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in MEASURES.split(', '))}>")
     def run(lang: pa.Array, text: pa.Array) -> pa.Array:
-        return measure_batch(lang, text, worker_object(key, lambda: CharModel(manifest, unknown)))
+        return measure_batch(lang, text, *worker_object(key, make))
 
     return run(F.col("lang").cast("string"), F.col("text").cast("string"))
 
@@ -99,22 +114,30 @@ def base_failed() -> Column:
 
 
 def perplexity_bands(scored: DataFrame) -> DataFrame:
-    """(lang, low, high) of log10 perplexity over a language's documents that pass
+    """(lang, low, high, word_high, gain_low) over a language's documents that pass
     the base rules; quartiles by mergeable sketches over all rows."""
     q = scored.filter(~base_failed() & F.col("log10_ppl").isNotNull()).groupBy("lang").agg(
-        F.percentile_approx("log10_ppl", [0.25, 0.5, 0.75], 1000).alias("q"))
+        *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(a)
+          for c, a in (("log10_ppl", "q"), ("log10_word_ppl", "w"), ("word_gain", "g"))])
+    least = WORD_SPREAD * F.col("w")[1]
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], 0.01 * F.col("q")[1])
     return q.select("lang", (F.col("q")[0] - LOWER_WIDTH * spread).alias("low"),
-                    (F.col("q")[2] + UPPER_WIDTH * spread).alias("high"))
+                    (F.col("q")[2] + UPPER_WIDTH * spread).alias("high"),
+                    (F.col("w")[2] + UPPER_WIDTH * F.greatest(F.col("w")[2] - F.col("w")[0], least)).alias("word_high"),
+                    (F.col("g")[0] - GAIN_WIDTH * F.greatest(F.col("g")[2] - F.col("g")[0], least)).alias("gain_low"))
 
 
 def _model(docs: DataFrame):
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    return char_model(docs, parts)
+    manifest, unknown = char_model(docs, parts)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return manifest, unknown, train(rows, parts, Languages(x or "" for x in unknown))
 
 
 def _verdict(scored: DataFrame, bands: DataFrame) -> DataFrame:
-    inside = F.col("log10_ppl").isNull() | F.col("low").isNull() | F.col("log10_ppl").between(F.col("low"), F.col("high"))
+    inside = F.col("log10_ppl").isNull() | F.col("low").isNull() | (
+        F.col("log10_ppl").between(F.col("low"), F.col("high")) & (F.col("log10_word_ppl") <= F.col("word_high"))
+        & (F.col("word_gain") >= F.col("gain_low")))
     joined = scored.join(broadcast_if_small(bands.withColumnRenamed("lang", "band_lang"), _MAX_BANDS),
                          F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     return (joined.withColumn("base_failed", base_failed())
@@ -147,4 +170,4 @@ def op9_quality(spark, sf_dir):
     prepare(spark)
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "lang", "log10_ppl", "low", "high")
+        "lang", "log10_ppl", "low", "high", "log10_word_ppl", "word_high", "word_gain", "gain_low")

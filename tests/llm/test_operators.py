@@ -151,6 +151,62 @@ def test_language_model_equals_plain_kneser_ney(docs, corpus, monkeypatch):
     assert lm_score.score_documents(docs([])).count() == 0
 
 
+def test_quality_rejects_shuffled_words(docs):
+    r = random.Random(5)
+    v = vocabulary(r, 300)
+    after = {w: r.sample(v, 3) for w in v}
+
+    def text():
+        w = [r.choice(v)]
+        while len(w) < 150:
+            w.append(r.choice(after[w[-1]]))
+        return w
+
+    plain = [text() for _ in range(60)]
+    salad = [r.sample(x, len(x)) for x in plain[:4]] + [[r.choice(v[:30]) for _ in range(300)]]
+    texts = [" ".join(x) for x in plain + [plain[0]] * 5 + salad]
+    d = docs(texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise(None))
+    got = {x.doc_id: x for x in quality.judge(d).collect()}
+    assert [got[i].kept for i in range(len(texts))] == [True] * 65 + [False] * 5
+    assert got[65].word_gain < got[65].gain_low
+
+
+def test_word_scores_without_own_counts_equal_retraining(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 1500)
+    import pyarrow as pa
+    texts = [t for t in corpus if t != "NULLID"][:50]
+    langs = [("en", "fr")[i % 2] for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(texts, langs)), "text string, lang string")
+    model = lm_score.train(rows, 2, lm_score.Languages(["en", "fr"]))
+    n, plain, got = lm_score.Scorer(model).score_without_own(pa.array(texts), pa.array(langs))
+    toks = [ws(t) + [" end"] for t in texts]
+    cut = lambda n, d: d[min(n, 3) - 1] if n else 0
+    for i, x in enumerate(toks):
+        number = model["languages"].number[langs[i]]
+        d1, d2 = model["d1"][number], model["d2"][number]
+        b, u = Counter(), Counter()
+        for j, t in enumerate(toks):
+            if j != i and langs[j] == langs[i]:
+                b.update(zip([" begin"] + t[:-1], t))
+                u.update(t)
+        size = len({w for t, y in zip(toks, langs) if y == langs[i] for w in t})
+        cont, after = Counter(), defaultdict(Counter)
+        for (f, s), c in b.items():
+            cont[s] += 1
+            after[f][s] = c
+        total = sum(cont.values())
+        g1 = sum(cut(c, d1) for c in cont.values()) / total
+        score = 0
+        for f, s in zip([" begin"] + x[:-1], x):
+            p = max(0, cont[s] - cut(cont[s], d1)) / total + g1 / (size + 1)
+            if f in after:
+                t = sum(after[f].values())
+                p = max(0, after[f][s] - cut(after[f][s], d2)) / t + sum(cut(c, d2) for c in after[f].values()) / t * p
+            score += math.log10(p)
+        assert n[i] == len(x) and got[i] == pytest.approx(score, rel=1e-6)
+        assert plain[i] == pytest.approx(sum(math.log10((u[w] + 1) / (sum(u.values()) + size + 1)) for w in x), rel=1e-6)
+
+
 def test_leaks_equal_plain_containment(spark, docs, corpus):
     r = random.Random(2)
     v = vocabulary(r)
