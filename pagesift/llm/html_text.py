@@ -5,6 +5,12 @@ log odds are the block's terminal capacity (to the content side if positive, to
 the boilerplate side if negative). Smoothness edges tie neighbouring blocks, the
 more the closer they are in the DOM, and blocks of one container. The minimum cut
 then labels all blocks of the page together.
+
+Boilerplate words in an element's names are graded evidence. They weigh the less,
+the more of the page's likely content the element holds (nothing from one half
+on), and text evidence, other names and edges can outweigh them. Likely content
+is the text whose closest telling element is an article, main or well-named one;
+on pages with little of that, all text outside boilerplate tags.
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ from pagesift.llm.common import prepare, table
 # ---- classifier weights (log odds)
 BIAS = -0.6
 IN_ARTICLE, IN_BOILERPLATE, IN_ARTICLE_HEADER = 3.5, -9.0, -0.5
-GOOD_NAME, BAD_NAME = 2.0, -9.0
+GOOD_NAME, BAD_NAME, MORE_BAD_NAMES = 2.0, -6.0, -1.5
+# least share of a page's text that counts as its likely content by names
+LIKELY_SHARE = 0.1
 TEXT_TAG, HEADING, LINKS, LOG_WORDS, SENTENCE = 0.8, 0.6, -4.5, 0.45, 0.5
 # ---- smoothness
 NEIGHBOUR, CONTAINER, FAR = 1.2, 0.4, 12
@@ -45,6 +53,8 @@ BAD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponso
        "disqus", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "modal",
        "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended",
        "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "promo", "login", "search", "toolbar"}
+# before a boilerplate word: the element only says whether there is such a part
+ABOUT = {"has", "have", "no", "not", "with", "without", "hide", "hidden"}
 GOOD = {"article", "content", "entry", "post", "story", "main", "text", "body", "maincontent"}
 
 _TOKEN = re.compile(
@@ -65,16 +75,22 @@ def _names(attrs: str) -> set[str]:
     found = set()
     for m in _NAME.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-        found.update(_WORD.findall(value.lower()))
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+        for name in value.lower().split():
+            words = _WORD.findall(name)
+            # has-left-sidebar: what follows describes the page, not the element
+            cut = next((k for k, w in enumerate(words) if w in ABOUT), len(words))
+            found.update(words[:cut])
     return found
 
 
 def page_blocks(page: str):
-    """(blocks, parents, depths): text blocks in page order, and for each element
-    its parent and depth. Open elements are kept on an explicit stack, so nesting
+    """(blocks, parents, depths, bad, telling): text blocks in page order, and for each
+    element its parent, its depth, the weight of the boilerplate words in its names,
+    and what it tells of its text (1 content, -1 boilerplate words, -2 a boilerplate
+    tag, 0 nothing). Block scores are without the names' weight. Open elements are kept on an explicit stack, so nesting
     depth costs nothing but that stack."""
-    parents, depths = [-1], [0]
+    parents, depths, bad, telling = [-1], [0], [0.0], [0]
     # element: (tag, number, score from ancestors, inside article, hidden)
     stack = [("", 0, 0.0, False, False)]
     opened: dict[str, int] = {}
@@ -170,10 +186,14 @@ def page_blocks(page: str):
             score += IN_BOILERPLATE
         elif tag == "header":
             score += IN_ARTICLE_HEADER if article else IN_BOILERPLATE
-        if names & BAD:
-            score += BAD_NAME
-        elif names & GOOD:
+        if tag == "header":
+            names.discard("header")  # the tag has said so
+        if names & GOOD:
             score += GOOD_NAME
+        n_bad = len(names & BAD)
+        boilerplate = tag in BOILERPLATE or tag == "header" and not article
+        bad.append(BAD_NAME + MORE_BAD_NAMES * (min(n_bad, 3) - 1) if n_bad else 0.0)
+        telling.append(-2 if boilerplate else -1 if n_bad else 1 if tag in ("article", "main") or names & GOOD else 0)
         number = len(parents)
         parents.append(parent)
         depths.append(depths[parent] + 1)
@@ -182,7 +202,32 @@ def page_blocks(page: str):
             continue
         stack.append((tag, number, score, article, hidden))
         opened[tag] = opened.get(tag, 0) + 1
-    return blocks, parents, depths
+    return blocks, parents, depths, bad, telling
+
+
+def name_scores(blocks, parents, bad, telling) -> list[float]:
+    """Weight of boilerplate words on each element's text, from all its ancestors."""
+    n = len(parents)
+    closest, outside = [0] * n, [True] * n  # of boilerplate tags
+    for i in range(1, n):  # parents come first
+        closest[i] = telling[i] or closest[parents[i]]
+        outside[i] = telling[i] != -2 and outside[parents[i]]
+    likely, text = [0] * n, [0] * n
+    total = 0
+    for b in blocks:
+        size = sum(map(len, b.parts)) - b.linked
+        total += size
+        likely[b.element] += size if closest[b.element] == 1 and outside[b.element] else 0
+        text[b.element] += size if outside[b.element] else 0
+    for sums in (likely, text):
+        for i in range(n - 1, 0, -1):
+            sums[parents[i]] += sums[i]
+    held = likely if likely[0] and likely[0] >= LIKELY_SHARE * total else text
+    out = [0.0] * n
+    for i in range(1, n):
+        share = held[i] / held[0] if held[0] else 0.0
+        out[i] = out[parents[i]] + bad[i] * max(0.0, 1 - 2 * share)
+    return out
 
 
 def dom_distance(a: int, b: int, parents, depths) -> int:
@@ -257,14 +302,15 @@ def minimum_cut(score: list[float], edges: dict[tuple[int, int], float]) -> list
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, decoded, one per line; empty if there are none."""
-    blocks, parents, depths = page_blocks(page or "")
+    blocks, parents, depths, bad, telling = page_blocks(page or "")
+    names = name_scores(blocks, parents, bad, telling)
     texts, scores, kept = [], [], []
     for b in blocks:
         raw = "".join(b.parts)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if not text:
             continue
-        score = (BIAS + b.score + LINKS * b.linked / max(1, len(raw)) + LOG_WORDS * math.log2(1 + text.count(" "))
+        score = (BIAS + b.score + names[b.element] + LINKS * b.linked / max(1, len(raw)) + LOG_WORDS * math.log2(1 + text.count(" "))
                  + (SENTENCE if text[-1] in ".!?…:;\"'”»)" else 0))
         texts.append(text)
         scores.append(score)

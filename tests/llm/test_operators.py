@@ -315,6 +315,20 @@ def test_main_text(spark):
                    1: "", 2: "", 3: html[3], 4: "A\nb c", 5: got[5], 6: "deep text that is long enough to count."}
 
 
+def test_main_text_names_are_graded():
+    long = [" ".join(f"word{i}" for i in range(k, k + 100)) + "." for k in (0, 200)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    side = "<div class='sidebar'><p>Some more posts to read here.</p></div><footer><p>All rights are reserved by us.</p></footer>"
+    for box in ("<div class='content has-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class='layoutWithSidebar'>%s</div>",
+                "<div class='social-issues story'>%s</div>", "<div class='search-page'><article>%s</article></div>"):
+        assert html_text.main_text(box % body + side) == "\n".join(long), box
+    entry = "<article><header class='entry-header'><h1>The title</h1></header>" + body + "</article>"
+    assert html_text.main_text(entry + side) == "\n".join(["The title", *long])
+    # many comments beside a short post stay out
+    comments = "<div id='comments'>" + "".join(f"<div class='comment-content'><p>{x}</p></div>" for x in long * 3) + "</div>"
+    assert html_text.main_text("<main><article>" + body + "</article>" + comments + "</main>" + side) == "\n".join(long)
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(3)
     for _ in range(200):
