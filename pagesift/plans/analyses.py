@@ -39,17 +39,11 @@ def q_structure_fold(spark, d):
 
 
 def q_prune_by_structure(spark, d):
-    """Prune every page to the folded structure of its site's first page."""
+    """Prune every sanitized page to its own folded structure."""
     prepare(spark)
     nodes = _nodes_once(spark, d)
-    s = structure.page_structure(nodes)
-    pages = keyed_pages(spark, d).select("page_id", "site")
-    rep = sampling.top_n_per_group(pages, ["site"], F.col("page_id"), 1).select(
-        "site", F.col("page_id").alias("rep_id"))
-    st = s.select(F.col("page_id").alias("rep_id"), "node_id", "parent_id", "child_ord", "tag", "cls")
-    st = st.join(rep, "rep_id").drop("rep_id").checkpoint(eager=True)
-    per_page = pages.join(st, "site").drop("site")
-    kept = structure.prune_by_structure(nodes, per_page)
+    soup = clean.sanitize(nodes, "soup").checkpoint(eager=True)
+    kept = structure.prune_by_structure(soup, structure.page_structure(nodes))
     return kept.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
@@ -211,17 +205,13 @@ def q_stream_extract(spark, d):
 
 
 def q_structure_pruning_stats(spark, d):
-    """Z3: tokens after pruning each page to its site's template, and how
+    """Z3: tokens after pruning each page to its own structure, and how
     many annotated values survive (F19 after T12)."""
     prepare(spark)
     nodes = _nodes_once(spark, d)
     pages = keyed_pages(spark, d).select("page_id", "site")
-    s = structure.page_structure(clean.sanitize(nodes, "soup"))
-    rep = sampling.top_n_per_group(pages, ["site"], F.col("page_id"), 1).select(
-        "site", F.col("page_id").alias("rep_id"))
-    st = s.select(F.col("page_id").alias("rep_id"), "node_id", "parent_id", "child_ord", "tag", "cls")
-    st = st.join(rep, "rep_id").drop("rep_id").checkpoint(eager=True)
-    kept = structure.prune_by_structure(nodes, pages.join(st, "site").drop("site"))
+    soup = clean.sanitize(nodes, "soup").checkpoint(eager=True)
+    kept = structure.prune_by_structure(soup, structure.page_structure(nodes)).checkpoint(eager=True)
     size = clean.serialized_tokens(kept).withColumnRenamed("cleaned_tokens", "structure_tokens")
     kept_vals = ops.values_kept(clean.serialize(kept), harness_annotations(keyed_pages(spark, d)))
     return size.join(kept_vals, "page_id", "left").join(pages, "page_id").withColumn(

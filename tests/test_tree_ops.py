@@ -147,3 +147,16 @@ def test_fragment_texts_lose_and_repeat_nothing(explode):
     words = sorted(" ".join(r.text for r in rows).split())
     want = ["top", "left", "mid", "end", "one", "two", "three", "four"] + [f"in{i}" for i in range(6)] + list("abcdefg") * 6
     assert words == sorted(want)
+
+
+def test_pages_are_pruned_by_their_own_structure(spark, tmp_path):
+    """One site with two layouts: each page keeps what its own structure has."""
+    from pagesift.plans.analyses import q_prune_by_structure, q_structure_pruning_stats
+    html = ['<html><body><div class="a"><p>first</p></div></body></html>',
+            '<html><body><section class="b"><h1>second</h1><p>value</p><script>x</script></section></body></html>']
+    spark.createDataFrame([(i, f"http://s.example.com/en/{i}", h) for i, h in enumerate(html)],
+                          "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.n_kept for r in q_prune_by_structure(spark, str(tmp_path)).collect()}
+    assert got == {0: 4, 1: 5}
+    tokens = {r.page_id: r.structure_tokens for r in q_structure_pruning_stats(spark, str(tmp_path)).collect()}
+    assert tokens[1] > tokens[0] > 0
