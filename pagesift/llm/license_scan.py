@@ -116,8 +116,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
     known = t.select("family", F.explode(versions).alias("w"))
     # corpus paragraphs that share no two-word run "licensed under", "the ... license"
     hints = r"(?i)licen[sc]|copyright|public domain|spdx|all rights|free software|redistribut|hereby granted"
-    back = (paragraphs(docs).filter(~F.col("text").rlike(hints)).select("w", F.xxhash64("w").alias("h"))
-            .orderBy("h").limit(MAX_BACKGROUND).select(F.lit(UNKNOWN).alias("family"), "w"))
+    lines = paragraphs(docs).filter(~F.col("text").rlike(hints)).select("w", F.xxhash64("w").alias("h"))
+    # distinct ones: a line that many documents repeat counts once. Only hashes are sorted
+    chosen = lines.select("h").distinct().orderBy("h").limit(MAX_BACKGROUND)
+    back = (lines.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])  # at most MAX_BACKGROUND rows
+            .select(F.lit(UNKNOWN).alias("family"), "w"))
     mixed = known.filter(F.pmod(F.xxhash64("w"), F.lit(7)) == 0).select(
         F.lit(UNKNOWN).alias("family"), F.filter("w", lambda x, i: i % 3 == 0).alias("w"))
     rows = written(known.unionByName(back).unionByName(mixed).filter(F.size("w") > 0), "license-training")

@@ -297,6 +297,15 @@ def test_license_scan(spark, docs):
     assert sorted((x.doc_id, x.line, x.family) for x in rows) == [(2, 1, "mit"), (3, 1, "apache"), (4, 1, "gpl"), (5, 1, "cc")]
 
 
+def test_license_background_is_of_distinct_paragraphs(docs, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_BACKGROUND", 32)
+    plain = [f"plain paragraph number {i} about nothing" for i in range(30)]
+    d = docs([f"{p}\nthe same line below\nand a second one" for p in plain] * 2)
+    rows = license_scan.training_rows(d).filter(F.col("family") == license_scan.UNKNOWN).collect()
+    got = Counter(" ".join(r.w) for r in rows)
+    assert all(got[x] == 1 for x in [*plain, "the same line below", "and a second one"])
+
+
 PAGE = """<html><head><title>T</title><style>x</style></head><body><header class="site"><h1>Site</h1></header>
 <div id="cookie-notice"><p>We use cookies, accept them please.</p></div><div class="wrap"><div class="post-content">
 <h2>Title &amp; more</h2><p>First  para with a <a href=x>link</a> inside it,
