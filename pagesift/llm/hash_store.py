@@ -116,9 +116,16 @@ class SortedArrays:
         out[order] = found
         return out
 
+    def keys_at(self, ranks: np.ndarray) -> np.ndarray:
+        """Keys at ranks (which must be present)."""
+        return self._gather("key", "<i8", ranks)
+
     def take(self, c: str, ranks: np.ndarray) -> np.ndarray:
         """Column values at ranks (which must be present)."""
-        out = np.zeros(len(ranks), dtype=self.cols[c])
+        return self._gather(c, self.cols[c], ranks)
+
+    def _gather(self, c: str, kind: str, ranks: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ranks), dtype=kind)
         part = np.searchsorted(self.base, ranks, "right") - 1
         for i in np.unique(part):
             here = part == i
