@@ -428,7 +428,8 @@ def _spelled(phrases: DataFrame, frequent: DataFrame) -> DataFrame:
              .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(WORD_COPIES - 1)))))
     slots = phrases.withColumn("copy", F.pmod(F.xxhash64("m", "state"), F.lit(WORD_COPIES)).cast("int")).select(
         "m", "state", "copy", "a", "l", "r", "score", F.posexplode("key").alias("pos", "k"))
-    return (slots.join(words, ["k", "copy"]).groupBy("m", "state", "a", "l", "r", "score")
+    return (slots.join(words.hint("merge"), ["k", "copy"])  # grows with the corpus: no broadcast
+            .groupBy("m", "state", "a", "l", "r", "score")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"), F.first("lang").alias("lang"))
             .withColumn("phrase", F.concat_ws(" ", F.col("w.word"))).drop("w"))
 
@@ -477,7 +478,7 @@ def mine_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, conta
     if out is None:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     if drops is not None:
-        out = out.join(drops.distinct(), ["m", "state"], "left_anti")
+        out = out.join(drops.distinct().hint("merge"), ["m", "state"], "left_anti")  # no broadcast: grows with the corpus
     rows = _spelled(out, frequent)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     if top is not None:  # the best of each sub-group first, so that no task sorts a whole language
