@@ -1,5 +1,7 @@
 """Sanitize, condense, prune, tables, structure, fragments on small fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pagesift.operators import clean, fragments, prune, structure, tables
@@ -69,16 +71,70 @@ def test_repeat_detection_goldens():
     assert most_repeated_run([str(x) for x in seq], [True] * 9, include_start=False) is None
 
 
-def test_fold_rules(spark):
-    from pyspark.sql import functions as F
+def test_fold_rules():
     cases = [("ul", [("li", s, False) for s in "abcd"], [0]), ("tr", [("td", s, False) for s in "ab"], [0, 1]),
              ("div", [("div", "x", True)] * 3, [0]), ("div", [], []), ("li", [("p", "x", True)] * 3, [0, 1, 2]),
              ("div", [("p", "y", False), ("p", "x", False), ("p", "x", True), ("p", "x", False)], [0, 1, 2]),
              ("div", [("p", s, True) for s in "abababc"], [0, 1, 6]), ("div", [("p", s, False) for s in "aaa"], [0, 1, 2])]
-    df = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)],
-                               "i int, tag string, ch array<struct<tag:string,sig:string,has_class:boolean>>")
-    got = {r.i: list(r.k) for r in df.select("i", kept_children(F.col("tag"), F.col("ch")).alias("k")).collect()}
-    assert got == {i: k for i, (_, _, k) in enumerate(cases)}
+    for tag, ch, want in cases:
+        assert kept_children(tag, *([c[k] for c in ch] for k in range(3))) == want
+
+
+def test_fold_equals_the_rules_on_serialized_trees():
+    """Random trees folded as nested tuples, bottom-up, comparing whole subtrees."""
+    r = random.Random(2)
+
+    def grow(depth):
+        kids = [grow(depth - 1) for _ in range(r.choice([0, 1, 2, 3, 6]))] if depth else []
+        if kids and r.random() < 0.4:
+            kids = kids * r.randint(1, 3)
+        return (r.choice(["div", "ul", "li", "p", "table", "tr", "td"]), r.choice([None, None, "", "a", "b"]), kids)
+
+    def fold(tree):
+        kids = [fold(k) for k in tree[2]]
+        tags, cls = [k[0] for k in kids], [k[1] is not None for k in kids]
+        return (tree[0], tree[1], [kids[i] for i in kept_children(tree[0], tags, [repr(k) for k in kids], cls)])
+
+    def flat(tree):
+        rows = []
+        stack = [(tree, -1)]
+        while stack:
+            (tag, cls, kids), parent = stack.pop()
+            rows.append((len(rows), parent, tag, cls))
+            stack.extend((k, rows[-1][0]) for k in reversed(kids))
+        return rows
+
+    sigs = {}
+    for _ in range(150):
+        tree = grow(4)
+        rows = flat(tree)
+        kept, sig = structure.fold_page(*map(list, zip(*rows)))
+        want = fold(tree)
+        assert [rows[i][2:] for i in kept] == [x[2:] for x in flat(want)]
+        assert sigs.setdefault(repr(want), sig[0]) == sig[0]
+    assert len(set(sigs.values())) == len(sigs)
+
+
+def test_many_children_in_seconds():
+    r = random.Random(1)
+    block = [str(r.randrange(50)) for _ in range(331)]
+    sigs = [str(r.randrange(10 ** 6)) for _ in range(1000)] + block * 300 + ["x"]
+    assert len(sigs) > 100_000
+    runs = most_repeated_run(sigs, [True] * len(sigs))
+    assert len(runs) == 300 and runs[-1][1] - runs[-1][0] == 331
+    assert len(most_repeated_run(["a"] * 100_000, [False] * 99_999 + [True])) == 100_000
+    deep = 20_000
+    kept, _ = structure.fold_page(list(range(deep)), list(range(-1, deep - 1)), ["div"] * deep, [None] * deep)
+    assert len(kept) == deep
+
+
+def test_pruning_drops_the_text_of_inner_nodes(explode):
+    html = "<html><body>LEAD<div class='a'>INNER<p>kept text</p>BETWEEN</div>TAIL<div class='b'>leaf <b>bold</b> text</div></body></html>"
+    nodes = clean.sanitize(explode([html]), "soup")
+    out = structure.prune_by_structure(nodes, structure.page_structure(nodes))
+    html = clean.serialize(out).first()["html"]
+    assert not any(x in html for x in ("LEAD", "INNER", "BETWEEN", "TAIL"))
+    assert "kept text" in html and "leaf <b>bold</b> text" in html
 
 
 def test_structure_fold_collapses_lists(explode):
