@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import normalize_text
 from pagesift.operators.dom import texts
 from pagesift.operators.metrics import guarded_f1, membership_counts
+from pagesift.operators.textsearch import one_line, text_matches
 from pagesift.operators.xpath import apply_programs
 
 # generator profiles
@@ -85,16 +86,15 @@ def targets_from_annotations(ann: DataFrame) -> DataFrame:
 
 def matched_chunks(nodes: DataFrame, ann: DataFrame) -> DataFrame:
     """X4 text search: for each (page, field, target) the text chunks that
-    contain the target or are contained in it, keeping all at the smallest
-    length gap (W8, F18). Columns: page_id, field, target, node_id, idx."""
-    tg = targets_from_annotations(ann)
+    contain the target or are contained in it, white space runs counting as one
+    space, keeping all at the smallest length gap (W8, F18). Columns: page_id,
+    field, target, node_id, idx."""
+    tg = targets_from_annotations(ann).withColumn("t_norm", one_line(F.col("target"))).filter(F.col("t_norm") != "")
     pages = tg.select("page_id").distinct()
     tx = texts(nodes.join(pages, "page_id", "left_semi")).select(
-        "page_id", "node_id", "idx", "text", normalize_text(F.col("text")).alias("ptext"))
-    tx = tx.filter(F.col("ptext") != "")
-    j = tx.join(tg, "page_id").filter(
-        F.contains("ptext", "target") | F.contains("target", "ptext"))
-    j = j.withColumn("score", F.abs(F.length("text") - F.length("target")))
+        "page_id", "node_id", "idx", F.length("text").alias("n_chars"), one_line(normalize_text(F.col("text"))).alias("norm"))
+    j = text_matches(tx.filter(F.col("norm") != ""), tg, ["page_id"], both_ways=True)
+    j = j.withColumn("score", F.abs(F.col("n_chars") - F.length("target")))
     w = Window.partitionBy("page_id", "field", "target")
     j = j.withColumn("best", F.min("score").over(w)).filter(F.col("score") == F.col("best"))
     return j.select("page_id", "field", "target", "node_id", "idx")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions.text import TEXT_VISUAL_PRIORITY, html_unescape, py_strip
+from pagesift.functions.text import TEXT_VISUAL_PRIORITY, html_unescape, normalize_text, py_strip
 from pagesift.operators.dom import chunks, under_targets, within
 from pagesift.operators.relational import proper_ancestor_paths
+from pagesift.operators.textsearch import one_line, text_matches
 
 
 # ---- traversal orders (T2, T3) ----------------------------------------------
@@ -54,25 +55,34 @@ def field_operators(ops: DataFrame) -> DataFrame:
 # ---- X14 / W13 / F22: rank competing extract operations ----------------------
 def rank_extracts(nodes: DataFrame, fops: DataFrame) -> DataFrame:
     """Score each extract operation of a (page, field): 0.5 * tag visual
-    priority + 0.5 * text tightness of the chunks under it that contain the
-    values; keep the first best (W13) and the prunes before it."""
+    priority + 0.5 * text tightness of the nearest chunks (X4) for its values,
+    searched under its fragment with all earlier fragments removed; keep the
+    first best (W13) and the prunes before it."""
     ex = fops.filter(F.col("operator_type") == "extract")
-    roots = nodes.select("page_id", "xpath", "node_id").join(ex, ["page_id", "xpath"])
-    vals = roots.select("page_id", "field", "seq", "node_id", F.explode("values").alias("target"))
+    roots = nodes.select("page_id", "xpath", "node_id").join(
+        fops.select("page_id", "field", "seq", "xpath", "operator_type"), ["page_id", "xpath"])
     ck = chunks(nodes.join(roots.select("page_id").distinct(), "page_id", "left_semi"))
     owners = nodes.select("page_id", F.col("node_id").alias("owner"), F.col("tag").alias("otag"))
-    under = under_targets(ck, roots.select("page_id", "node_id")).join(owners, ["page_id", "owner"])
-    m = under.join(vals.withColumnRenamed("node_id", "target_id"), ["page_id", "target_id"]).filter(
-        F.contains(py_strip(F.col("chunk.text")), F.col("target")))
-    m = m.withColumn("gap", F.length("chunk.text") - F.length("target"))
+    under = under_targets(ck, roots.select("page_id", "node_id")).join(
+        roots.select("page_id", "field", "seq", "operator_type", F.col("node_id").alias("target_id")), ["page_id", "target_id"])
+    # earlier fragments are gone when an operation looks: a chunk is left to its first one
+    own = under.groupBy("page_id", "field", "owner", F.col("chunk.seq").alias("chunk_seq")).agg(
+        F.min(F.struct("seq", "operator_type")).alias("op"), F.first("chunk.text").alias("text"))
+    own = own.filter(F.col("op.operator_type") == "extract").select(
+        "page_id", "field", F.col("op.seq").alias("seq"), "owner", F.length("text").alias("n_chars"),
+        one_line(normalize_text(F.col("text"))).alias("norm")).filter(F.col("norm") != "")
+    vals = ex.select("page_id", "field", "seq", F.explode("values").alias("target")).distinct().withColumn(
+        "t_norm", one_line(normalize_text(F.col("target")))).filter(F.col("t_norm") != "")
+    m = text_matches(own, vals, ["page_id", "field", "seq"], both_ways=True).join(owners, ["page_id", "owner"])
+    m = m.withColumn("gap", F.col("n_chars") - F.length("target"))
     wv = Window.partitionBy("page_id", "field", "seq", "target")
-    m = m.withColumn("_g", F.min("gap").over(wv)).filter(F.col("gap") == F.col("_g"))
+    m = m.withColumn("_g", F.min(F.abs("gap")).over(wv)).filter(F.abs("gap") == F.col("_g"))
     prio = F.array(*[F.lit(t) for t in TEXT_VISUAL_PRIORITY])
     pos = F.array_position(prio, F.col("otag"))
     p = F.when(pos > 0, pos - 1).otherwise(F.lit(1))
     n = len(TEXT_VISUAL_PRIORITY)
     m = m.withColumn("el", (F.lit(n) - p) / F.lit(n)).withColumn(
-        "tx", F.lit(1.0) - F.col("gap") / F.length("chunk.text"))
+        "tx", F.lit(1.0) - F.col("gap") / F.col("n_chars"))
     sc = m.groupBy("page_id", "field", "seq").agg(
         (F.sum("el") / (F.count(F.lit(1)) + F.lit(1e-8))).alias("el"),
         (F.sum("tx") / (F.count(F.lit(1)) + F.lit(1e-8))).alias("tx"))
@@ -107,8 +117,8 @@ def full_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     pages = targets.select("page_id").distinct()
     ck = chunks(nodes.join(pages, "page_id", "left_semi")).select("page_id", "chunk.seq", "chunk.text")
     ck = ck.withColumn("norm", F.regexp_replace(py_strip(html_unescape(html_unescape(F.col("text")))),
-                                                "  +", " "))
-    j = targets.join(ck, "page_id").filter(F.contains("norm", "target") & (F.length("text") > 0))
+                                                "  +", " ")).filter(F.length("text") > 0)
+    j = text_matches(ck, targets.select("page_id", "target", F.col("target").alias("t_norm")).distinct(), ["page_id"])
     j = j.withColumn("score", F.lit(1.0) - (F.length("text") - F.length("target")) / F.length("text"))
     w = Window.partitionBy("page_id", "target").orderBy(F.desc("score"), "seq")
     best = j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("page_id", "target", "text")
@@ -127,7 +137,7 @@ def deepest_text_node(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     ck = ck.select("page_id", "owner", F.col("chunk.seq").alias("seq"), F.size("anc_ids").alias("depth"),
                    clean(F.col("chunk.text")).alias("norm")).filter(F.col("norm") != "")
     t = targets.withColumn("t_norm", F.regexp_replace(html_unescape(html_unescape(F.col("target"))), r"\s+", " "))
-    j = t.join(ck, "page_id").filter(F.contains("norm", "t_norm"))
+    j = text_matches(ck, t.select("page_id", "target", "t_norm").distinct(), ["page_id"])
     w = Window.partitionBy("page_id", "target").orderBy(F.desc("depth"), F.desc("seq"))
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(
         "page_id", "target", F.col("owner").alias("node_id"))

@@ -142,17 +142,12 @@ c AS (
   SELECT s.site,
          CASE WHEN regexp_extract(html, '(?s)<title>(.*?)</title>', 1) <> '' THEN 1 ELSE 0 END AS n_title,
          len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1)) AS n_nav,
-         CASE WHEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) <> '' THEN 1 ELSE 0 END AS n_ad,
-         -- the text search matches chunk text, which keeps newlines, against the
-         -- whitespace-collapsed annotation: only single-line ad texts yield candidates
-         CASE WHEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) NOT LIKE '%' || chr(10) || '%'
-              THEN 1 ELSE 0 END AS ad_findable
+         CASE WHEN regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) <> '' THEN 1 ELSE 0 END AS n_ad
   FROM pages p JOIN seeds s ON p.page_id = s.page_id WHERE s.rn <= 3),
 f AS (
   SELECT site, 'title' AS field, '/html/body/article/h1' AS program, CAST(sum(n_title) AS BIGINT) AS tp FROM c GROUP BY site
   UNION ALL SELECT site, 'nav', '/html/body/nav/ul/li/a', CAST(sum(n_nav) AS BIGINT) FROM c GROUP BY site
-  UNION ALL SELECT site, 'ad', '/html/body/div', CAST(sum(n_ad) AS BIGINT) FROM c GROUP BY site
-            HAVING sum(ad_findable) > 0)
+  UNION ALL SELECT site, 'ad', '/html/body/div', CAST(sum(n_ad) AS BIGINT) FROM c GROUP BY site)
 SELECT site, field, program, tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, tp AS n_extracted,
        round(2 * (tp / (tp + 1e-6)) * (tp / (tp + 1e-6)) / ((tp / (tp + 1e-6)) + (tp / (tp + 1e-6))), 6) AS f1
 FROM f"""
