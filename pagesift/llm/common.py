@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor sees."""
     app = spark.sparkContext.applicationId
-    return os.path.join(ensure_checkpoint_dir(spark), f"llm-{app}", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"llm-{app}", f"{name}-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -41,15 +45,67 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     lineage, survives lost executors, and lets later joins see real sizes."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+# paths of the open scopes, innermost last
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made inside are deleted at the end, but for those named to the function
+    it gives: tables from ``written`` or paths. These belong to the scope around it."""
+    kept: set = set()
+
+    def keep(*things):
+        kept.update(t if isinstance(t, str) else t.work_path for t in things)
+        return things[0] if things else None
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        made = _SCOPES.pop()
+        remove_folders(spark, [p for p in made if p not in kept])
+        if _SCOPES:
+            _SCOPES[-1].extend(p for p in made if p in kept)
+
+
+@contextmanager
+def noted(folders: list[str]):
+    """Note the folders made inside that outlive their scopes in ``folders``."""
+    _SCOPES.append(folders)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(folders)
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or back quotes."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def remove_work_tables(spark: SparkSession) -> None:
     """Delete what this application has written below the shared folder."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(
-        os.path.join(ensure_checkpoint_dir(spark), f"llm-{sc.applicationId}"))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folders(spark, [os.path.join(ensure_checkpoint_dir(spark), f"llm-{spark.sparkContext.applicationId}")])
 
 
 _HELD: dict = {}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import broadcast_if_small, prepare, shingle_hashes, table, written
+from pagesift.llm.common import broadcast_if_small, prepare, shingle_hashes, table, written, scratch, unused_name
 
 SHINGLE = 5
 PERCENT = 80
@@ -85,10 +85,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, that contain no test item."""
-    bad = written(find_leaks(docs, items, percent).select(
-        F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "contaminated")
+    d, t = unused_name(docs, "_d"), unused_name(docs, "_t")
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(written(find_leaks(docs, items, percent).select(
+            F.col("doc_id").alias(d), F.col("th").alias(t)).distinct(), "contaminated"))
     return docs.join(broadcast_if_small(bad, MAX_BROADCAST),
-                     F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")),
+                     F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)),
                      "left_anti")
 
 

@@ -22,6 +22,8 @@ from pagesift.llm.arrays import raw_bytes
 from pagesift.llm.common import fresh_path
 
 MANIFEST = "part int, first long, n long, file string"
+# rows that one file holds, and a task that writes one
+PART_ROWS = 1 << 20
 
 
 def _filesystem(path: str):
@@ -39,18 +41,31 @@ def save_array(path: str, a: np.ndarray) -> None:
 
 
 def map_array(path: str, dtype) -> np.ndarray:
-    """Memory-mapped array. A file in a remote store is first copied to the
-    worker's temporary folder, as a cache that any retry can make again."""
+    """Memory-mapped array. A file in a remote store is copied to the worker's
+    temporary folder and its name there removed as soon as it is mapped, so the space
+    is free again when the array is, and any retry can make the copy again."""
     fs, p = _filesystem(path)
     if not isinstance(fs, pafs.LocalFileSystem):
         local = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
         with fs.open_input_stream(p) as src, open(local, "wb") as dst:
             while block := src.read(1 << 22):
                 dst.write(block)
-        p = local
+        out = np.memmap(local, dtype=dtype, mode="r") if os.path.getsize(local) else np.empty(0, dtype)
+        os.unlink(local)
+        return out
     return np.memmap(p, dtype=dtype, mode="r") if os.path.getsize(p) else np.empty(0, dtype)
 
 
+def parts_for(rows: int) -> int:
+    """Range parts of a table of that many rows: their size does not grow with it."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def folder_of(manifest: list[tuple]) -> list[str]:
+    """The folder of a manifest's files, if it has any."""
+    return sorted({os.path.dirname(m[3]) for m in manifest})
+
+
 def write_sorted(df: DataFrame, key: str, cols: dict[str, str], parts: int, name: str) -> list[tuple]:
     """Store ``df`` sorted by ``key``; returns the manifest, one row per file.
 

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import _GOLD, batch_words, mix
-from pagesift.llm.common import release_worker_object, written
-from pagesift.llm.hash_store import SortedArrays, write_sorted
+from pagesift.llm.common import release_worker_object, scratch, written
+from pagesift.llm.hash_store import SortedArrays, folder_of, parts_for, write_sorted
 
 ORDER = 4
 START, END = 2, 3
@@ -43,11 +43,12 @@ def word_units(distinct: list[str]):
     """Character units of words, one after the other, each with its end unit.
 
     Returns (packed 4-grams as uint64 ending at each unit, index of its word).
-    A unit is a code point's low 16 bits; all digits count as ``0``."""
+    A unit is a code point of 16 bits, or for larger ones a place in the private use
+    area; all digits count as ``0``."""
     if not distinct:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     cp = np.frombuffer(("\n".join(distinct) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    unit = (cp & 0xFFFF).astype(np.uint64)
+    unit = np.where(cp > 0xFFFF, 0xE000 + cp % 0x18FF, cp).astype(np.uint64)
     unit[(cp >= 48) & (cp <= 57)] = 48
     ends = cp == 10
     unit[ends] = END
@@ -63,26 +64,46 @@ def word_units(distinct: list[str]):
     return gram, word
 
 
-def per_language_words(texts: pa.Array, langs: pa.Array):
-    """For each language of a batch: (language, codes, rows) and the distinct words."""
-    codes, row, distinct = batch_words(texts, lower=False)
+def per_language_words(texts: pa.Array, langs: pa.Array, split=None):
+    """For each language of a batch: (language, codes, rows) and the distinct words.
+    ``split`` are the batch's words, where they are known already."""
+    codes, row, distinct = split or batch_words(texts, lower=False)
     enc = pc.fill_null(langs, "").dictionary_encode()
     lang_of = enc.indices.to_numpy(zero_copy_only=False)[row]
     names = enc.dictionary.to_pylist()
     return [(n, codes[lang_of == i], row[lang_of == i]) for i, n in enumerate(names)], distinct
 
 
-def char_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the words of all ``docs`` (lang, text)."""
+def word_totals(docs: DataFrame) -> DataFrame:
+    """(lang, word, n): how often each word comes in the texts of a language; a null
+    language is ''."""
 
     def run(batches):
         release_worker_object()
-        total: dict[str, tuple] = {}
         for b in batches:
             groups, distinct = per_language_words(b.column(1), b.column(0))
             for lang, codes, _ in groups:
                 used, n = np.unique(codes, return_counts=True)
-                gram, word = word_units(distinct.take(pa.array(used)).to_pylist())
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()),
+                                                  "word": distinct.take(pa.array(used)), "n": pa.array(n.astype(np.int64))})
+
+    return (docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
+            .mapInArrow(run, "lang string, word string, n long")
+            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def char_counts(totals: DataFrame) -> DataFrame:
+    """(lang, gram, n) over the words of ``totals`` (lang, word, n)."""
+
+    def run(batches):
+        total: dict[str, tuple] = {}
+        for b in batches:
+            enc = b.column(0).dictionary_encode()
+            which, counts = enc.indices.to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            for i, lang in enumerate(enc.dictionary.to_pylist()):
+                at = np.flatnonzero(which == i)
+                gram, word = word_units(b.column(1).take(pa.array(at)).to_pylist())
+                n = counts[at]
                 have = total.get(lang, (np.empty(0, np.uint64), np.empty(0, np.int64)))
                 g, inv = np.unique(np.concatenate([have[0], gram]), return_inverse=True)
                 c = np.bincount(inv, np.concatenate([have[1], n[word]]), len(g)).astype(np.int64)
@@ -92,13 +113,12 @@ def char_counts(docs: DataFrame) -> DataFrame:
         for lang, (g, c) in total.items():
             yield _count_rows(lang, g, c)
 
-    return (docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-            .mapInArrow(run, "lang string, gram long, n long")
+    return (totals.select("lang", "word", "n").mapInArrow(run, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
 def _count_rows(lang, g, c):
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g)), "gram": pa.array(g.view(np.int64)),
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g.view(np.int64)),
                                        "n": pa.array(c)})
 
 
@@ -106,10 +126,20 @@ def _discount(c: Column, d: Column) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def char_model(docs: DataFrame, parts: int):
-    """Estimate and store the model; returns (manifest, {lang: p of an unknown unit})."""
-    level = written(char_counts(docs), "char-counts")
-    spark = docs.sparkSession
+def char_model(docs: DataFrame, parts: int | None = None, totals: DataFrame | None = None):
+    """Estimate and store the model of the words of ``docs``, or of ``totals`` where
+    they are counted already; returns (manifest, {lang: p of an unknown unit}). The
+    files are ``parts`` range parts, by default as many as the model's size asks for.
+    Work tables are gone when it returns."""
+    with scratch(docs.sparkSession) as keep:
+        manifest, unknown = _char_model(word_totals(docs) if totals is None else totals, parts)
+        keep(*folder_of(manifest))
+        return manifest, unknown
+
+
+def _char_model(totals: DataFrame, parts: int | None):
+    level = written(char_counts(totals), "char-counts")
+    spark = totals.sparkSession
     orders = {}
     for k in range(ORDER, 0, -1):  # continuation counts below the highest order
         orders[k] = level
@@ -172,7 +202,7 @@ def char_model(docs: DataFrame, parts: int):
                                               "gamma": b.column(4).cast(pa.float32())})
 
     manifest = write_sorted(model.mapInArrow(hashed, "key long, p float, gamma float"), "key",
-                            MODEL_COLS, parts, "char-model")
+                            MODEL_COLS, parts or parts_for(tables.count()), "char-model")
     return manifest, unknown
 
 

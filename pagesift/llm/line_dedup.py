@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import let, prepare, table, written
+from pagesift.llm.common import let, prepare, scratch, table, unused_name, written
 
 WINDOW = 3
 _BLANK = " \t\r\x0b\f"
@@ -66,14 +66,18 @@ def later_occurrences(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All documents, with all their columns, ``text`` without repeated lines, and
-    n_lines and n_removed (non-blank lines before, lines removed).
+    _n_lines and _n_removed (non-blank lines before, lines removed; with more
+    underscores where a column has that name).
 
     Blank lines stay. A null text stays null with counts 0; an empty one is
     unchanged. Rows that repeat an id and text are one document and come out
     alike; null ids sort first; an empty table gives no rows. A document whose
     lines all came before keeps its row, with an empty text."""
-    cover = later_occurrences(docs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "covered")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+    with scratch(docs.sparkSession) as keep:
+        cover = keep(written(later_occurrences(docs), "covered"))
+    n_lines, n_removed = unused_name(docs, "_n_lines"), unused_name(docs, "_n_removed")
+    cover = cover.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "covered")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("th"))
     rows = rows.join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
 
@@ -85,8 +89,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(let(_lines(), rest))
     out = [(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
-    return rows.select(*out, F.coalesce(F.size(_non_blank()), F.lit(0)).cast("long").alias("_n_lines"),
-                       F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("_n_removed"))
+    return rows.select(*out, F.coalesce(F.size(_non_blank()), F.lit(0)).cast("long").alias(n_lines),
+                       F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias(n_removed))
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import batch_words, word_hashes
-from pagesift.llm.common import fresh_path, prepare, table, written
-from pagesift.llm.hash_store import SortedArrays, map_array, save_array, write_sorted
+from pagesift.llm.common import fresh_path, prepare, scratch, table, written
+from pagesift.llm.hash_store import SortedArrays, folder_of, map_array, parts_for, save_array, write_sorted
 from pagesift.llm.kneser_ney import discounts
 
 # tokens per bigram shard: bounds the memory of the task that sorts one
@@ -60,11 +60,17 @@ class Languages:
         return (number.astype(np.uint64) << np.uint64(64 - self.bits)) | (hashes >> np.uint64(self.bits))
 
 
-def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None):
+def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None, split=None):
     """(token, row) of a batch: word hashes in order, each row closed by the end.
 
-    ``hashes_to`` maps the batch's distinct hashes to other numbers."""
-    codes, row, distinct = batch_words(texts, lower=True)
+    ``hashes_to`` maps the batch's distinct hashes to other numbers; ``split`` are the
+    batch's words as they stand, where they are known already."""
+    if split is None:
+        codes, row, distinct = batch_words(texts, lower=True)
+    else:
+        codes, row, distinct = split
+        lower = pc.ascii_lower(distinct).dictionary_encode()
+        codes, distinct = lower.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], lower.dictionary
     h = np.append(word_hashes(distinct), END_HASH)
     rows = len(texts)
     n = np.bincount(row, minlength=rows)
@@ -100,8 +106,9 @@ def _tokens_of(b: pa.RecordBatch, languages, hashes_to=None):
     return token_stream(b.column(0), hashes_to, b.column(1) if languages is not None else None, languages)
 
 
-def word_counts(docs: DataFrame, parts: int, languages=None):
-    """Manifest of (word hash, count), sorted; the end counts as a word."""
+def word_counts(docs: DataFrame, parts: int | None = None, languages=None, totals: DataFrame | None = None):
+    """Manifest of (word hash, count), sorted; the end counts as a word. ``totals``
+    (lang, word, n) stands for the texts' words, where they are counted already."""
 
     def run(batches):
         keys, counts, size = [], [], 0
@@ -120,10 +127,23 @@ def word_counts(docs: DataFrame, parts: int, languages=None):
         k, n = _summed(keys, counts)
         yield pa.RecordBatch.from_pydict({"w": pa.array(k), "n": pa.array(n)})
 
-    counts = _columns(docs, languages).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = written(counts, "words")
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    return write_sorted(counts, "w", WORD_COLS, parts, "word-array"), tokens, counts
+    def hashed(batches):
+        for b in batches:
+            h = word_hashes(pc.ascii_lower(b.column(1))) if b.num_rows else np.empty(0, np.uint64)
+            ends = pc.equal(b.column(1), "").to_numpy(zero_copy_only=False)  # no word is empty
+            h[ends] = END_HASH
+            yield pa.RecordBatch.from_pydict({"w": pa.array(languages.tagged(h, languages.of(b.column(0))).view(np.int64)),
+                                              "n": b.column(2)})
+
+    if totals is None:
+        counts = _columns(docs, languages).mapInArrow(run, "w long, n long")
+    else:
+        ends = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"))
+        counts = totals.select("lang", "word", "n").unionByName(ends.select("lang", F.lit("").alias("word"), "n")).mapInArrow(
+            hashed, "w long, n long")
+    counts = written(counts.groupBy("w").agg(F.sum("n").alias("n")), "words")
+    tokens, size = counts.agg(F.sum("n"), F.count("*")).first()
+    return write_sorted(counts, "w", WORD_COLS, parts or parts_for(size), "word-array"), tokens or 0, counts
 
 
 class Words:
@@ -137,10 +157,10 @@ class Words:
         return self.store.find(hashes.view(np.int64))
 
 
-def bigram_stream(texts: pa.Array, words: Words, langs=None, languages=None):
+def bigram_stream(texts: pa.Array, words: Words, langs=None, languages=None, split=None):
     """(first, second, row): unknown words have id -1. The id after the last word's
     opens each text; with languages, the end of the text's language does."""
-    tokens, row = token_stream(texts, words.ids, langs, languages)
+    tokens, row = token_stream(texts, words.ids, langs, languages, split)
     first = np.empty_like(tokens)
     first[1:] = tokens[:-1]
     opens = np.ones(len(tokens), dtype=bool)
@@ -198,7 +218,9 @@ def bigram_blocks(docs: DataFrame, manifest, shards: Shards, languages=None) ->
                     # differences of the sorted first words: mostly zeros, cheap to move
                     "first": pa.array([_blob(np.diff(first[part], prepend=0).astype("<u4"))], pa.binary()),
                     "second": pa.array([_blob(second[part].astype("<u4"))], pa.binary()),
-                    "n": pa.array([_blob(n[part].astype("<u4"))], pa.binary())})
+                    # one byte each; larger counts beside them
+                    "n": pa.array([_blob(np.minimum(n[part], 255).astype("u1"))], pa.binary()),
+                    "big": pa.array([_blob(n[part][n[part] >= 255].astype("<i8"))], pa.binary())})
 
     def run(batches):
         words, keys, counts, size = Words(manifest), [], [], 0
@@ -213,7 +235,7 @@ def bigram_blocks(docs: DataFrame, manifest, shards: Shards, languages=None) ->
                 keys, counts, size = [], [], 0
         yield from flush(keys, counts)
 
-    return _columns(docs, languages).mapInArrow(run, "shard int, first binary, second binary, n binary")
+    return _columns(docs, languages).mapInArrow(run, "shard int, first binary, second binary, n binary, big binary")
 
 
 _SHARD_OUT = "kind int, shard int, file string, ids binary, counts binary, coc array<long>, stats array<long>"
@@ -246,10 +268,12 @@ def bigram_shards(blocks: DataFrame, shards: Shards, starts: np.ndarray) -> Data
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = [], []
-        for r in t.select(["first", "second", "n"]).to_pylist():
+        for r in t.select(["first", "second", "n", "big"]).to_pylist():
             f = np.cumsum(np.frombuffer(r["first"], "<u4").astype(np.int64))
             keys.append((f << 32) | np.frombuffer(r["second"], "<u4"))
-            counts.append(np.frombuffer(r["n"], "<u4").astype(np.int64))
+            n = np.frombuffer(r["n"], "u1").astype(np.int64)
+            n[n == 255] = np.frombuffer(r["big"], "<i8")
+            counts.append(n)
         k, n = _summed(keys, counts)
         del keys, counts
         lo, hi = shards.range(shard)
@@ -300,12 +324,24 @@ def continuation_shards(rows: DataFrame, shards: Shards, starts: np.ndarray) ->
     return rows.filter("kind = 1").groupBy("shard").applyInArrow(run, _SHARD_OUT)
 
 
-def train(docs: DataFrame, parts: int, languages: Languages | None = None) -> dict:
+def train(docs: DataFrame, parts: int | None = None, languages: Languages | None = None,
+          totals: DataFrame | None = None) -> dict:
     """Count the model over ``docs`` (text, and lang with ``languages``); returns what
     a scorer needs: file names and a few numbers, whose count grows only with the
-    number of shards and languages."""
-    manifest, tokens, counts = word_counts(docs, parts, languages)
+    number of shards and languages. The words lie in ``parts`` range parts, by default
+    as many as they ask for. Work tables are gone when it returns."""
+    with scratch(docs.sparkSession) as keep:
+        model = _train(docs, parts, languages, totals)
+        files = [*model["files"].values(), *model["cont"].values()]
+        keep(*folder_of(model["words"]), *{os.path.dirname(f) for f in files})
+        return model
+
+
+def _train(docs: DataFrame, parts, languages: Languages | None, totals: DataFrame | None) -> dict:
+    manifest, tokens, counts = word_counts(docs, parts, languages, totals)
     size = sum(m[2] for m in manifest)
+    if size + 2 >= 1 << 31:
+        raise ValueError(f"{size} distinct words do not fit the 31 bits of a word id")
     n_shards = max(1, tokens // SHARD_TOKENS)
     share = max(1, tokens // n_shards)
     # at most n_shards words can hold more than a shard's share
@@ -426,12 +462,13 @@ class Scorer:
         low = self._discounted(self.continuations(second), d1) / max(1, c[3]) + base / (m["size"] + 1)
         return self._mixed(*self.counts(first, second), m["d2"][0], low)
 
-    def score_without_own(self, texts: pa.Array, langs: pa.Array):
+    def score_without_own(self, texts: pa.Array, langs: pa.Array, split=None):
         """(tokens, frequency score, model score) of each text under its language's
-        model, with the text's own counts taken out of all counts."""
+        model, with the text's own counts taken out of all counts; ``split`` are the
+        batch's words as they stand."""
         m, rows = self.m, len(texts)
         lang = m["languages"].of(langs)
-        first, second, row = bigram_stream(texts, self.words, langs, m["languages"])
+        first, second, row = bigram_stream(texts, self.words, langs, m["languages"], split)
         if not len(row):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         pairs, pair = np.unique(((first + 1) << 32) | (second + 1), return_inverse=True)
@@ -497,10 +534,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     unknown; an empty table gives no rows; other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out("doc_id").alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    model = train(rows.filter(~F.col("held_out")).select("text"), parts)
-    sent = spark.sparkContext.broadcast(model)  # file names and shard ranges only
+    model = train(rows.filter(~F.col("held_out")).select("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # file names and shard ranges only
 
     def run(batches):
         scorer = Scorer(sent.value)

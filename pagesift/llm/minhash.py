@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagesift.llm.arrays import _GOLD, batch_words, distinct_per_row, mix, raw_bytes, shingles, word_hashes
-from pagesift.llm.common import prepare, table, written
+from pagesift.llm.common import prepare, table, written, scratch
 from pagesift.llm.components import components
-from pagesift.llm.hash_store import SortedArrays, write_sorted
+from pagesift.llm.hash_store import SortedArrays, write_sorted, parts_for
 
 # 32 bands of 4 minima: a pair at 0.8 is missed with probability 5e-8
 BANDS, ROWS = 32, 4
@@ -122,8 +122,8 @@ def full_sets(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
     """(cls, shingles) for the given classes, from the whole texts. Tasks look the
     classes up in a memory-mapped array, so other texts' sets never leave them."""
     key = classes.select(F.xxhash64("cls").alias("key")).distinct()
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    manifest = write_sorted(key, "key", {}, parts, "wanted")
+    key = written(key, "wanted-keys")
+    manifest = write_sorted(key, "key", {}, parts_for(key.count()), "wanted")
 
     def run(batches):
         wanted, seen = SortedArrays(manifest, {}), set()
@@ -259,7 +259,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     are linked; repeated rows get equal results. A component with no doc_id at
     all has a null component_id; there, as for a null id alone, kept compares
     nulls as equal. An empty table gives no rows; other columns are ignored."""
-    rows = written(document_signatures(docs, n), "signatures")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(written(document_signatures(docs, n), "signatures"))
+        known = keep(_class_components(docs, rows, n, percent))
+    out = rows.select("doc_id", "th", "n_shingles", "cls").join(known, "cls", "left").withColumn(
+        "component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        "doc_id", "th", "n_shingles", "component_id", "kept")
+
+
+def _class_components(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, component_id) of the distinct sets of signature rows, written."""
     classes = written(rows.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         *[F.first(s).alias(s) for s in SIGS]), "classes")
@@ -267,20 +277,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     of = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = written(of.join(ids, "root").select("cls", "component_id"), "class-components")
-    out = rows.select("doc_id", "th", "n_shingles", "cls").join(known, "cls", "left").withColumn(
-        "component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "doc_id", "th", "n_shingles", "component_id", "kept")
+    return written(of.join(ids, "root").select("cls", "component_id"), "class-components")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns; documents without words
     all stay. Of rows that repeat the kept id and text, one stays."""
-    verdict = written(near_duplicates(docs, n, percent).filter("kept")
-                      .groupBy("doc_id", "th").agg(F.max("n_shingles").alias("words")), "kept")
+    with scratch(docs.sparkSession) as keep:
+        verdict = keep(written(near_duplicates(docs, n, percent).filter("kept")
+                               .groupBy("doc_id", "th").agg(F.max("n_shingles").alias("words")), "kept"))
     verdict = verdict.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "words")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"),
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"),
                        F.xxhash64("text").alias("_hash"))
     rows = rows.join(verdict, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
     blank = F.when(F.col("words") == 0, F.monotonically_increasing_id())

@@ -27,15 +27,14 @@ from pyspark.sql import functions as F
 from pagesift.llm import double_array
 from pagesift.llm.arrays import mix
 from pagesift.llm.common import broadcast_if_small, fresh_path, prepare, release_worker_object, table, written
-from pagesift.llm.hash_store import SortedArrays, map_array, save_array, write_sorted
+from pagesift.llm.hash_store import SortedArrays, map_array, parts_for, save_array, write_sorted
 
 # piece ends; other ASCII white space separates words
 ENDS = r"[.,;:!?\n-\r]+"
 UNKNOWN_LANG = "und"
 # ids that a task looks at together
 CHUNK = 4 << 20
-# words of one vocabulary file, phrase occurrences of one filter shard, phrases of one trie
-PART_WORDS = 1 << 20
+# phrase occurrences of one filter shard, phrases of one trie
 FILTER_SHARD = 2 << 20
 TRIE_PHRASES = 100_000
 # first ranking: sub-groups of a language; copies of a word that phrases meet
@@ -454,7 +453,7 @@ def mine_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, conta
     langs = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
     frequent = counts.filter(F.col("n") >= min_count)
     size, total = frequent.agg(F.count("*"), F.sum("n")).first()
-    manifest = write_vocabulary(frequent, max(1, -(-size // PART_WORDS)), "phrase-vocabulary")
+    manifest = write_vocabulary(frequent, parts_for(size), "phrase-vocabulary")
     words = max(1, size)
     ids = written(encoded(docs, manifest), "phrase-ids")
     levels: dict[int, Level] = {}

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.arrays import _GOLD, batch_words, mix
-from pagesift.llm.common import broadcast_if_small, prepare, table, worker_object, written
-from pagesift.llm.kneser_ney import CharModel, char_model, per_language_words
+from pagesift.llm.common import broadcast_if_small, prepare, scratch, table, worker_object, written
+from pagesift.llm.kneser_ney import CharModel, char_model, per_language_words, word_totals
 from pagesift.llm.lm_score import Languages, Scorer, train
 
 MIN_WORDS = 50
@@ -78,14 +78,15 @@ def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel, word_model
     n_words = np.bincount(row, minlength=rows)
     chars = np.bincount(row, pc.utf8_length(distinct).to_numpy(zero_copy_only=False)[codes], rows)
     logs, units = np.zeros(rows), np.zeros(rows)
-    groups, distinct = per_language_words(texts, langs)
+    split = codes, row, distinct
+    groups, distinct = per_language_words(texts, langs, split)
     for lang, c, r in groups:
         used, inv = np.unique(c, return_inverse=True)
         w_log, w_units = model.word_logs(lang, distinct.take(pa.array(used)).to_pylist())
         logs += np.bincount(r, w_log[inv], rows)
         units += np.bincount(r, w_units[inv], rows)
     ppl = pa.array(np.where(units > 0, -logs / np.maximum(units, 1), 0), mask=units == 0)
-    tokens, plain, scores = word_model.score_without_own(texts, langs)
+    tokens, plain, scores = word_model.score_without_own(texts, langs, split)
     empty, tokens = n_words == 0, np.maximum(tokens, 1)
     doubles = [ppl, pa.array(-scores / tokens, mask=empty), pa.array((scores - plain) / tokens, mask=empty)]
     ints = (n_words, chars, pc.count_substring_regex(texts, SYMBOLS).to_numpy(zero_copy_only=False),
@@ -128,10 +129,20 @@ def perplexity_bands(scored: DataFrame) -> DataFrame:
 
 
 def _model(docs: DataFrame):
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    manifest, unknown = char_model(docs, parts)
+    """Both models, from two passes over the texts: words counted once for both, then
+    bigrams."""
+    totals = written(word_totals(docs), "word-totals")
+    manifest, unknown = char_model(docs, totals=totals)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return manifest, unknown, train(rows, parts, Languages(x or "" for x in unknown))
+    return manifest, unknown, train(rows, None, Languages(x or "" for x in unknown), totals)
+
+
+def _scored(docs: DataFrame, rows) -> tuple[DataFrame, DataFrame]:
+    """``rows(measures)`` with the documents' measures, written, and the bands. The
+    models are gone when it returns."""
+    with scratch(docs.sparkSession) as keep:
+        scored = keep(written(rows(measures(_model(docs))), "quality"))
+        return scored, keep(written(perplexity_bands(scored), "bands"))
 
 
 def _verdict(scored: DataFrame, bands: DataFrame) -> DataFrame:
@@ -148,21 +159,19 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, the measures, its language's bands,
     base_failed and kept.
 
-    Null text counts as empty: no words, base_failed. A null language is a
-    language of its own. Repeated rows are judged alike; an empty table gives no
+    Null text counts as empty: no words, base_failed. A null language is the
+    language ''. Repeated rows are judged alike; an empty table gives no
     rows; other columns are ignored. A language none of whose documents pass the
     base rules has no bands."""
-    model = _model(docs)
-    scored = written(docs.select("doc_id", "lang", measures(model).alias("m")).select("doc_id", "lang", "m.*"), "quality")
-    return _verdict(scored, written(perplexity_bands(scored), "bands"))
+    return _verdict(*_scored(docs, lambda m: docs.select("doc_id", "lang", m.alias("m")).select("doc_id", "lang", "m.*")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns. Measured once and
     judged row by row: no join on ids, so repeated and null ids are safe."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang"), measures(_model(docs)).alias("m"))
-    scored = written(rows.select("row", "lang", "m.*"), "quality")
-    return _verdict(scored, written(perplexity_bands(scored), "bands")).filter("kept").select("row.*")
+    scored = _scored(docs, lambda m: docs.select(F.struct("*").alias("row"), F.col("lang"), m.alias("m"))
+                     .select("row", "lang", "m.*"))
+    return _verdict(*scored).filter("kept").select("row.*")
 
 
 def op9_quality(spark, sf_dir):
