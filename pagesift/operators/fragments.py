@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.htmltree import INLINE_TAGS
 from pagesift.functions.text import py_strip, token_count
+from pagesift.operators.clean import _tag_tokens
 from pagesift.operators.dom import chunks, render_lines
 
 # ---- fixed values: container tags for the element weight (T15) ----------
@@ -42,7 +43,11 @@ def token_rows(nodes: DataFrame, tok=token_count) -> DataFrame:
         "page_id", "node_id", "parent_id", "child_ord", "depth", "tag", "xpath",
         F.coalesce(F.length(F.col("attrs")["class"]) > 0, F.lit(False)).alias("has_class"),
         tok(py_strip(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("own_text"),
-        tok(el).cast("long").alias("el_tokens")).withColumn(
+        tok(el).cast("long").alias("el_tokens"),
+        # serialized size: the tag as it stands, its text, the text after it; and of the empty tag
+        (_tag_tokens(F.col("tag"), F.col("attrs"), tok) + tok(F.coalesce("text", F.lit("")))).cast("long").alias("ser"),
+        tok(F.coalesce("tail", F.lit(""))).cast("long").alias("tail_tokens"),
+        _tag_tokens(F.col("tag"), F.create_map().cast("map<string,string>"), tok).cast("long").alias("bare")).withColumn(
         "tag_weight", tag_weight(F.col("tag"), F.col("has_class")))
 
 
@@ -56,7 +61,7 @@ class _Tree:
         for r in pdf.itertuples():
             self.kids.setdefault(r.parent_id, []).append(r.node_id)
         self.root = self.kids.get(-1, [None])[0]
-        self.text, self.html, self.parent = {}, {}, {}
+        self.text, self.html, self.ser, self.parent, self.log = {}, {}, {}, {}, []
         order = []
         stack = [self.root] if self.root is not None else []
         while stack:
@@ -70,15 +75,33 @@ class _Tree:
             cs = self.kids.get(n, [])
             self.text[n] = r.own_text + sum(self.text[c] for c in cs)
             self.html[n] = r.own_text + r.el_tokens + sum(self.html[c] for c in cs)
+            self.ser[n] = r.ser + r.tail_tokens + sum(self.ser[c] for c in cs)
 
     def remove(self, n):
-        """Cut a subtree; every ancestor shrinks by its text and its html."""
+        """Cut a subtree; every ancestor shrinks by its text and its html. In the
+        serialized page its empty tag and the text after it stay; returns by how much
+        that shrinks."""
         above = [self.parent.pop(n)]
-        self.kids[above[0]].remove(n)
+        place = self.kids[above[0]].index(n)
+        del self.kids[above[0]][place]
         while above[-1] in self.parent:
             above.append(self.parent[above[-1]])
-        for size in (self.text, self.html):
-            size.update({a: size[a] - size[n] for a in above})
+        drop = self.ser[n] - self.rows[n].tail_tokens - self.rows[n].bare
+        for size, less in ((self.text, self.text[n]), (self.html, self.html[n]), (self.ser, drop)):
+            for a in above:
+                size[a] -= less
+        self.log.append((n, place, above, drop))
+        return drop
+
+    def restore(self):
+        """Undo all removals, the last first."""
+        while self.log:
+            n, place, above, drop = self.log.pop()
+            for size, more in ((self.text, self.text[n]), (self.html, self.html[n]), (self.ser, drop)):
+                for a in above:
+                    size[a] += more
+            self.kids[above[0]].insert(place, n)
+            self.parent[n] = above[0]
 
     def heavy_descent(self, small_enough):
         """Nodes on the way down along the child of most text (the earliest of
@@ -141,8 +164,9 @@ def _heaviest(tr: "_Tree", max_depth, max_width, total, max_text_tokens):
     return best[tr.root]
 
 
-def _fragments(pdf: pd.DataFrame, until_html_tokens: int, max_text_tokens: int):
-    tr = _Tree(pdf)
+def _fragments(tr: "_Tree", until_html_tokens: int, max_text_tokens: int):
+    """(path, text tokens, html tokens, weight, drop of the serialized size) of each
+    fragment; the last row is the rest, with a null weight and the size left."""
     out = []
     if tr.root is None:
         return out
@@ -153,9 +177,8 @@ def _fragments(pdf: pd.DataFrame, until_html_tokens: int, max_text_tokens: int):
         w, n = _heaviest(tr, max_depth, max_width, total, max_text_tokens)
         if tr.depth_of(n) <= 1 or w == 0:
             break
-        out.append((tr.rows[n].xpath, tr.text[n], tr.html[n], w))
-        tr.remove(n)
-    out.append((tr.rows[tr.root].xpath, tr.text[tr.root], tr.html[tr.root], None))
+        out.append((tr.rows[n].xpath, tr.text[n], tr.html[n], w, tr.remove(n)))
+    out.append((tr.rows[tr.root].xpath, tr.text[tr.root], tr.html[tr.root], None, tr.ser[tr.root]))
     return out
 
 
@@ -166,7 +189,7 @@ def split_fragments(nodes: DataFrame, until_html_tokens: int = 16384,
     rows = token_rows(nodes, tok)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        frs = _fragments(pdf, until_html_tokens, max_text_tokens)
+        frs = _fragments(_Tree(pdf), until_html_tokens, max_text_tokens)
         pid = pdf["page_id"].iloc[0]
         return pd.DataFrame({
             "page_id": [pid] * len(frs), "seq": list(range(1, len(frs) + 1)),
@@ -177,6 +200,28 @@ def split_fragments(nodes: DataFrame, until_html_tokens: int = 16384,
     return rows.groupBy("page_id").applyInPandas(fn, FRAGMENT_SCHEMA.format(key=_key_type(rows)))
 
 
+SWEEP_SCHEMA = ("page_id {key}, fragment_count long, fragment_tokens array<long>, final_tokens long, "
+                "until_html_tokens int, max_text_tokens int")
+
+
+def sweep_fragments(nodes: DataFrame, grid: list[tuple[int, int]], tok=token_count) -> DataFrame:
+    """Z8 + W12: the split for every (until_html_tokens, max_text_tokens) of ``grid``
+    in one grouped map: a page's tree is built once and restored between the grid
+    points. ``fragment_tokens`` are the drops of the serialized size after each
+    removal, ``final_tokens`` what is left."""
+    rows = token_rows(nodes, tok)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree, pid, out = _Tree(pdf), pdf["page_id"].iloc[0], []
+        for until, most in grid if tree.root is not None else []:
+            *frs, rest = _fragments(tree, until, most)
+            tree.restore()
+            out.append((pid, len(frs), [int(f[4]) for f in frs], int(rest[4]), until, most))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SWEEP_SCHEMA.split(", ")])
+
+    return rows.groupBy("page_id").applyInPandas(fn, SWEEP_SCHEMA.format(key=_key_type(rows)))
+
+
 def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
                  tok=token_count) -> DataFrame:
     """Repeatedly remove the node found by descending into the

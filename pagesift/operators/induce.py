@@ -11,10 +11,13 @@ aggregates keyed by page or (site, field).
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import normalize_text
+from pagesift.functions.xpath_steps import aligned, last_test, strip_positions
 from pagesift.operators.dom import texts
 from pagesift.operators.metrics import guarded_f1, membership_counts
 from pagesift.operators.textsearch import one_line, text_matches
@@ -124,8 +127,33 @@ def candidate_programs(nodes: DataFrame, ann: DataFrame, profile: dict | None =
 def generalize(programs: DataFrame) -> DataFrame:
     """Index-free variant of each positional candidate (``li[2]`` -> ``li``),
     so one program can cover a repeated field (U8-style widening)."""
-    g = programs.withColumn("program", F.regexp_replace("program", r"\[\d+\]", ""))
-    return programs.unionByName(g)
+    return programs.unionByName(programs.withColumn("program", strip_positions(F.col("program"))))
+
+
+# ---- J16 / X16: programs from single seeds, pairs and triples -------------------
+def compositions(n: int = 3) -> list[tuple[int, ...]]:
+    """Seed combinations: singles, pairs and so on up to all ``n``."""
+    return [c for k in range(1, n + 1) for c in combinations(range(n), k)]
+
+
+def seed_programs(cands: DataFrame, seeds: DataFrame, keys: list[str], n_seeds: int = 3) -> DataFrame:
+    """J16 + X16: one program per (keys, field, last tag, composition) of seeds.
+
+    ``cands``: (page_id, field, program); ``seeds``: (page_id, keys, pos), pos from
+    0. A seed's programs that end in the same tag are aligned to one; so the work
+    grows with the seeds' values, not with pairs of them. Then each composition's
+    programs are aligned; a composition without a common program is left out.
+    Columns: keys, field, last, composition (``0+2``), program."""
+    own = (cands.select("page_id", "field", "program").distinct().join(seeds.select("page_id", *keys, "pos"), "page_id")
+           .withColumn("last", last_test(F.col("program")))
+           .groupBy(*keys, "field", "last", "pos").agg(F.sort_array(F.collect_set("program")).alias("ps"))
+           .withColumn("program", aligned(F.col("ps"))).filter("program IS NOT NULL"))
+    rows = own.groupBy(*keys, "field", "last").agg(F.map_from_entries(F.collect_list(F.struct("pos", "program"))).alias("of"))
+    each = F.array(*[F.struct(F.lit("+".join(map(str, c))).alias("composition"),
+                              F.array(*[F.try_element_at("of", F.lit(p)) for p in c]).alias("ps")) for c in compositions(n_seeds)])
+    rows = rows.select(*keys, "field", "last", F.explode(each).alias("c")).select(*keys, "field", "last", "c.*")
+    rows = rows.filter(~F.exists("ps", lambda p: p.isNull()))
+    return rows.withColumn("program", aligned(F.col("ps"))).filter("program IS NOT NULL").drop("ps")
 
 
 def score_programs(nodes: DataFrame, cands: DataFrame, ann: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,6 +186,44 @@ def best_by_seed_coverage(scored_pages: DataFrame, keys: list[str]) -> DataFrame
     return g.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
+def refine(nodes: DataFrame, seeds: DataFrame, ann: DataFrame, keys: list[str], rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Programs derived from the feedback on the last ones, at most
+    ``rounds`` times; each round looks only at what the one before it brought.
+
+    First come the programs of a site's first seed that has the field. A program that
+    misses values on a seed is aligned with the paths of these values there; one that
+    only adds values gives way to the paths with ids and classes of that seed. A
+    program that was tried before is not tried again. ``seeds``: (page_id, keys, pos).
+    Returns (tried: keys, field, program, try_seq; feedback rows with keys)."""
+    matched = matched_chunks(nodes, ann).checkpoint(eager=True)
+    of = lambda profile: candidate_programs(nodes, ann, profiles=[profile], matched=matched).checkpoint(eager=True)
+    plain, exact = of(EXTRACT), of(INFER)
+    single = seed_programs(plain, seeds, keys).filter(~F.contains("composition", F.lit("+")))
+    first = F.min("composition").over(Window.partitionBy(*keys, "field"))
+    new = single.withColumn("_first", first).filter("composition = _first").select(*keys, "field", "program").distinct()
+    tried = fbs = None
+    for r in range(rounds + 1):
+        new = new.withColumn("try_seq", F.lit(r + 1)).checkpoint(eager=True)
+        res = apply_programs(nodes, new.drop("try_seq"), keys, ["field"], "program", None)
+        fb = feedback(res, ann).join(seeds.select("page_id", *keys), "page_id").checkpoint(eager=True)
+        tried = new if tried is None else tried.unionByName(new)
+        fbs = fb if fbs is None else fbs.unionByName(fb)
+        if r == rounds or fb.isEmpty():
+            break
+        g = [*keys, "field", "program", "page_id"]
+        missed = (fb.select(*g, F.explode("missing").alias("v")).withColumn("target", normalize_text(F.col("v")))
+                  .join(plain.select("page_id", "field", "target", F.col("program").alias("path")), ["page_id", "field", "target"])
+                  .withColumn("same", last_test(F.col("program")) == last_test(F.col("path"))))
+        wider = missed.filter("same").groupBy(*g).agg(F.sort_array(F.collect_set("path")).alias("paths")).select(
+            *keys, "field", aligned(F.concat(F.array("program"), "paths")).alias("program"))
+        other = missed.filter("NOT same").select(*keys, "field", F.col("path").alias("program"))
+        narrow = fb.filter(F.size("missing") == 0).select(*keys, "field", "page_id").join(
+            exact.select("page_id", "field", "program"), ["page_id", "field"]).select(*keys, "field", "program")
+        new = (wider.unionByName(other).unionByName(narrow).filter("program IS NOT NULL").distinct()
+               .join(tried.select(*keys, "field", "program"), [*keys, "field", "program"], "left_anti"))
+    return tried, fbs
+
+
 def feedback(results: DataFrame, ann: DataFrame) -> DataFrame:
     """One row per (page, field, program) that misses or adds values, only
     for pages annotated with values for the field; ``invalid`` programs too."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators.dom import within
 from pagesift.operators.relational import prefix_dedup
-from pagesift.operators.clean import _tag_tokens
+from pagesift.operators.clean import _tag_tokens, sanitize, serialize
 from pagesift.functions.text import token_count
 
 
@@ -67,7 +67,11 @@ def condense(nodes: DataFrame, includes: DataFrame) -> DataFrame:
     """T20 (Algorithm 2): keep include nodes, their ancestors and contents;
     siblings of the kept spine become "..." stubs (children removed, text and
     tail replaced by "..." when present); everything else goes."""
-    c = classify_condense(nodes, includes).filter(F.col("role") != "dropped")
+    return _dotted(classify_condense(nodes, includes).filter(F.col("role") != "dropped"))
+
+
+def _dotted(c: DataFrame) -> DataFrame:
+    """Stubs (by ``role``) with "..." for text and tail and nothing inside."""
     stub = F.col("role") == "stub"
     dots = lambda col: F.when(stub & F.col(col).isNotNull(), F.lit("...")).otherwise(F.col(col))
     return c.withColumn("text", dots("text")).withColumn("tail", dots("tail")).withColumn(
@@ -130,39 +134,77 @@ def budget_keep(child_ord, cum_before, req):
     return (child_ord == 1) | (cum_before <= req)
 
 
-def prune_by_budget(nodes: DataFrame, max_tokens: int, tok=token_count,
-                    max_depth: int | None = None) -> DataFrame:
+def prune_by_budget(nodes: DataFrame, max_tokens: int, tok=token_count) -> DataFrame:
     """Keep the left part of the page within ``max_tokens``.
 
-    From the root down: a node over budget keeps its children while the
-    running total before each child fits the budget left after its own
-    tokens (the first overflowing child is kept too) and the walk continues
-    into that overflowing child. Running totals are one window over
-    (page, parent); the walk is a level loop over depth, each level a join
-    of one chain node per page with the precomputed child table.
-    """
-    st = subtree_tokens(nodes, tok)
-    w = Window.partitionBy("page_id", "parent_id").orderBy("child_ord").rowsBetween(
-        Window.unboundedPreceding, -1)
-    kids = nodes.select("page_id", "node_id", "parent_id", "child_ord", "end_id").join(
-        st, ["page_id", "node_id"]).withColumn("cum_before", F.coalesce(F.sum("sub_tokens").over(w), F.lit(0)))
-    depth = max_depth if max_depth is not None else nodes.agg(F.max("depth")).first()[0] or 0
-    chain = st.join(nodes.filter(F.col("parent_id") == -1).select("page_id", "node_id"),
-                    ["page_id", "node_id"]).select("page_id", "node_id", "own", "sub_tokens",
-                                                   F.lit(max_tokens).alias("budget"))
-    removed = []
-    for _ in range(depth):
-        over = chain.filter(F.col("sub_tokens") > F.col("budget")).select(
-            "page_id", F.col("node_id").alias("parent_id"), (F.col("budget") - F.col("own")).alias("req"))
-        c = kids.join(over, ["page_id", "parent_id"])
-        c = c.withColumn("keep", budget_keep(F.col("child_ord"), F.col("cum_before"), F.col("req")))
-        removed.append(c.filter(~F.col("keep")).select("page_id", "node_id", "end_id"))
-        wl = Window.partitionBy("page_id", "parent_id").orderBy(F.desc("child_ord"))
-        nxt = c.filter("keep").withColumn("_r", F.row_number().over(wl)).filter("_r = 1")
-        chain = nxt.select("page_id", "node_id", "own", "sub_tokens",
-                           (F.col("req") - F.col("cum_before")).alias("budget"))
-    if not removed:
-        return nodes
-    from functools import reduce
-    roots = reduce(lambda a, b: a.unionByName(b), removed)
-    return _inside(nodes, roots, "left_anti")
+    From the root down, a node over its budget keeps its children while the
+    running total before each child fits what is left after its own tokens (the
+    first overflowing child is kept too), and the walk goes on in that child.
+    Budgets add up along the walk: what is left at a node is ``max_tokens`` less
+    the tokens of all nodes before it in document order. So one running total per
+    page decides all levels at once: a node goes if it is not its parent's first
+    child and more than ``max_tokens`` come before it, or if an ancestor goes."""
+    own = (_tag_tokens(F.col("tag"), F.col("attrs"), tok) + tok(F.coalesce("text", F.lit("")))
+           + tok(F.coalesce("tail", F.lit(""))))
+    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    st = nodes.select("page_id", "node_id", "parent_id", "child_ord", own.alias("own")).withColumn(
+        "cum_before", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    gone = st.filter((F.col("parent_id") >= 0) & ~budget_keep(F.col("child_ord"), F.col("cum_before"), F.lit(max_tokens)))
+    return _inside(nodes, gone, "left_anti")
+
+
+# ---- X8 / X19: condensed snippets ------------------------------------------------
+def virtual_tree(nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of each (page, keys) group and the lowest common ancestors of
+    neighbours in document order, which are all the branching points of the paths
+    between members. Columns: page_id, keys, node_id, parent (the nearest ancestor
+    in the tree, null for its root), is_member."""
+    g = ["page_id", *keys]
+    m = members.select(*g, "node_id").distinct().join(nodes.select("page_id", "node_id", "anc_ids"), ["page_id", "node_id"])
+    prev = F.lag("anc_ids").over(Window.partitionBy(*g).orderBy("node_id"))
+    both = m.withColumn("_prev", prev)
+    # ancestors shared with the member before: a common prefix of the two lists
+    lca = F.array_max(F.array_intersect("anc_ids", "_prev"))
+    rows = both.select(*g, F.explode(F.array_compact(F.array(
+        F.struct(F.col("node_id"), F.lit(True).alias("is_member")),
+        F.when(F.col("_prev").isNotNull(), F.struct(lca.alias("node_id"), F.lit(False).alias("is_member")))))).alias("v"))
+    tree = rows.select(*g, "v.*").groupBy(*g, "node_id").agg(F.max("is_member").alias("is_member"))
+    ids = tree.groupBy(*g).agg(F.collect_set("node_id").alias("_ids"))
+    out = tree.join(nodes.select("page_id", "node_id", "anc_ids"), ["page_id", "node_id"]).join(ids, g)
+    above = F.array_max(F.array_intersect(F.slice("anc_ids", 1, F.size("anc_ids") - 1), "_ids"))
+    return out.select(*g, "node_id", above.alias("parent"), "is_member")
+
+
+def snippet_nodes(nodes: DataFrame, includes: DataFrame, keys: list[str]) -> DataFrame:
+    """T20 per (page, keys) group of include nodes: the kept nodes with ``role``
+    (spine, inside, stub); a node comes once for each group that keeps it.
+
+    The spine are the ancestors of the group's virtual tree: between its root and
+    its members this is the union of the members' pairwise paths."""
+    g = ["page_id", *keys]
+    inc = includes.select(*g, "node_id").distinct().join(nodes.select("page_id", "node_id", "anc_ids"), ["page_id", "node_id"])
+    sets = inc.groupBy(*g).agg(F.collect_set("node_id").alias("_inc"),
+                               F.array_distinct(F.flatten(F.collect_list("anc_ids"))).alias("_spine"))
+    n = nodes.join(sets, "page_id")
+    strict = F.slice("anc_ids", 1, F.size("anc_ids") - 1)
+    role = (F.when(F.array_contains("_spine", F.col("node_id")), "spine").when(F.arrays_overlap(strict, F.col("_inc")), "inside")
+            .when(F.array_contains("_spine", F.col("parent_id")), "stub"))
+    return n.withColumn("role", role).filter("role IS NOT NULL").drop("_inc", "_spine")
+
+
+def condensed_snippets(nodes: DataFrame, targets: DataFrame, cues: DataFrame | None = None) -> DataFrame:
+    """One condensed snippet per (page, field) with targets: their nodes and the
+    cue's (X19: none, without cues), with ancestors and contents; siblings of the
+    spine as "..." stubs; light-sanitized. ``targets`` and ``cues``: (page_id, field,
+    node_id). Columns: page_id, field, n_targets, n_cues, n_nodes, html."""
+    g = ["page_id", "field"]
+    t = targets.select(*g, "node_id").distinct()
+    c = t.limit(0) if cues is None else cues.select(*g, "node_id").distinct().join(t.select(*g).distinct(), g, "left_semi")
+    kept = _dotted(snippet_nodes(nodes, t.unionByName(c), ["field"]))
+    # a group takes the page's place: sanitizing and serializing are keyed by it
+    keyed = kept.withColumn("page_id", F.struct("page_id", "field")).drop("field", "role")
+    html = serialize(sanitize(keyed, "light").checkpoint(eager=True)).select("page_id.*", "html")
+    n = kept.groupBy(*g).agg(F.count("*").alias("n_nodes"))
+    count = lambda df, name: df.groupBy(*g).agg(F.count("*").alias(name))
+    return (html.join(n, g).join(count(t, "n_targets"), g).join(count(c, "n_cues"), g, "left").fillna(0, ["n_cues"])
+            .select(*g, "n_targets", "n_cues", "n_nodes", "html"))

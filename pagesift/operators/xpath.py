@@ -139,6 +139,24 @@ def _string_values(nodes: DataFrame, cand: DataFrame, keys: list[str]) -> DataFr
 BROADCAST_PROGRAM_CHARS = 2_000_000
 
 
+def _salted(nodes: DataFrame, programs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt beside ``keys``: pages of a key that alone holds more
+    than one task's share are dealt over as many salts as shares, and only such a
+    key's programs are repeated for each. A page has one salt, so nothing is joined
+    twice. At most as many keys as shuffle partitions can be that large."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = nodes.filter(F.col("node_id") == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = pages.agg(F.sum("_n")).first()[0] or 0
+    share = max(1, total // parts)
+    hot = pages.filter(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_k")).checkpoint(eager=True)
+    if hot.isEmpty():
+        return nodes, programs, []
+    hot, one = F.broadcast(hot), F.coalesce("_k", F.lit(1))  # at most ``parts`` rows
+    dealt = nodes.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("page_id"), one).cast("int")).drop("_k")
+    copies = programs.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_k")
+    return dealt, copies, ["_salt"]
+
+
 def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
                    prog_cols: list[str], program_col: str = "program",
                    lang_col: str | None = "lang", broadcast_programs: bool | None = None) -> DataFrame:
@@ -157,6 +175,9 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     if broadcast_programs is None:
         chars = cp.agg(F.sum(F.length(program_col))).first()[0] or 0
         broadcast_programs = chars <= BROADCAST_PROGRAM_CHARS
+    if not broadcast_programs:
+        nodes, cp, salted = _salted(nodes, cp, match_cols)
+        match_cols = match_cols + salted
     prog = F.broadcast(cp) if broadcast_programs else cp
     roots = nodes.filter(F.col("node_id") == 0).select(
         "page_id", *match_cols, F.col("end_id").alias("root_end"))
@@ -368,7 +389,7 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
     if "general" in modes:
         done.append(front.select(*keys, "br", "steps", "node_id", *payload, F.lit(n_steps).alias("i")))
     if not done:   # only invalid programs
-        return base.select(*keys, *[c for c in match_cols if c not in keys],
+        return base.select(*keys, *[c for c in match_cols if c not in (*keys, "_salt")],
                            F.array().cast("array<string>").alias("values"), F.col("invalid"))
     res = reduce(lambda x, y: x.unionByName(y), done).filter(F.col("node_id") >= 0)
     css = None
@@ -376,9 +397,9 @@ def apply_programs(nodes: DataFrame, programs: DataFrame, match_cols: list[str],
         css = cp.select(*pcols, (F.col(lang_col) == "css").alias("is_css")).distinct()
         css = F.broadcast(css) if broadcast_programs else css
     values = _terminal_values(nodes, res, keys, kinds, css, pcols)
-    out = base.select(*keys, *[c for c in match_cols if c not in keys], "invalid").join(
+    out = base.select(*keys, *[c for c in match_cols if c not in (*keys, "_salt")], "invalid").join(
         values, keys, "left")
-    return out.select(*keys, *[c for c in match_cols if c not in keys],
+    return out.select(*keys, *[c for c in match_cols if c not in (*keys, "_salt")],
                       F.coalesce("values", F.array().cast("array<string>")).alias("values"),
                       F.col("invalid"))
 

@@ -61,19 +61,8 @@ def q_fragment_sweep(spark, d):
     prepare(spark)
     nodes = _nodes_once(spark, d)
     pick = sampling.sample_per_group(keyed_pages(spark, d).select("site", "page_id"), ["site"], 16)
-    base = clean.sanitize(nodes.join(pick.select("page_id"), "page_id", "left_semi"),
-                          "light").checkpoint(eager=True)   # read by all nine grid points
-    out = None
-    for until in (1024, 2048, 3072):
-        for mx in (256, 512, 1024):
-            fr = fragments.split_fragments(base, until, mx).groupBy("page_id").agg(
-                F.count_if(~F.col("is_rest")).alias("fragment_count"),
-                F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_rest"), F.struct("seq", "html_tokens")))),
-                            lambda x: x.html_tokens).alias("fragment_tokens"),  # in order of removal
-                F.max(F.when(F.col("is_rest"), F.col("html_tokens"))).alias("final_tokens")).withColumn(
-                "until_html_tokens", F.lit(until)).withColumn("max_text_tokens", F.lit(mx))
-            out = fr if out is None else out.unionByName(fr)
-    return out
+    base = clean.sanitize(nodes.join(pick.select("page_id"), "page_id", "left_semi"), "light")
+    return fragments.sweep_fragments(base, [(until, most) for until in (1024, 2048, 3072) for most in (256, 512, 1024)])
 
 
 def q_remove_until(spark, d):
@@ -158,28 +147,6 @@ def q_sanitize_loss(spark, d):
     return stats.failure_rates(ok, ["site"], ~F.col("kept_all"))
 
 
-def q_program_feedback(spark, d):
-    """X9 + X10 / W5: feedback of every candidate on the seeds, then the
-    feedback-based choice per (site, field)."""
-    prepare(spark)
-    from pagesift.operators.xpath import apply_programs
-    pages = keyed_pages(spark, d)
-    nodes = _nodes_once(spark, d)
-    ann = harness_annotations(pages)
-    seeds, _ = sampling.split_seeds(pages.select("page_id", "site"), ["site"], 3)
-    seed_nodes = nodes.join(seeds.select("page_id"), "page_id", "left_semi")
-    seed_ann = ann.join(seeds.select("page_id"), "page_id", "left_semi").checkpoint(eager=True)
-    c = induce.candidate_programs(seed_nodes, seed_ann, profiles=[induce.INFER, induce.EXTRACT])
-    tried = c.join(seeds.select("page_id", "site"), "page_id").groupBy("site", "field", "program").agg(
-        F.min(F.length("program")).alias("try_seq"))
-    tried = tried.checkpoint(eager=True)
-    res = apply_programs(seed_nodes, tried.select("site", "field", "program"), ["site"], ["field"],
-                         "program", None)
-    fb = induce.feedback(res, seed_ann)
-    best = induce.select_best(tried, fb.join(seeds.select("page_id", "site"), "page_id"), ["site"])
-    return best.select("site", "field", "program", "bad", "empty", "n_fb")
-
-
 def q_ordered_turns(spark, d):
     """each conversation as an ordered list of turns."""
     prepare(spark)
@@ -369,7 +336,6 @@ ANALYSIS_QUERIES = {
     "token_stats": q_token_stats,
     "compression": q_compression,
     "sanitize_loss": q_sanitize_loss,
-    "program_feedback": q_program_feedback,
     "ordered_turns": q_ordered_turns,
     "stream_extract": q_stream_extract,
 }
