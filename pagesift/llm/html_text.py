@@ -48,6 +48,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 # a start tag closes an open element of the given kinds
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# all that may stand in a head; anything else ends it, whether it was closed or not
+HEAD = {"html", "head", "title", "meta", "link", "style", "script", "base", "noscript", "template", "basefont", "bgsound"}
+# a block that starts inside one of these shows that its end tag is missing
+UNCLOSED = {"select", "datalist", "svg", "math"}
+# the same for a button, which may hold plain boxes
+NOT_IN_BUTTON = BLOCK - {"div", "center", "hr"}
 BAD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sidebar",
        "menu", "nav", "navbar", "navigation", "footer", "header", "masthead", "comment", "comments",
        "disqus", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "banner", "popup", "modal",
@@ -60,6 +66,7 @@ GOOD = {"article", "content", "entry", "post", "story", "main", "text", "body",
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"'>]*(?:>|\Z)))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 
@@ -102,6 +109,9 @@ def page_blocks(page: str):
     def add(text):
         nonlocal current
         top = stack[-1]
+        if top[0] == "head" and text.strip():
+            close(len(stack) - 1)
+            top = stack[-1]
         if top[4]:
             return
         if current is None:
@@ -115,12 +125,17 @@ def page_blocks(page: str):
             current.linked += len(text)
 
     def close(k):
-        nonlocal current
+        nonlocal current, in_link
+        if in_link > k:
+            in_link = 0  # the link's own block ends
         for entry in stack[k:]:
             opened[entry[0]] -= 1
         del stack[k:]
         current = None
 
+    def close_last(tags):
+        close(max(k for k, entry in enumerate(stack) if entry[0] in tags))
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -145,6 +160,8 @@ def page_blocks(page: str):
             elif tag in BLOCK:
                 current = None
             continue
+        if tag not in HEAD and opened.get("head"):
+            close_last({"head"})
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -154,7 +171,8 @@ def page_blocks(page: str):
                 current.parts.append(" ")
             continue
         if tag == "a":
-            in_link = 1
+            # an anchor without an address is no link, and ends one that was left open
+            in_link = len(stack) if _HREF.search(m[3]) else 0
             continue
         if tag in VOID:
             if tag == "hr":
@@ -164,6 +182,10 @@ def page_blocks(page: str):
             if _HIDDEN.search(m[3]) is None and not (m[3] and _names(m[3]) & BAD):
                 continue  # plain inline markup
         if tag in BLOCK:
+            if any(opened.get(t) for t in UNCLOSED):
+                close_last(UNCLOSED)
+            if tag in NOT_IN_BUTTON and opened.get("button"):
+                close_last({"button"})
             if opened.get("p") and tag not in ("html", "body"):
                 k = len(stack) - 1
                 while stack[k][0] not in ("p", "td", "th", "table") and k:
