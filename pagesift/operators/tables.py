@@ -15,13 +15,13 @@ from pagesift.operators.clean import serialize
 from pagesift.operators.dom import string_value, under_targets
 
 
-def _table_ancestry(nodes: DataFrame) -> DataFrame:
-    """tables with parent_table_id (-1 for outermost) and level (1 = outermost)."""
+def _table_ancestry(nodes: DataFrame, tag: str = "table") -> DataFrame:
+    """tables (or other containers ``tag``) with parent_table_id (-1 for outermost) and level (1 = outermost)."""
     tags = F.split(F.substring(F.col("tag_path"), F.lit(2), F.length("tag_path")), "/")
     pairs = F.arrays_zip(F.slice(tags, 1, F.size(tags) - 1).alias("t"),
                          F.slice("anc_ids", 1, F.size("anc_ids") - 1).alias("a"))
-    anc_tables = F.transform(F.filter(pairs, lambda p: p.t == "table"), lambda p: p.a)
-    return nodes.filter(F.col("tag") == "table").withColumn("_at", anc_tables).select(
+    anc_tables = F.transform(F.filter(pairs, lambda p: p.t == tag), lambda p: p.a)
+    return nodes.filter(F.col("tag") == tag).withColumn("_at", anc_tables).select(
         "*", F.coalesce(F.try_element_at(F.col("_at"), F.lit(-1)), F.lit(-1)).alias("parent_table_id"),
         (F.size("_at") + 1).alias("level")).drop("_at")
 
@@ -77,9 +77,10 @@ def table_content(nodes: DataFrame, tables: DataFrame) -> DataFrame:
                     F.col("html").alias("content"))
 
 
-def table_forest(nodes: DataFrame, with_content: bool = True) -> DataFrame:
-    """T24 + T25 + T26 (+ content): one row per table with its forest links."""
-    t = _table_ancestry(nodes)
+def table_forest(nodes: DataFrame, with_content: bool = True, tag: str = "table") -> DataFrame:
+    """T24 + T25 + T26 (+ content): one row per table with its forest links;
+    another container, such as ``ul``, can stand for the table."""
+    t = _table_ancestry(nodes, tag)
     out = t.select("page_id", "node_id", "end_id", "parent_table_id", "level", "xpath").join(
         table_titles(nodes, t), ["page_id", "node_id"], "left")
     if with_content:

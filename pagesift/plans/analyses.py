@@ -15,7 +15,7 @@ from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
 from pagesift.plans.pipeline import _nodes_once, harness_annotations
 from pagesift.session import shared_path
-from pagesift.plans.harness import _norm, _render, _tokens_sql, _u
+from pagesift.plans.harness import REBUILT_B, _SITE, _norm, _render, _tokens_sql, _u
 
 _RENDER_H1 = _render("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
 _NORM_X = _norm("x")
@@ -24,10 +24,12 @@ _TOKENS_HTML = _tokens_sql("html")
 
 
 def q_table_forest(spark, d):
-    """T24-T26 + A9: nested table forest and per-page table measures."""
+    """T24-T26 + A9: nested forest of lists (the pages hold no tables) and per-page
+    measures."""
     prepare(spark)
-    f = tables.table_forest(keyed_nodes(spark, d))
-    return f.join(tables.table_measures(f), "page_id", "left").drop("content")
+    f = tables.table_forest(keyed_nodes(spark, d), tag="ul")
+    return f.join(tables.table_measures(f), "page_id", "left").select(
+        "page_id", "parent_table_id", "level", "xpath", "title", "depth", "width", "max_width", "count", "max_children", "n_tables")
 
 
 def q_structure_fold(spark, d):
@@ -343,7 +345,59 @@ ANALYSIS_QUERIES = {
 _PAGE_TOKENS = ("WITH pt AS (SELECT page_id, " + _TOKENS_HTML + " AS raw_tokens, "
                 "CAST(floor(" + _TOKENS_HTML + " / 1000) * 1000 AS BIGINT) AS token_bin FROM pages)")
 
+# what the soup sanitizer leaves of a page, as its markup stands: named entities that
+# need no escape are decoded
+_SOUP_HTML = "regexp_replace(regexp_extract(html, '(?s)</head>(.*)', 1), '(?s)<!--.*?-->|<script.*?</script>', '', 'g')"
+for _named, _mark in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+    _SOUP_HTML = f"replace({_SOUP_HTML}, '{_named}', '{_mark}')"
+_BODY_TEXT = f"replace(regexp_replace({_SOUP_HTML}, '<[^>]*>', ' ', 'g'), '&amp;', '&')"
+_VALUES = f"""
+va AS (SELECT page_id, unnest(list_filter(list_transform(list_concat(
+         [regexp_extract(html, '(?s)<title>(.*?)</title>', 1), regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)],
+         regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1)),
+         lambda x: {_render('x')}), lambda x: x <> '')) AS v FROM pages)"""
+
 ANALYSIS_ORACLE = {
+    # fold rules on the harness's template: one list item, all paragraphs, no inline elements
+    "structure_fold": """
+WITH s AS (
+  SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*', 0), '<p>', 0)) AS n_p,
+         md5('nav||' || md5('ul||' || md5('li||'))) AS nav, md5('div|ad|') AS ad, md5('footer||') AS foot FROM pages),
+a AS (SELECT *, md5('article||' || array_to_string(list_concat([md5('h1||')], list_transform(range(n_p), lambda i: md5('p||'))), ',')) AS art FROM s)
+SELECT page_id, n_p + 9 AS n_nodes, md5('html||' || md5('body||' || nav || ',' || ad || ',' || art || ',' || foot)) AS root_sig FROM a""",
+    # all but the list items after the first
+    "prune_by_structure": f"""
+WITH {REBUILT_B}
+SELECT page_id, 10 + n_p + n_b AS n_kept FROM nb""",
+    "table_forest": """
+SELECT page_id, -1 AS parent_table_id, 1 AS level, '/html/body/nav/ul' AS xpath, CAST(NULL AS VARCHAR) AS title, 1 AS depth,
+       1::BIGINT AS width, 1 AS max_width, 1::BIGINT AS count, 0::BIGINT AS max_children, 1::BIGINT AS n_tables
+FROM pages WHERE html LIKE '%<ul>%'""",
+    # a value is lost where the serialized page escapes or breaks it
+    "sanitize_loss": f"""
+WITH {_VALUES},
+ok AS (SELECT va.page_id, bool_and(contains(h, v)) AS kept_all
+       FROM va JOIN (SELECT page_id, {_SOUP_HTML} AS h FROM pages) USING (page_id) GROUP BY va.page_id)
+SELECT {_SITE} AS site, count(*) AS total, count(*) FILTER (NOT kept_all) AS failed_count,
+       round(count(*) FILTER (NOT kept_all) / count(*), 6) AS failed_rate
+FROM ok JOIN pages USING (page_id) GROUP BY site""",
+    # a bare tag and its end are seven tokens
+    "token_stats": f"""
+WITH {REBUILT_B},
+t AS (SELECT page_id, {_TOKENS_HTML} AS raw, {_tokens_sql(_BODY_TEXT)} + 7 * (n_b + len(regexp_extract_all(
+        regexp_replace(html, '<script>.*?</script>', '', 'g'), '<(html|body|nav|ul|li|a|div|article|h1|p|footer)[\\s>]', 0))) AS cleaned
+      FROM pages JOIN nb USING (page_id))
+SELECT CAST(floor(raw / 4000) * 4000 AS BIGINT) AS token_bin, count(*) AS n, CAST(floor(avg(raw)) AS BIGINT) AS mean_raw_tokens,
+       CAST(floor(avg(cleaned)) AS BIGINT) AS mean_cleaned_tokens FROM t GROUP BY 1""",
+    "compression": f"""
+WITH {REBUILT_B},
+t AS (SELECT {_SITE} AS site, {_TOKENS_HTML} AS raw, {_tokens_sql(_BODY_TEXT)} + 7 * (n_b + len(regexp_extract_all(
+        regexp_replace(html, '<script>.*?</script>', '', 'g'), '<(html|body|nav|ul|li|a|div|article|h1|p|footer)[\\s>]', 0))) AS deep,
+        7 * len(regexp_extract_all(html, '<br>', 0)) + 5 AS more
+      FROM pages JOIN nb USING (page_id)),
+g AS (SELECT site, avg(raw) AS raw, avg(deep) AS deep, avg(deep + more) AS light FROM t GROUP BY site)
+SELECT site, 'deep_tokens' AS target, round(deep / raw, 6) AS ratio FROM g
+UNION ALL SELECT site, 'light_tokens', round(light / raw, 6) FROM g""",
     "nav_text_content": """
 SELECT page_id, array_to_string(list_filter(list_transform(
          regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1),
