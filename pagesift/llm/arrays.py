@@ -45,6 +45,15 @@ def batch_words(texts: pa.Array, lower: bool):
     return codes, row, enc.dictionary
 
 
+def dense_unique(x: np.ndarray, size: int):
+    """Distinct values of ``x`` (whole numbers below ``size``), ascending, and the place
+    of each item's value among them; no sort."""
+    present = np.zeros(size, dtype=bool)
+    present[x] = True
+    place = np.cumsum(present) - 1
+    return np.flatnonzero(present), place[x]
+
+
 def word_hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hash of each distinct word, the same in every task."""
     raw = distinct.cast(pa.binary()).to_pylist()

@@ -83,7 +83,9 @@ def word_totals(docs: DataFrame) -> DataFrame:
         for b in batches:
             groups, distinct = per_language_words(b.column(1), b.column(0))
             for lang, codes, _ in groups:
-                used, n = np.unique(codes, return_counts=True)
+                n = np.bincount(codes, minlength=len(distinct))
+                used = np.flatnonzero(n)
+                n = n[used]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()),
                                                   "word": distinct.take(pa.array(used)), "n": pa.array(n.astype(np.int64))})
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.arrays import batch_words, word_hashes
+from pagesift.llm.arrays import batch_words, dense_unique, word_hashes
 from pagesift.llm.common import fresh_path, prepare, scratch, table, written
 from pagesift.llm.hash_store import SortedArrays, folder_of, map_array, parts_for, save_array, write_sorted
 from pagesift.llm.kneser_ney import discounts
@@ -60,11 +60,10 @@ class Languages:
         return (number.astype(np.uint64) << np.uint64(64 - self.bits)) | (hashes >> np.uint64(self.bits))
 
 
-def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None, split=None):
-    """(token, row) of a batch: word hashes in order, each row closed by the end.
-
-    ``hashes_to`` maps the batch's distinct hashes to other numbers; ``split`` are the
-    batch's words as they stand, where they are known already."""
+def token_codes(texts: pa.Array, langs=None, languages=None, split=None):
+    """(code, row, hashes) of a batch: numbers of its distinct tokens in order, each row
+    closed by the end, and the hash of each number. ``split`` are the batch's words as
+    they stand, where they are known already."""
     if split is None:
         codes, row, distinct = batch_words(texts, lower=True)
     else:
@@ -81,8 +80,16 @@ def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None, sp
     at[inner] = codes
     row = np.repeat(np.arange(rows), n + 1)
     if languages is not None:
-        used, at = np.unique(languages.of(langs)[row] * len(h) + at, return_inverse=True)
+        used, at = dense_unique(languages.of(langs)[row] * len(h) + at, len(languages) * len(h))
         h = languages.tagged(h[used % len(h)], used // len(h))
+    return at, row, h
+
+
+def token_stream(texts: pa.Array, hashes_to=None, langs=None, languages=None):
+    """(token, row) of a batch: word hashes in order, each row closed by the end.
+
+    ``hashes_to`` maps the batch's distinct hashes to other numbers."""
+    at, row, h = token_codes(texts, langs, languages)
     values = h if hashes_to is None else hashes_to(h)
     return values[at], row
 
@@ -157,10 +164,10 @@ class Words:
         return self.store.find(hashes.view(np.int64))
 
 
-def bigram_stream(texts: pa.Array, words: Words, langs=None, languages=None, split=None):
+def bigram_stream(texts: pa.Array, words: Words, langs=None, languages=None):
     """(first, second, row): unknown words have id -1. The id after the last word's
     opens each text; with languages, the end of the text's language does."""
-    tokens, row = token_stream(texts, words.ids, langs, languages, split)
+    tokens, row = token_stream(texts, words.ids, langs, languages)
     first = np.empty_like(tokens)
     first[1:] = tokens[:-1]
     opens = np.ones(len(tokens), dtype=bool)
@@ -202,6 +209,19 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers, compressed by byte planes: the high ones are mostly zeros. The
+    length comes first."""
+    planes = np.ascontiguousarray(a).view("u1").reshape(-1, a.dtype.itemsize).T
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, dtype: str) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(dtype).itemsize
+    raw = pa.decompress(blob[8:], n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, n).T).reshape(-1).view(dtype)
+
+
 def bigram_blocks(docs: DataFrame, manifest, shards: Shards, languages=None) -> DataFrame:
     """(shard, first, second, n): sorted blocks of summed bigrams as binary arrays."""
 
@@ -216,10 +236,10 @@ def bigram_blocks(docs: DataFrame, manifest, shards: Shards, languages=None) ->
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([int(shard[part[0]])], pa.int32()),
                     # differences of the sorted first words: mostly zeros, cheap to move
-                    "first": pa.array([_blob(np.diff(first[part], prepend=0).astype("<u4"))], pa.binary()),
-                    "second": pa.array([_blob(second[part].astype("<u4"))], pa.binary()),
+                    "first": pa.array([_packed(np.diff(first[part], prepend=0).astype("<u4"))], pa.binary()),
+                    "second": pa.array([_packed(second[part].astype("<u4"))], pa.binary()),
                     # one byte each; larger counts beside them
-                    "n": pa.array([_blob(np.minimum(n[part], 255).astype("u1"))], pa.binary()),
+                    "n": pa.array([_packed(np.minimum(n[part], 255).astype("u1"))], pa.binary()),
                     "big": pa.array([_blob(n[part][n[part] >= 255].astype("<i8"))], pa.binary())})
 
     def run(batches):
@@ -269,9 +289,9 @@ def bigram_shards(blocks: DataFrame, shards: Shards, starts: np.ndarray) -> Data
         shard = key[0].as_py()
         keys, counts = [], []
         for r in t.select(["first", "second", "n", "big"]).to_pylist():
-            f = np.cumsum(np.frombuffer(r["first"], "<u4").astype(np.int64))
-            keys.append((f << 32) | np.frombuffer(r["second"], "<u4"))
-            n = np.frombuffer(r["n"], "u1").astype(np.int64)
+            f = np.cumsum(_unpacked(r["first"], "<u4").astype(np.int64))
+            keys.append((f << 32) | _unpacked(r["second"], "<u4"))
+            n = _unpacked(r["n"], "u1").astype(np.int64)
             n[n == 255] = np.frombuffer(r["big"], "<i8")
             counts.append(n)
         k, n = _summed(keys, counts)
@@ -295,8 +315,8 @@ def bigram_shards(blocks: DataFrame, shards: Shards, starts: np.ndarray) -> Data
         span = ids // shards.per
         for s in np.unique(span):
             here = span == s
-            out.append(_row(1, int(s), ids=_blob(np.diff(ids[here], prepend=0).astype("<u4")),
-                            counts=_blob(c[here].astype("<u4"))))
+            out.append(_row(1, int(s), ids=_packed(np.diff(ids[here], prepend=0).astype("<u4")),
+                            counts=_packed(c[here].astype("<u4"))))
         return pa.Table.from_pylist(out, _ROW_TYPE)
 
     return blocks.groupBy("shard").applyInArrow(run, _SHARD_OUT)
@@ -311,8 +331,8 @@ def continuation_shards(rows: DataFrame, shards: Shards, starts: np.ndarray) ->
         lo = shard * shards.per
         total = np.zeros(shards.per, dtype="<u4")
         for r in t.select(["ids", "counts"]).to_pylist():
-            ids = np.cumsum(np.frombuffer(r["ids"], "<u4").astype(np.int64)) - lo
-            total[ids] += np.frombuffer(r["counts"], "<u4")
+            ids = np.cumsum(_unpacked(r["ids"], "<u4").astype(np.int64)) - lo
+            total[ids] += _unpacked(r["counts"], "<u4")
         file = os.path.join(folder, uuid.uuid4().hex)
         save_array(file, total)
         ids = lo + np.arange(len(total))
@@ -468,15 +488,17 @@ class Scorer:
         batch's words as they stand."""
         m, rows = self.m, len(texts)
         lang = m["languages"].of(langs)
-        first, second, row = bigram_stream(texts, self.words, langs, m["languages"], split)
+        code, row, hashes = token_codes(texts, langs, m["languages"], split)
         if not len(row):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        pairs, pair = np.unique(((first + 1) << 32) | (second + 1), return_inverse=True)
-        f, s = (pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1
-        count, sums = self.counts(f, s)
-        cell, own = np.unique(row * len(pairs) + pair, return_counts=True)  # one cell per text and bigram
-        r, pair = cell // len(pairs), cell % len(pairs)
-        count, sums = count[pair], sums[:, pair]
+        known, k = self.words.ids(hashes), len(hashes)
+        before, last = np.empty_like(code), np.append(row[1:] != row[:-1], True)
+        before[1:] = code[:-1]
+        before[np.append(True, last[:-1])] = code[last]  # a text opens with its language's end
+        cell, own = np.unique((row * k + before) * k + code, return_counts=True)  # one cell per text and bigram
+        head, second = cell // k, cell % k
+        r = head // k
+        count, sums = self.counts(known[head % k], known[second])
         left = np.maximum(0, count - own)
 
         def moved(kinds, at, before, after):
@@ -484,11 +506,11 @@ class Scorer:
             kind = lambda n: np.minimum(n, 3).astype(np.int64)
             return [np.bincount(at, (kind(after) == k) * 1.0 - (kind(before) == k), kinds) for k in (1, 2, 3)]
 
-        ctx, at = np.unique(r * (len(self.words.store) + 2) + f[pair] + 1, return_inverse=True)
-        change = np.stack([*moved(len(ctx), at, count, left), -np.bincount(at, np.minimum(own, count), len(ctx))])
+        at = np.cumsum(np.append(False, head[1:] != head[:-1]))  # cells of a context follow each other
+        change = np.stack([*moved(at[-1] + 1, at, count, left), -np.bincount(at, np.minimum(own, count))])
         sums = np.maximum(0, sums + change[:, at])
-        word, at = np.unique(r * (len(self.words.store) + 2) + s[pair] + 1, return_inverse=True)
-        of, ids = word // (len(self.words.store) + 2), word % (len(self.words.store) + 2) - 1
+        word, at = np.unique(r * k + second, return_inverse=True)
+        of, ids = word // k, known[word % k]
         cont = self.continuations(ids)
         gone = (count > 0) & (left == 0)
         rest = np.maximum(0, cont - np.bincount(at, gone, len(word)))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.arrays import _GOLD, batch_words, mix
+from pagesift.llm.arrays import _GOLD, batch_words, dense_unique, mix
 from pagesift.llm.common import broadcast_if_small, prepare, scratch, table, worker_object, written
 from pagesift.llm.kneser_ney import CharModel, char_model, per_language_words, word_totals
 from pagesift.llm.lm_score import Languages, Scorer, train
@@ -48,8 +48,8 @@ def repeated_words(codes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     inside = row[:m] == row[2:2 + m]
     at = np.flatnonzero(inside)
     key = mix(mix(mix(c[:m] * _GOLD + c[1:1 + m]) * _GOLD + c[2:2 + m]) * _GOLD + row[:m].astype(np.uint64))[at]
-    _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-    at = at[n[inv] > 1]
+    found, n = np.unique(key, return_counts=True)
+    at = at[np.isin(key, found[n > 1])]
     covered = np.zeros(len(codes), dtype=bool)
     for k in range(3):
         covered[at + k] = True
@@ -81,7 +81,7 @@ def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel, word_model
     split = codes, row, distinct
     groups, distinct = per_language_words(texts, langs, split)
     for lang, c, r in groups:
-        used, inv = np.unique(c, return_inverse=True)
+        used, inv = dense_unique(c, len(distinct))
         w_log, w_units = model.word_logs(lang, distinct.take(pa.array(used)).to_pylist())
         logs += np.bincount(r, w_log[inv], rows)
         units += np.bincount(r, w_units[inv], rows)
