@@ -222,7 +222,8 @@ def subtree_stats(nodes: DataFrame, token_fn=None) -> DataFrame:
     """Per node subtree sums and maxima via ancestor explode + groupBy.
 
     Returns page_id, node_id, n_desc, text_tokens (own), sub_text_tokens,
-    sub_html_tokens, max_depth, n_leaves, width (children count).
+    sub_html_tokens, max_depth, n_leaves, width (children count), and the
+    subtree's largest own text, element size and width.
     """
     from pagesift.functions.text import token_count
     tok = token_fn or token_count
@@ -235,13 +236,15 @@ def subtree_stats(nodes: DataFrame, token_fn=None) -> DataFrame:
         F.count(F.lit(1)).alias("width"))
     base = own.join(kids, ["page_id", "node_id"], "left").fillna(0, ["width"])
     ex = base.select("page_id", F.explode("anc_ids").alias("anc"), "depth", "text_tokens",
-                     "html_tokens", (F.col("width") == 0).alias("is_leaf"))
+                     "html_tokens", "width", (F.col("width") == 0).alias("is_leaf"))
     agg = ex.groupBy("page_id", F.col("anc").alias("node_id")).agg(
         (F.count(F.lit(1)) - 1).alias("n_desc"),
         F.sum("text_tokens").alias("sub_text_tokens"),
         F.sum("html_tokens").alias("sub_html_tokens"),
         F.max("depth").alias("max_depth"),
-        F.count_if("is_leaf").alias("n_leaves"))
+        F.count_if("is_leaf").alias("n_leaves"),
+        F.max("text_tokens").alias("max_text_tokens"), F.max("html_tokens").alias("max_html_tokens"),
+        F.max("width").alias("max_width"))
     return base.drop("anc_ids").join(agg, ["page_id", "node_id"])
 
 

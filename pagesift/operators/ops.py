@@ -52,6 +52,38 @@ def field_operators(ops: DataFrame) -> DataFrame:
         "page_id", "field", "seq", "xpath", "operator_type", "values")
 
 
+def extract_chunks(nodes: DataFrame, fops: DataFrame) -> DataFrame:
+    """The text chunks that each extract operation of a (page, field) sees: those under
+    its fragment and under no earlier one, which are gone when it looks. Columns:
+    page_id, field, seq, owner, chunk_seq, text."""
+    roots = nodes.select("page_id", "xpath", "node_id").join(
+        fops.select("page_id", "field", "seq", "xpath", "operator_type"), ["page_id", "xpath"])
+    ck = chunks(nodes.join(roots.select("page_id").distinct(), "page_id", "left_semi"))
+    under = under_targets(ck, roots.select("page_id", "node_id")).join(
+        roots.select("page_id", "field", "seq", "operator_type", F.col("node_id").alias("target_id")), ["page_id", "target_id"])
+    own = under.groupBy("page_id", "field", "owner", F.col("chunk.seq").alias("chunk_seq")).agg(
+        F.min(F.struct("seq", "operator_type")).alias("op"), F.first("chunk.text").alias("text"))
+    return own.filter(F.col("op.operator_type") == "extract").select(
+        "page_id", "field", F.col("op.seq").alias("seq"), "owner", "chunk_seq", "text")
+
+
+# ---- X20: predictions of a field's operations ----------------------------------
+def field_predictions(nodes: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The values of each (page, field)'s extract operation, widened to their full
+    texts (W14) in what the field's operations leave of the page, in the operation's
+    order. A value that no text there holds stays as it is. Columns: page_id, field,
+    values."""
+    g = ["page_id", "field"]
+    want = ranked.filter(F.col("operator_type") == "extract").select(*g, F.posexplode("values").alias("pos", "target"))
+    ck = extract_chunks(nodes, ranked).select(*g, "chunk_seq", "text", one_space(F.col("text")).alias("norm")).filter(F.length("text") > 0)
+    j = text_matches(ck, want.select(*g, "target", F.col("target").alias("t_norm")).distinct(), g)
+    j = j.withColumn("score", F.length("target") / F.length("text"))
+    w = Window.partitionBy(*g, "target").orderBy(F.desc("score"), "chunk_seq")
+    best = j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*g, "target", "text")
+    return want.join(best, [*g, "target"], "left").groupBy(*g).agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        "pos", F.coalesce("text", "target").alias("v")))), lambda x: x.v).alias("values"))
+
+
 # ---- X14 / W13 / F22: rank competing extract operations ----------------------
 def rank_extracts(nodes: DataFrame, fops: DataFrame) -> DataFrame:
     """Score each extract operation of a (page, field): 0.5 * tag visual
@@ -59,17 +91,9 @@ def rank_extracts(nodes: DataFrame, fops: DataFrame) -> DataFrame:
     searched under its fragment with all earlier fragments removed; keep the
     first best (W13) and the prunes before it."""
     ex = fops.filter(F.col("operator_type") == "extract")
-    roots = nodes.select("page_id", "xpath", "node_id").join(
-        fops.select("page_id", "field", "seq", "xpath", "operator_type"), ["page_id", "xpath"])
-    ck = chunks(nodes.join(roots.select("page_id").distinct(), "page_id", "left_semi"))
     owners = nodes.select("page_id", F.col("node_id").alias("owner"), F.col("tag").alias("otag"))
-    under = under_targets(ck, roots.select("page_id", "node_id")).join(
-        roots.select("page_id", "field", "seq", "operator_type", F.col("node_id").alias("target_id")), ["page_id", "target_id"])
-    # earlier fragments are gone when an operation looks: a chunk is left to its first one
-    own = under.groupBy("page_id", "field", "owner", F.col("chunk.seq").alias("chunk_seq")).agg(
-        F.min(F.struct("seq", "operator_type")).alias("op"), F.first("chunk.text").alias("text"))
-    own = own.filter(F.col("op.operator_type") == "extract").select(
-        "page_id", "field", F.col("op.seq").alias("seq"), "owner", F.length("text").alias("n_chars"),
+    own = extract_chunks(nodes, fops).select(
+        "page_id", "field", "seq", "owner", F.length("text").alias("n_chars"),
         one_line(normalize_text(F.col("text"))).alias("norm")).filter(F.col("norm") != "")
     vals = ex.select("page_id", "field", "seq", F.explode("values").alias("target")).distinct().withColumn(
         "t_norm", one_line(normalize_text(F.col("target")))).filter(F.col("t_norm") != "")
@@ -109,6 +133,11 @@ def classify_fragments(ops: DataFrame) -> DataFrame:
     return o.filter(F.col("operator_type") == "extract").unionByName(prunes)
 
 
+def one_space(c: Column) -> Column:
+    """Unescaped twice, stripped, runs of spaces as one (the text W14 searches)."""
+    return F.regexp_replace(py_strip(html_unescape(html_unescape(c))), "  +", " ")
+
+
 # ---- W14 / X20: widen a value to its containing text ---------------------------
 def full_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """For each (page_id, target): the text chunk containing it with the best
@@ -116,8 +145,7 @@ def full_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     when none contains it."""
     pages = targets.select("page_id").distinct()
     ck = chunks(nodes.join(pages, "page_id", "left_semi")).select("page_id", "chunk.seq", "chunk.text")
-    ck = ck.withColumn("norm", F.regexp_replace(py_strip(html_unescape(html_unescape(F.col("text")))),
-                                                "  +", " ")).filter(F.length("text") > 0)
+    ck = ck.withColumn("norm", one_space(F.col("text"))).filter(F.length("text") > 0)
     j = text_matches(ck, targets.select("page_id", "target", F.col("target").alias("t_norm")).distinct(), ["page_id"])
     j = j.withColumn("score", F.lit(1.0) - (F.length("text") - F.length("target")) / F.length("text"))
     w = Window.partitionBy("page_id", "target").orderBy(F.desc("score"), "seq")

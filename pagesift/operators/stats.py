@@ -53,6 +53,21 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def imperfect(df: DataFrame, rate: str = "match_rate") -> DataFrame:
+    """Rows whose rate is below one."""
+    return df.filter(F.col(rate) < 1)
+
+
+def in_grid(df: DataFrame, **bounds) -> DataFrame:
+    """Rows inside all given bounds, ``column=(least, most)``; null is no bound."""
+    for c, (least, most) in bounds.items():
+        if least is not None:
+            df = df.filter(F.col(c) >= least)
+        if most is not None:
+            df = df.filter(F.col(c) <= most)
+    return df
+
+
 def compression_by_group(df: DataFrame, group_cols: list[str], raw: str,
                          targets: list[str], digits: int = 6) -> DataFrame:
     """Mean of each target column over the mean raw size, long form."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import py_strip
 from pagesift.operators.clean import serialize
 from pagesift.operators.dom import string_value, under_targets
+from pagesift.operators.textsearch import text_matches
 
 
 def _table_ancestry(nodes: DataFrame, tag: str = "table") -> DataFrame:
@@ -110,9 +111,9 @@ def triage_tables(nodes: DataFrame, forest: DataFrame, ann: DataFrame) -> DataFr
     """A table with no text, or none of the page's annotated values,
     becomes a ``prune`` operation; otherwise ``extract``."""
     sv = _string_value(nodes, forest.select("page_id", "node_id", "end_id"))
-    vals = ann.select("page_id", F.explode("values").alias("v")).filter(F.col("v") != "")
+    vals = ann.select("page_id", F.explode("values").alias("t_norm")).filter(F.col("t_norm") != "").distinct()
     f = forest.select("page_id", "node_id", "xpath").join(sv, ["page_id", "node_id"], "left")
-    hit = f.join(vals, "page_id").filter(F.contains("sv", "v")).select("page_id", "node_id").distinct()
+    hit = text_matches(f.select("page_id", "node_id", F.col("sv").alias("norm")), vals, ["page_id"]).distinct()
     hit = hit.withColumn("has_value", F.lit(True))
     f = f.join(hit, ["page_id", "node_id"], "left")
     op = F.when(py_strip(F.coalesce("sv", F.lit(""))) == "", "prune").when(

@@ -13,7 +13,7 @@ from pagesift.functions.text import html_unescape, ordered_list, token_count
 from pagesift.operators import clean, fragments, induce, ops, prune, sampling, stats, structure, tables
 from pagesift.operators.dom import common_ancestor
 from pagesift.plans.common import keyed_nodes, keyed_pages, prepare, site_programs, table
-from pagesift.plans.pipeline import _nodes_once, harness_annotations
+from pagesift.plans.pipeline import _nodes_once, harness_annotations, normalize_values
 from pagesift.session import shared_path
 from pagesift.plans.harness import REBUILT_B, _SITE, _norm, _render, _tokens_sql, _u
 
@@ -217,18 +217,15 @@ def q_representative_pages(spark, d):
 
 
 def q_fragment_predictions(spark, d):
-    """Each annotated value widened to its full containing text (W14),
-    then scored against the annotations per site and overall (E2, A8)."""
+    """Each field's operations from the fragment route applied, the values they
+    extract widened to their full texts (W14) and normalized, scored against the
+    annotations per site and overall (E2, A8)."""
     prepare(spark)
     from pagesift.operators import metrics
-    pages = keyed_pages(spark, d)
-    nodes = _nodes_once(spark, d)
-    ann = harness_annotations(pages)
-    targets = ann.select("page_id", "field", F.explode("values").alias("target"))
-    full = ops.full_texts(nodes, targets.select("page_id", "target").distinct())
-    pred = targets.join(full, ["page_id", "target"]).groupBy("page_id", "field").agg(
-        F.collect_list("full_text").alias("values"))
-    counts = metrics.eval_objects(pred, ann, ["page_id"]).join(pages.select("page_id", "category", "site"), "page_id")
+    nodes, ranked, pages = _fragment_ops(spark, d)
+    pred = normalize_values(ops.field_predictions(nodes, ranked), ["page_id", "field"], "values")
+    counts = metrics.eval_objects(pred, harness_annotations(pages), ["page_id"]).join(
+        pages.select("page_id", "category", "site"), "page_id")
     return metrics.site_report(counts, ["category", "site"], digits=6)
 
 

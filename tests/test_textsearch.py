@@ -63,3 +63,12 @@ def test_earlier_fragments_are_removed_before_ranking(explode, spark):
     got = sorted((r.seq, r.operator_type) for r in ops.rank_extracts(nodes, fops).collect())
     # the p is tight for both, but the third finds nothing once the second is gone
     assert got == [(1, "prune"), (2, "extract")]
+
+
+def test_predictions_come_from_the_extracting_fragment(explode, spark):
+    """The value also stands, tighter, in a pruned fragment and outside: neither counts."""
+    nodes = explode(["<html><body><h1>42</h1><div><p>42 EUR</p></div><section><p>price: 42 EUR only</p><p>no</p></section></body></html>"])
+    page = nodes.first().page_id
+    rows = [(page, "price", 1, "/html/body/div", "prune", None), (page, "price", 2, "/html/body/section", "extract", ["42 EUR", "gone"])]
+    fops = spark.createDataFrame(rows, "page_id long, field string, seq int, xpath string, operator_type string, values array<string>")
+    assert ops.field_predictions(nodes, fops).collect()[0]["values"] == ["price: 42 EUR only", "gone"]
