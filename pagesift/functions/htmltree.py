@@ -40,10 +40,12 @@ SPECIAL_TAGS = frozenset(
     "input keygen li link listing main marquee menu meta nav noembed noframes noscript "
     "object ol p param plaintext pre script search section select source style summary "
     "table tbody td template textarea tfoot th thead title tr track ul wbr xmp".split())
-# Inline elements (text flows on the same line when rendered).
-INLINE_TAGS = frozenset(
-    "a abbr acronym b bdo big br button cite code dfn em i img input kbd label map object "
-    "output q samp script select small span strong sub sup textarea time tt var".split())
+# Inline elements (text flows on the same line when rendered).
+INLINE_TAGS = frozenset([
+    "a", "abbr", "acronym", "b", "bdo", "big", "br", "button", "cite", "code", "dfn", "em", "i", "img",
+    "input", "kbd", "label", "map", "object", "output", "q", "samp", "script", "select", "small", "span",
+    "strong", "sub", "sup", "textarea", "time", "tt", "var",
+])
 HIDDEN_TAGS = frozenset("script style noscript template".split())
 # --------------------------------------------------------------------------
 

@@ -24,7 +24,10 @@ PAGE_PATH = r"/([a-z]+)/([a-z]+)-([^/(]+)\((\d+)\)/([^/]+)\.htm$"
 
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """(category, site, page_id, pages, path, html), one row per file."""
+    """(category, site, page_id, pages, path, html, page_key), one row per file.
+
+    ``page_id`` is the file's name and repeats from site to site; ``page_key`` is
+    unique: tree operators take it as ``explode_dom(pages, id_col="page_key")``."""
     df = spark.read.text(f"{root.rstrip('/')}/*/*/*.htm", wholetext=True).select(
         F.col("value").alias("html"), F.col("_metadata.file_path").alias("path"))
     p = F.col("path")
@@ -33,7 +36,7 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
         F.regexp_extract(p, PAGE_PATH, 3).alias("site"),
         F.regexp_extract(p, PAGE_PATH, 5).alias("page_id"),
         F.regexp_extract(p, PAGE_PATH, 4).cast("int").alias("pages"),
-        "path", "html")
+        "path", "html").withColumn("page_key", page_key("category", "site", "page_id"))
 
 
 def categories(pages: DataFrame) -> DataFrame:
@@ -119,7 +122,8 @@ def read_expanded_truth(spark: SparkSession, root: str) -> DataFrame:
 
 
 def site_queries(long_truth: DataFrame) -> DataFrame:
-    """The query text built from the sorted distinct fields of each site."""
+    """The query text built from the sorted distinct fields of each site (its
+    wording is a fixed value)."""
     g = long_truth.groupBy("category", "site").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     return g.select("category", "site", "fields", F.concat(
         F.lit("Please extract the following fields: "),

@@ -84,3 +84,16 @@ def test_results_json_sink_drops_html(spark, tmp_path):
     assert "html" not in back.columns
     assert back.select("category", "site", "page_id").first().asDict() == {
         "category": "book", "site": "amazon", "page_id": "0000"}
+
+
+def test_page_keys_are_unique_where_file_names_repeat(spark, tmp_path):
+    from pagesift.operators.dom import explode_dom
+    for site in ("one", "two"):
+        folder = tmp_path / "book" / f"book-{site}(1)"
+        folder.mkdir(parents=True)
+        (folder / "0000.htm").write_text(f"<html><body><p>{site}</p></body></html>")
+    pages = swde.read_pages(spark, str(tmp_path))
+    assert pages.select("page_id").distinct().count() == 1
+    nodes = explode_dom(pages, id_col="page_key")
+    assert {r.page_id for r in nodes.collect()} == {"book_one_0000", "book_two_0000"}
+    assert nodes.groupBy("page_id", "node_id").count().filter("count > 1").isEmpty()
