@@ -39,15 +39,17 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(found)
 
 
-def word_units(distinct: list[str]):
+def word_units(distinct: pa.Array | list[str]):
     """Character units of words, one after the other, each with its end unit.
 
     Returns (packed 4-grams as uint64 ending at each unit, index of its word).
     A unit is a code point of 16 bits, or for larger ones a place in the private use
     area; all digits count as ``0``."""
-    if not distinct:
+    if not len(distinct):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    cp = np.frombuffer(("\n".join(distinct) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    words = distinct if isinstance(distinct, pa.Array) else pa.array(distinct, pa.string())
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+    cp = np.frombuffer((line[0].as_py() + "\n").encode("utf-32-le"), "<u4")
     unit = np.where(cp > 0xFFFF, 0xE000 + cp % 0x18FF, cp).astype(np.uint64)
     unit[(cp >= 48) & (cp <= 57)] = 48
     ends = cp == 10
@@ -104,7 +106,7 @@ def char_counts(totals: DataFrame) -> DataFrame:
             which, counts = enc.indices.to_numpy(zero_copy_only=False), b.column(2).to_numpy()
             for i, lang in enumerate(enc.dictionary.to_pylist()):
                 at = np.flatnonzero(which == i)
-                gram, word = word_units(b.column(1).take(pa.array(at)).to_pylist())
+                gram, word = word_units(b.column(1).take(pa.array(at)))
                 n = counts[at]
                 have = total.get(lang, (np.empty(0, np.uint64), np.empty(0, np.int64)))
                 g, inv = np.unique(np.concatenate([have[0], gram]), return_inverse=True)
@@ -222,7 +224,7 @@ class CharModel:
     def __init__(self, manifest, unknown):
         self.store, self.unknown = SortedArrays(manifest, MODEL_COLS), unknown
 
-    def word_logs(self, lang: str, distinct: list[str]):
+    def word_logs(self, lang: str, distinct: pa.Array | list[str]):
         """(log10 probability, units) of each word."""
         gram, word = word_units(distinct)
         uniq, inv = np.unique(gram, return_inverse=True)

@@ -82,7 +82,7 @@ def measure_batch(langs: pa.Array, texts: pa.Array, model: CharModel, word_model
     groups, distinct = per_language_words(texts, langs, split)
     for lang, c, r in groups:
         used, inv = dense_unique(c, len(distinct))
-        w_log, w_units = model.word_logs(lang, distinct.take(pa.array(used)).to_pylist())
+        w_log, w_units = model.word_logs(lang, distinct.take(pa.array(used)))
         logs += np.bincount(r, w_log[inv], rows)
         units += np.bincount(r, w_units[inv], rows)
     ppl = pa.array(np.where(units > 0, -logs / np.maximum(units, 1), 0), mask=units == 0)
