@@ -1,17 +1,19 @@
 """Fragment splitting of pages by token weight.
 
 The greedy split is sequential inside a page (each removal changes the
-weights), so it runs as one grouped pandas function per page over that
+weights), so it runs as one function per page over that
 page's sanitized node rows; scale comes from page parallelism. Token counts
 per node are computed JVM-side first and only small integer columns travel
-to Python.
+to Python, as a stream of pages.
 """
 
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from pagesift.functions.htmltree import INLINE_TAGS
 from pagesift.functions.text import py_strip, token_count
 from pagesift.operators.clean import _tag_tokens
 from pagesift.operators.dom import chunks, render_lines
+from pagesift.operators.pagewise import map_groups
 
 # ---- fixed values: container tags for the element weight (T15) ----------
 CONTAINER_ELEMENTS = ["table", "ul", "ol", "section", "article"]
@@ -51,14 +54,20 @@ def token_rows(nodes: DataFrame, tok=token_count) -> DataFrame:
         "tag_weight", tag_weight(F.col("tag"), F.col("has_class")))
 
 
+_NODE = ("node_id", "parent_id", "child_ord", "depth", "xpath", "own_text", "el_tokens", "ser", "tail_tokens", "bare",
+         "tag_weight")
+_Node = namedtuple("_Node", _NODE)
+
+
 class _Tree:
     """Token tree of one page (node ids -> children, subtree sums)."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["depth", "child_ord"])
-        self.rows = {r.node_id: r for r in pdf.itertuples()}
+    def __init__(self, page: dict | pd.DataFrame):
+        """``page``: the columns of :func:`token_rows` for one page."""
+        rows = sorted(map(_Node, *[list(page[c]) for c in _NODE]), key=lambda r: (r.depth, r.child_ord))
+        self.rows = {r.node_id: r for r in rows}
         self.kids = {}
-        for r in pdf.itertuples():
+        for r in rows:
             self.kids.setdefault(r.parent_id, []).append(r.node_id)
         self.root = self.kids.get(-1, [None])[0]
         self.text, self.html, self.ser, self.parent, self.log = {}, {}, {}, {}, []
@@ -188,16 +197,12 @@ def split_fragments(nodes: DataFrame, until_html_tokens: int = 16384,
     remaining ``/html`` row (``is_rest``)."""
     rows = token_rows(nodes, tok)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        frs = _fragments(_Tree(pdf), until_html_tokens, max_text_tokens)
-        pid = pdf["page_id"].iloc[0]
-        return pd.DataFrame({
-            "page_id": [pid] * len(frs), "seq": list(range(1, len(frs) + 1)),
-            "xpath": [f[0] for f in frs], "text_tokens": [int(f[1]) for f in frs],
-            "html_tokens": [int(f[2]) for f in frs], "weight": [f[3] for f in frs],
-            "is_rest": [f[3] is None for f in frs]})
+    def fn(key, page):
+        return [(*key, seq, x, int(text), int(html), w, w is None)
+                for seq, (x, text, html, w, _) in enumerate(_fragments(_Tree(page), until_html_tokens, max_text_tokens), 1)]
 
-    return rows.groupBy("page_id").applyInPandas(fn, FRAGMENT_SCHEMA.format(key=_key_type(rows)))
+    return map_groups(rows, ["page_id"], fn, FRAGMENT_SCHEMA.format(key=_key_type(rows)), [
+        "page_id", pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()])
 
 
 SWEEP_SCHEMA = ("page_id {key}, fragment_count long, fragment_tokens array<long>, final_tokens long, "
@@ -206,20 +211,21 @@ SWEEP_SCHEMA = ("page_id {key}, fragment_count long, fragment_tokens array<long>
 
 def sweep_fragments(nodes: DataFrame, grid: list[tuple[int, int]], tok=token_count) -> DataFrame:
     """Z8 + W12: the split for every (until_html_tokens, max_text_tokens) of ``grid``
-    in one grouped map: a page's tree is built once and restored between the grid
+    in one pass: a page's tree is built once and restored between the grid
     points. ``fragment_tokens`` are the drops of the serialized size after each
     removal, ``final_tokens`` what is left."""
     rows = token_rows(nodes, tok)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, pid, out = _Tree(pdf), pdf["page_id"].iloc[0], []
+    def fn(key, page):
+        tree, out = _Tree(page), []
         for until, most in grid if tree.root is not None else []:
             *frs, rest = _fragments(tree, until, most)
             tree.restore()
-            out.append((pid, len(frs), [int(f[4]) for f in frs], int(rest[4]), until, most))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SWEEP_SCHEMA.split(", ")])
+            out.append((*key, len(frs), [int(f[4]) for f in frs], int(rest[4]), until, most))
+        return out
 
-    return rows.groupBy("page_id").applyInPandas(fn, SWEEP_SCHEMA.format(key=_key_type(rows)))
+    return map_groups(rows, ["page_id"], fn, SWEEP_SCHEMA.format(key=_key_type(rows)), [
+        "page_id", pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()])
 
 
 def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
@@ -230,18 +236,18 @@ def remove_until(nodes: DataFrame, token_below: int = 1024, until: int = 4096,
     removed sizes followed by the remaining size."""
     rows = token_rows(nodes, tok)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = _Tree(pdf)
+    def fn(key, page):
+        tr = _Tree(page)
         sizes, rest = [], []
         if tr.root is not None:
             while tr.text[tr.root] > until and (way := list(tr.heavy_descent(token_below))):
                 sizes.append(int(tr.text[way[-1]]))
                 tr.remove(way[-1])
             rest = [int(tr.text[tr.root])]
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "times": [len(sizes)],
-                             "removed_tokens": [sizes + rest]})
+        return [(*key, len(sizes), sizes + rest)]
 
-    return rows.groupBy("page_id").applyInPandas(fn, REMOVAL_SCHEMA.format(key=_key_type(rows)))
+    return map_groups(rows, ["page_id"], fn, REMOVAL_SCHEMA.format(key=_key_type(rows)), [
+        "page_id", pa.int32(), pa.list_(pa.int64())])
 
 
 def fragment_texts(nodes: DataFrame, frags: DataFrame) -> DataFrame:

@@ -216,3 +216,30 @@ def test_pages_are_pruned_by_their_own_structure(spark, tmp_path):
     assert got == {0: 4, 1: 5}
     tokens = {r.page_id: r.structure_tokens for r in q_structure_pruning_stats(spark, str(tmp_path)).collect()}
     assert tokens[1] > tokens[0] > 0
+
+
+def test_page_steps_have_a_task_per_partition_however_small_the_rows(explode, spark):
+    """Token rows are a few bytes, but the greedy split takes its time in Python: the
+    adaptive reader would merge such small partitions to one task."""
+    from pagesift.operators import fragments, structure
+    from pagesift.operators.clean import sanitize
+    nodes = explode([f"<body><div class='a'><p>{'word ' * n}</p></div><ul><li>x<li>y</ul></body>" for n in range(1, 41)])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    soup = sanitize(nodes, "soup")
+    for out in (fragments.split_fragments(nodes, 20, 16), fragments.remove_until(nodes, 4, 4)):
+        assert out.rdd.getNumPartitions() >= least
+        assert out.select("page_id").distinct().count() == 40
+    kept = structure.prune_by_structure(soup, structure.page_structure(nodes))
+    assert kept.filter("tag = 'li'").count() == 40
+
+
+def test_groups_go_on_over_batches():
+    import pyarrow as pa
+
+    from pagesift.operators.pagewise import groups
+    rows = [(k, i) for i, k in enumerate([None, None, 1, 1, 1, 1, 1, 2, 3, 3])]
+    for size in (1, 2, 3, 4, 10):
+        batches = [pa.RecordBatch.from_pylist([{"k": k, "v": v} for k, v in rows[i:i + size]],
+                                              pa.schema([("k", pa.int64()), ("v", pa.int64())]))
+                   for i in range(0, len(rows), size)] + [pa.RecordBatch.from_pylist([], pa.schema([("k", pa.int64()), ("v", pa.int64())]))]
+        assert [(k[0], c[1]) for k, c in groups(iter(batches), 1)] == [(None, [0, 1]), (1, [2, 3, 4, 5, 6]), (2, [7]), (3, [8, 9])]
