@@ -8,11 +8,12 @@ target once. The work is linear in the texts and the matches.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.operators.pagewise import map_groups
+
 
 def one_line(c: Column) -> Column:
     """White space runs as one space, so that line breaks do not hide a match."""
@@ -65,17 +66,18 @@ def text_matches(chunks: DataFrame, targets: DataFrame, keys: list[str], both_wa
     sides' columns without the two texts; they must have no other names in common."""
     left = chunks.select(*keys, "norm", *[c for c in chunks.columns if c not in (*keys, "norm")])
     right = targets.select(*keys, "t_norm", *[c for c in targets.columns if c not in (*keys, "t_norm")])
-    n = len(keys) + 1
-    schema = T.StructType(left.schema.fields[:n - 1] + left.schema.fields[n:] + right.schema.fields[n:])
+    lcols, rcols = left.columns[len(keys) + 1:], right.columns[len(keys) + 1:]
+    schema = T.StructType([left.schema[c] for c in [*keys, *lcols]] + [right.schema[c] for c in rcols])
+    both = left.withColumnRenamed("norm", "_text").withColumn("_target", F.lit(False)).unionByName(
+        right.withColumnRenamed("t_norm", "_text").withColumn("_target", F.lit(True)), allowMissingColumns=True)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        hits = matches([x or "" for x in a.column(n - 1).to_pylist()],
-                       [x or "" for x in b.column(n - 1).to_pylist()], both_ways) if a.num_rows and b.num_rows else []
-        x = a.take(pa.array([c for c, _ in hits], pa.int64()))
-        y = b.take(pa.array([t for _, t in hits], pa.int64()))
-        cols = [x.column(i) for i in range(x.num_columns) if i != n - 1] + [y.column(i) for i in range(n, y.num_columns)]
-        return pa.table(cols, names=schema.names)
+    def run(key: tuple, rows: dict) -> list[tuple]:
+        if None in key:  # a null key joins with nothing
+            return []
+        texts, side = [x or "" for x in rows["_text"]], rows["_target"]
+        cs, ts = ([i for i, target in enumerate(side) if target == want] for want in (False, True))
+        hits = matches([texts[i] for i in cs], [texts[i] for i in ts], both_ways) if cs and ts else []
+        a, b = [rows[c] for c in lcols], [rows[c] for c in rcols]
+        return [(*key, *[x[cs[c]] for x in a], *[x[ts[t]] for x in b]) for c, t in hits]
 
-    # groups without a target never reach the Python side
-    left = left.join(right.select(*keys).distinct(), keys, "left_semi")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    return map_groups(both, keys, run, schema, [*keys, *lcols, *rcols])
