@@ -77,8 +77,13 @@ def extract_batch(batch: DataFrame, programs: DataFrame, out_path: str, key: str
     """Apply the programs to one batch of distinct pages and write ``out_path``.
     A page whose site has no program gets one row with a null field."""
     pages = batch.withColumn("site", site_of("url"))
-    # read by several branches of the program plan: parsed once per batch
-    nodes = explode_dom(pages, keep=["site"]).checkpoint(eager=True)
+    spark = batch.sparkSession  # of the stream only
+    # a batch's tables would go through the driver again and again, batch after batch
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # read by several branches of the program plan: parsed once per batch, and dealt out once for all joins by page
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nodes = explode_dom(pages, keep=["site"]).repartition(n, key).checkpoint(eager=True)
     res = apply_programs(nodes, programs, ["site"], ["field"], "program", None, broadcast_programs)
     res = res.select(key, "site", "field", "program", "values", "invalid")
     sites = programs.select("site").distinct()

@@ -105,3 +105,22 @@ def test_a_batch_does_not_read_the_sink(spark, tmp_path, feed, monkeypatch):
     add(3, 9)
     drain(spark, folder, progs, out, str(tmp_path / "c"))
     assert len(plans) == 2 and not any(out in p for p in plans)
+
+
+def test_batches_broadcast_no_tables_of_their_own(spark, tmp_path, feed, monkeypatch):
+    """Joins inside a batch must not collect the batch's tables on the driver; the
+    setting stays with the stream."""
+    folder, add = feed
+    progs = site_programs(keyed_pages(spark, SF), [("title", "/html/body/article/h1")]).drop("lang")
+    add(0, 9)
+    before, used, whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], extract.extract_batch
+
+    def seen(df, *args, **kw):
+        whole(df, *args, **kw)
+        used.append(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+
+    monkeypatch.setattr(extract, "extract_batch", seen)
+    out = str(tmp_path / "out")
+    drain(spark, folder, progs, out, str(tmp_path / "c"))
+    assert used == ["-1"] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert held(spark, out) == [(i, "title") for i in range(10)]
