@@ -62,7 +62,20 @@ def keyed_nodes(spark: SparkSession, d: str, materialize: bool = True) -> DataFr
     count, shuffle = pages.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions(),
             min(shuffle, -(-count // FEW_PAGES)), -(-count // PAGES_PER_PARTITION))
-    return nodes.repartition(n, "page_id").checkpoint(eager=True)
+    return dealt_by_page(nodes, n)
+
+
+def dealt_by_page(nodes: DataFrame, n: int) -> DataFrame:
+    """``nodes`` checkpointed in ``n`` partitions by page, so that later plans know it.
+    An adaptive plan does not tell its partitioning: a checkpoint of one is dealt
+    out anew by every join and aggregate by page."""
+    conf = nodes.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return nodes.repartition(n, "page_id").checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def site_programs(pages: DataFrame, rows: list[tuple[str, str]], lang: str = "xpath") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import os
+from contextlib import redirect_stdout
+from io import StringIO
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,12 @@ def test_joins_by_page_do_not_deal_out_the_node_table_again(spark, tmp_path, mon
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "37")
-        assert common.keyed_nodes(spark, str(tmp_path)).rdd.getNumPartitions() == 37
+        nodes = common.keyed_nodes(spark, str(tmp_path))
+        assert nodes.rdd.getNumPartitions() == 37
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+        plan = StringIO()
+        with redirect_stdout(plan):
+            nodes.groupBy("page_id").count().explain()
+        assert "Exchange" not in plan.getvalue()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
