@@ -57,7 +57,9 @@ def later_occurrences(docs: DataFrame) -> DataFrame:
     # written: the join below then reads a plain table, whose hot keys Spark can split
     repeated = written(w.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
                        .filter("n > 1").select("k1", "k2", "first"), "repeated-windows")
-    later = w.join(repeated, ["k1", "k2"]).filter(~place.eqNullSafe(F.col("first")))
+    # never broadcast, here and below: both tables grow with the documents, so the plan
+    # is the same and the disk in proportion at every size
+    later = w.join(repeated.hint("merge"), ["k1", "k2"]).filter(~place.eqNullSafe(F.col("first")))
     covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("width") - 1))
     later = written(later.select("doc_id", "th", covered.alias("at")).distinct(), "covered-lines")
     # a document's own line numbers: no larger than the document itself
@@ -79,7 +81,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     cover = cover.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "covered")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("th"))
-    rows = rows.join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    rows = rows.join(cover.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
 
     def rest(lines):
         at = F.sequence(F.lit(0), F.size(lines) - 1)

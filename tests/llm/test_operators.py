@@ -267,6 +267,14 @@ def test_line_dedup_equals_plain_windows(docs):
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def test_line_dedup_plan_is_the_same_at_every_size(docs):
+    # a broadcast of the covered lines while they are few made the disk jump once they were not
+    out = line_dedup.dedup_lines(docs(["a\nb\nc", "a\nb\nc", None]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(x.doc_id, x.text) for x in out.collect()} == {(0, "a\nb\nc"), (1, ""), (2, None)}
+
+
 def test_url_filter(spark):
     urls = {"http://a.example.com/en/x?q#f": ("allow" if False else "block", "example.com/en/"),
             "HTTPS://WWW.EXAMPLE.COM/en/x": ("allow", "www.example.com/en/"), "http://example.com": ("allow", None),
