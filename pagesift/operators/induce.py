@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions.text import normalize_text
+from pagesift.functions.text import non_empty, normalize_text
 from pagesift.functions.xpath_steps import aligned, last_test, strip_positions
 from pagesift.operators.dom import texts
 from pagesift.operators.metrics import guarded_f1, membership_counts
@@ -82,9 +82,8 @@ def node_xpaths(nodes: DataFrame, targets: DataFrame, short: bool = True, with_i
 def targets_from_annotations(ann: DataFrame) -> DataFrame:
     """(page_id, field, values) -> (page_id, field, target) with normalized,
     non-empty targets (P3)."""
-    return ann.select("page_id", "field", F.explode("values").alias("value")).select(
-        "page_id", "field", normalize_text(F.col("value")).alias("target")).filter(
-        F.col("target") != "").distinct()
+    values = ann.select("page_id", "field", F.explode("values").alias("value"))
+    return non_empty(values, ["page_id", "field"], normalize_text(F.col("value")), "target").distinct()
 
 
 def matched_chunks(nodes: DataFrame, ann: DataFrame) -> DataFrame:
@@ -94,9 +93,9 @@ def matched_chunks(nodes: DataFrame, ann: DataFrame) -> DataFrame:
     field, target, node_id, idx."""
     tg = targets_from_annotations(ann).withColumn("t_norm", one_line(F.col("target"))).filter(F.col("t_norm") != "")
     pages = tg.select("page_id").distinct()
-    tx = texts(nodes.join(pages, "page_id", "left_semi")).select(
-        "page_id", "node_id", "idx", F.length("text").alias("n_chars"), one_line(normalize_text(F.col("text"))).alias("norm"))
-    j = text_matches(tx.filter(F.col("norm") != ""), tg, ["page_id"], both_ways=True)
+    tx = texts(nodes.join(pages, "page_id", "left_semi")).withColumn("n_chars", F.length("text"))
+    tx = non_empty(tx, ["page_id", "node_id", "idx", "n_chars"], one_line(normalize_text(F.col("text"))), "norm")
+    j = text_matches(tx, tg, ["page_id"], both_ways=True)
     j = j.withColumn("score", F.abs(F.col("n_chars") - F.length("target")))
     w = Window.partitionBy("page_id", "field", "target")
     j = j.withColumn("best", F.min("score").over(w)).filter(F.col("score") == F.col("best"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions.text import TEXT_VISUAL_PRIORITY, html_unescape, normalize_text, py_strip
+from pagesift.functions.text import TEXT_VISUAL_PRIORITY, html_unescape, non_empty, normalize_text, py_strip
 from pagesift.operators.dom import chunks, under_targets, within
 from pagesift.operators.relational import proper_ancestor_paths
 from pagesift.operators.textsearch import one_line, text_matches
@@ -162,8 +162,8 @@ def deepest_text_node(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     body = nodes.filter(F.col("tag_path").startswith("/html/body"))
     ck = chunks(body.join(targets.select("page_id").distinct(), "page_id", "left_semi"))
     clean = lambda c: py_strip(F.regexp_replace(html_unescape(html_unescape(c)), r"\s+", " "))
-    ck = ck.select("page_id", "owner", F.col("chunk.seq").alias("seq"), F.size("anc_ids").alias("depth"),
-                   clean(F.col("chunk.text")).alias("norm")).filter(F.col("norm") != "")
+    ck = non_empty(ck.select("page_id", "owner", F.col("chunk.seq").alias("seq"), F.size("anc_ids").alias("depth"), "chunk"),
+                   ["page_id", "owner", "seq", "depth"], clean(F.col("chunk.text")), "norm")
     t = targets.withColumn("t_norm", F.regexp_replace(html_unescape(html_unescape(F.col("target"))), r"\s+", " "))
     j = text_matches(ck, t.select("page_id", "target", "t_norm").distinct(), ["page_id"])
     w = Window.partitionBy("page_id", "target").orderBy(F.desc("depth"), F.desc("seq"))

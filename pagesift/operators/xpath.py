@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.htmltree import COMMENT
-from pagesift.functions.text import html_unescape, normalize_text, py_strip
+from pagesift.functions.text import html_unescape, non_empty, normalize_text, py_strip
 from pagesift.functions.xpath_compile import (anchor_parts, branch_mode, compile_program,
                                               inner_attr_preds, tag_path_regex, tail_positions)
 from pagesift.operators.dom import chunks, render_lines, string_value, under_targets
@@ -450,10 +450,9 @@ def _terminal_values(nodes: DataFrame, res: DataFrame, keys: list[str],
     allv = allv.filter(F.col("raw").isNotNull())
     if css is not None:
         allv = allv.join(css, pcols, "left")
-        allv = allv.withColumn("v", F.when(F.coalesce("is_css", F.lit(False)), css_normalize(F.col("raw")))
-                               .otherwise(normalize_text(F.col("raw")))).drop("is_css")
+        v = F.when(F.coalesce("is_css", F.lit(False)), css_normalize(F.col("raw"))).otherwise(normalize_text(F.col("raw")))
     else:
-        allv = allv.withColumn("v", normalize_text(F.col("raw")))
-    allv = allv.filter(F.col("v") != "")
+        v = normalize_text(F.col("raw"))
+    allv = non_empty(allv, [*keys, "ord", "uid"], v, "v")
     return allv.groupBy(*keys).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("ord", "uid", "v"))), lambda x: x.v).alias("values"))

@@ -47,3 +47,44 @@ def test_html_unescape_matches_stdlib(spark):
     df = spark.createDataFrame([(s,) for s in samples], "x string")
     got = [r.y for r in df.select(text.html_unescape(F.col("x")).alias("y")).collect()]
     assert got == [html.unescape(s) for s in samples]
+
+
+def test_normalize_text_with_unescape_in_one_step(spark):
+    samples = ["a &amp;amp;lt; b", "&amp;nbsp;x&amp;#8226;", "&#0;&#xD83D;", "&amp;bogus; &", "plain", "", None, "&amp;amp;nbsp;"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, x string")
+    got = df.select(text.normalize_text("x", True).alias("a"),
+                    text.normalize_text(text.html_unescape("x")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a == "a < b"
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython")
+
+
+def test_non_empty_values_run_python_once(spark):
+    from pagesift.operators import induce, ops
+    from pagesift.operators.dom import explode_dom
+    from pagesift.operators.xpath import apply_programs
+    from pagesift.plans.pipeline import harness_annotations, normalize_values
+    df = spark.createDataFrame([(1, "f", ["&amp;lt;b", "&nbsp;", None, " x "]), (2, "f", ["&#160;"])],
+                               "page_id int, field string, raw array<string>")
+    out = text.non_empty(df.select("page_id", F.explode("raw").alias("v")), ["page_id"], text.normalize_text("v"), "y")
+    assert sorted(out.collect()) == [(1, "<b"), (1, "x")] and python_steps(out) == 1
+    assert normalize_values(df, ["page_id", "field"], "raw", unescape=True).collect() == [(1, "f", ["<b", "x"])]
+    html = "<html><head><title>T &amp;amp; U</title></head><body><nav><a href=\"/\">A</a></nav><p>T &amp; U</p></body></html>"
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string").checkpoint(eager=True)
+    ann = harness_annotations(pages)
+    # a second step on the same rows is one more Python worker in each task
+    assert python_steps(ann) == 1
+    ann = ann.checkpoint(eager=True)
+    assert {(r.field, *r["values"]) for r in ann.collect()} == {("title", "T & U"), ("nav", "A")}
+    targets = induce.targets_from_annotations(ann)
+    assert python_steps(targets) == 1 and targets.count() == 2
+    nodes = explode_dom(pages).withColumn("site", F.lit("s")).checkpoint(eager=True)
+    # the targets' page ids, the targets and the chunks: different tasks
+    assert python_steps(induce.matched_chunks(nodes, ann)) == 3
+    program = spark.createDataFrame([("s", "f", "//p")], "site string, field string, program string")
+    assert python_steps(apply_programs(nodes, program, ["site"], ["field"], "program", None)) == 1
+    found = ops.deepest_text_node(nodes, ann.select("page_id", F.explode("values").alias("target")))
+    # the chunks and the targets
+    assert python_steps(found) == 2 and found.count() == 2
