@@ -59,10 +59,21 @@ def keyed_nodes(spark: SparkSession, d: str, materialize: bool = True) -> DataFr
     # so many pages a partition at any scale, and at least one partition per core. With
     # fewer partitions than a shuffle has, joins would deal out the whole table again;
     # only small tables, whose joins are broadcast, stay below that
-    count, shuffle = pages.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions(),
-            min(shuffle, -(-count // FEW_PAGES)), -(-count // PAGES_PER_PARTITION))
-    return dealt_by_page(nodes, n)
+    return dealt_by_page(nodes, max(pages.rdd.getNumPartitions(), _partitions(spark, pages.count())))
+
+
+def _partitions(spark: SparkSession, count: int) -> int:
+    """Partitions for the node table of ``count`` pages."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(shuffle, -(-count // FEW_PAGES)), -(-count // PAGES_PER_PARTITION))
+
+
+def nodes_of(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The node table of the pages in ``keys`` alone, in as few partitions as these need,
+    for plans that look at chosen pages only. The keys are hashed in each partition:
+    a sort-merge join would sort the whole table to find them."""
+    chosen = nodes.join(keys.select("page_id").hint("shuffle_hash"), "page_id", "left_semi")
+    return dealt_by_page(chosen, _partitions(nodes.sparkSession, keys.count()))
 
 
 def dealt_by_page(nodes: DataFrame, n: int) -> DataFrame:
