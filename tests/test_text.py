@@ -24,6 +24,18 @@ def test_token_count(spark):
     assert one(spark, text.token_count, None) == 0
 
 
+def test_token_count_is_the_number_of_matches(spark):
+    import random
+    rnd = random.Random(4)
+    marks = "aZ_09 \t\n\x0b\f\r\x1c\x85\xa0é漢😀.,<>&;-$\\\u200b\u0301"
+    rows = [("".join(rnd.choices(marks, k=rnd.randint(0, 14))),) for _ in range(3000)] + [(None,), ("",), ("  ",), ("a" * 500,)]
+    df = spark.createDataFrame(rows, "x string").select("x", text.token_count("x").alias("n"), F.coalesce(
+        F.size(F.regexp_extract_all("x", F.lit(text.TOKEN_PATTERN), 0)), F.lit(0)).alias("matches"))
+    assert df.filter("n <> matches OR n IS NULL OR matches IS NULL").collect() == []
+    plan = df.select("n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # a string of each match took most of the time
+
+
 def test_url_decode_keeps_plus(spark):
     assert one(spark, text.url_decode_keep_plus, "/a%20b+c") == "/a b+c"
 
